@@ -20,6 +20,9 @@ COMPLIANCE_BONUS = 1.0
 GAMMA = 0.99
 LAMBDA = 0.95
 
+# Neighbouring steps one task folds at a time in a backward scan.
+FAN_IN = 256
+
 Reward = Callable[[WindowSpec], Column]
 
 
@@ -108,87 +111,79 @@ def advantages(
     gamma: float = GAMMA,
     lam: float = LAMBDA,
     last_value: float = 0.0,
-    steps_per_block: int = 10_000,
+    fan_in: int = FAN_IN,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done).
 
-    The recursion A(t) = d(t) + c(t) A(t+1) runs backwards. A block of steps maps the
-    advantage entering from its right to the one leaving on its left as P x A + Q, so
-    blocks are folded independently, only (P, Q) pairs are chained per episode, and each
-    block is then filled in from what enters it. No task holds a whole long episode.
+    The recursion is A(t) = q(t) + p(t) A(t+1), which starts at the last step and is cut
+    where an episode is done.
     """
-    order = "step"
-    block = F.floor(F.col(order) / steps_per_block)
-    ready = ordered_rows(df, ["eid"], [order], after=1, rows_per_block=max(steps_per_block, ROWS_PER_BLOCK))
+    ready = by_step(df, after=1, rows_per_block=rows_per_block)
     following = F.coalesce(F.lead("value").over(ready.window), F.lit(float(last_value)))
     goes_on = 1 - F.col("done").cast("double")
     terms = (
         ready.select(following.alias("_following"))
         .finish()
         .select(
-            *df.columns,
-            block.alias("_steps"),
-            (F.col("reward") + F.lit(gamma) * F.col("_following") * goes_on - F.col("value")).alias("_d"),
-            (F.lit(gamma * lam) * goes_on).alias("_c"),
+            "eid",
+            F.col("step").cast("bigint").alias("at"),
+            (F.lit(gamma * lam) * goes_on).alias("p"),
+            (F.col("reward") + F.lit(gamma) * F.col("_following") * goes_on - F.col("value")).alias("q"),
+            F.struct(*[c for c in df.columns if c not in ("eid", "step")]).alias("payload"),
+            F.col("step").alias("_step"),
         )
+        .select("eid", "at", "p", "q", F.struct("_step", "payload").alias("payload"))
     )
-    rest = [c for c in df.columns if c not in ("eid", order)]
-    grouped = terms.groupBy("eid", "_steps").agg(
-        # Descending, because the recursion starts at the last step.
-        F.sort_array(F.collect_list(F.struct(order, "_d", "_c", *rest)), asc=False).alias("_run")
+    last = df.agg(F.max("step").alias("last")).first()["last"] or 0
+    scanned = backward_scan(terms, int(last), fan_in)
+    rows = scanned.select("eid", F.col("payload._step").alias("step"), "payload.payload.*", F.col("leaves").alias("advantage"))
+    return rows.select(*df.columns, "advantage", (F.col("advantage") + F.col("value")).alias("ret"))
+
+
+def backward_scan(rows: DataFrame, last: int, fan_in: int) -> DataFrame:
+    """Run a(at) = q + p x a(next at) from the highest ``at`` of each ``eid`` down.
+
+    Input (eid, at, p, q, payload); adds ``enters`` (what comes from the right) and ``leaves``.
+    A group of ``fan_in`` neighbours acts as one such step itself, so groups are folded
+    on their own, the same scan runs over the folded groups, and each group is then
+    filled in. Every task sees at most ``fan_in`` rows of an episode at a time, and an
+    episode of n steps needs log n rounds; short episodes need one.
+    """
+    grouped = rows.groupBy("eid", F.floor(F.col("at") / fan_in).alias("_group")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "p", "q", "payload")), asc=False).alias("_run")
     )
-    line = grouped.select(
-        "*",
-        F.aggregate(
+    if last < fan_in:
+        entered = grouped.withColumn("_enters", F.lit(0.0))
+    else:
+        folded = F.aggregate(
             "_run",
             F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q")),
-            lambda acc, x: F.struct((acc["p"] * x["_c"]).alias("p"), (x["_d"] + x["_c"] * acc["q"]).alias("q")),
-        ).alias("_line"),
-    )
-    incoming = _incoming(line.select("eid", "_steps", "_line.p", "_line.q"))
-    filled = match_on(line, incoming, ["eid", "_steps"]).select(
+            lambda acc, x: F.struct((acc["p"] * x["p"]).alias("p"), (x["q"] + x["p"] * acc["q"]).alias("q")),
+        )
+        lines = grouped.select("eid", F.col("_group").alias("at"), folded.alias("_line")).select(
+            "eid", "at", "_line.p", "_line.q", F.lit(None).cast("int").alias("payload")
+        )
+        above = backward_scan(lines, last // fan_in, fan_in).select(
+            "eid", F.col("at").alias("_group"), F.col("enters").alias("_enters")
+        )
+        entered = match_on(grouped, above, ["eid", "_group"])
+    payload = rows.schema["payload"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<at:bigint,payload:{payload},enters:double,leaves:double>>")
+    return entered.select(
         "eid",
         F.inline(
             F.aggregate(
-                "_run",
-                F.struct(F.col("_enters").alias("a"), F.array().cast(_filled_type(df, order, rest)).alias("rows")),
-                lambda acc, x: _step(acc, x, order, rest),
-                lambda acc: acc["rows"],
+                "_run", F.struct(F.col("_enters").alias("a"), empty.alias("rows")), _scan_step, lambda acc: acc["rows"]
             )
         ),
     )
-    return filled.select(*df.columns, "advantage", (F.col("advantage") + F.col("value")).alias("ret"))
 
 
-def _filled_type(df: DataFrame, order: str, rest: list[str]) -> str:
-    fields = ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in [order, *rest])
-    return f"array<struct<{fields},advantage:double>>"
-
-
-def _step(acc: Column, x: Column, order: str, rest: list[str]) -> Column:
-    a = x["_d"] + x["_c"] * acc["a"]
-    row = F.struct(*[x[c].alias(c) for c in [order, *rest]], a.alias("advantage"))
-    return F.struct(a.alias("a"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-
-def _incoming(lines: DataFrame) -> DataFrame:
-    """(eid, _steps, _enters): the advantage entering each block from the one after it."""
-    chained = lines.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("_steps", "p", "q")), asc=False).alias("chain"))
-    entry = "array<struct<_steps:bigint,_enters:double>>"
-    return chained.select(
-        "eid",
-        F.inline(
-            F.aggregate(
-                "chain",
-                F.struct(F.lit(0.0).alias("a"), F.array().cast(entry).alias("rows")),
-                lambda acc, x: F.struct(
-                    (x["p"] * acc["a"] + x["q"]).alias("a"),
-                    F.concat(acc["rows"], F.array(F.struct(x["_steps"].alias("_steps"), acc["a"].alias("_enters")))).alias("rows"),
-                ),
-                lambda acc: acc["rows"],
-            )
-        ),
-    )
+def _scan_step(acc: Column, x: Column) -> Column:
+    leaves = x["q"] + x["p"] * acc["a"]
+    row = F.struct(x["at"].alias("at"), x["payload"].alias("payload"), acc["a"].alias("enters"), leaves.alias("leaves"))
+    return F.struct(leaves.alias("a"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
 
 def normalise(df: DataFrame, column: str = "advantage", out: str = "advantage_norm") -> DataFrame:
