@@ -21,7 +21,7 @@ RATIOS = """
           round(CASE WHEN s_sys_util > 0 THEN s_node_util / s_sys_util ELSE 1e0 END, 6) AS d_util_relative,
           round(CASE WHEN s_elapsed > 0 THEN s_cum_cost / s_elapsed ELSE 0e0 END, 6) AS d_cost_rate"""
 STATE = """round(s_elapsed, 6) AS s_elapsed, round(s_cum_wait, 6) AS s_cum_wait, round(s_cum_processing, 6) AS s_cum_processing,
-          s_steps_done, round(s_cum_cost, 6) AS s_cum_cost, s_node_util, s_node_avg_queue, s_sys_util, s_sys_node_count"""
+          s_steps_done, round(s_cum_cost, 6) AS s_cum_cost, round(s_node_util, 6) AS s_node_util, s_node_avg_queue, s_sys_util, s_sys_node_count"""
 
 
 def delayed_features(spark, folder, point="entry_only"):
@@ -72,7 +72,7 @@ def vectors(spark, folder):
     tr = plain_journeys(spark, folder)
     names = ["s_cum_wait", "s_absent", "s_node_util", "s_steps_done"]
     made = tr.select("eid", "step", observation_vector(tr, names).alias("v"))
-    return made.select("eid", "step", *[F.round(F.col("v")[i].cast("double"), 2).alias(f"v{i}") for i in (1, 2, 3)], F.size("v").cast("bigint").alias("size"))
+    return made.select("eid", "step", *[F.round(F.col("v")[i].cast("double"), 4).alias(f"v{i}") for i in (1, 2, 3)], F.size("v").cast("bigint").alias("size"))
 
 
 def durations(spark, folder):
@@ -117,7 +117,7 @@ ENTRIES = [
         [f"SELECT '{c}' AS feature, round(CAST(sum({c}) AS DOUBLE), 4) AS total FROM tr" for c in CHOSEN]
         + ["SELECT 's_attr_size', round(CAST(sum(step * 2) AS DOUBLE), 4) FROM tr"])),
     Entry("entity_observation_vector", vectors, f"""WITH {JOURNEYS}
-        SELECT eid, step, 0e0 AS v1, round(CAST(CAST(s_node_util AS FLOAT) AS DOUBLE), 2) AS v2, CAST(s_steps_done AS DOUBLE) AS v3,
+        SELECT eid, step, 0e0 AS v1, round(CAST(CAST(s_node_util AS FLOAT) AS DOUBLE), 4) AS v2, CAST(s_steps_done AS DOUBLE) AS v3,
           CAST(4 AS BIGINT) AS size FROM tr"""),
     Entry("duration_seconds", durations, """
         SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE

@@ -15,6 +15,10 @@ from wayfold.sources.event_tables import trajectories
 CHECKED_BLOCK = 2_000
 CHECKED_SERIES_BLOCK = 150
 
+# Results of short decimals often end in a 5 right behind the last place kept, where the last
+# bit decides the rounding; adding this on both sides steps off such ties.
+OFF_TIES = 1.2345678e-8
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -24,7 +28,7 @@ class Entry:
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), places) for n in names})
+    return df.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})
 
 
 def r6(column: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.catalog.entry import JOURNEYS, Entry, journeys, nearest_sql, plain_journeys, r6
 from wayfold.operators.labels import delay_severity, derive, final_values, label_distribution, sla_breach, wait_ratio_class
 from wayfold.operators.quantile import quantiles
+from wayfold.session import cut_lineage
 from wayfold.sources.event_tables import table
 
 LIMITED = JOURNEYS + """,
@@ -23,7 +24,8 @@ def slim(df, label):
 
 
 def measured(spark, folder):
-    lineitem, tr = table(spark, folder, "lineitem"), plain_journeys(spark, folder)
+    lineitem = table(spark, folder, "lineitem")
+    tr = cut_lineage(plain_journeys(spark, folder).select("total_time"), "journeys")
     rows = []
     for name, df, column in (("price", lineitem, "l_extendedprice"), ("quantity", lineitem, "l_quantity"), ("total", tr, "total_time")):
         for method in ("nearest", "linear"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import CHECKED_SERIES_BLOCK, SNAPSHOTS, Entry, rounded
+from wayfold.catalog.entry import CHECKED_SERIES_BLOCK, OFF_TIES, SNAPSHOTS, Entry, rounded
 from wayfold.functions.features import FeatureDefinition, FeatureStore
 from wayfold.functions.ratios import guarded, imbalance, node_columns, queue_to_busy
 from wayfold.operators.series import bucket_interval, lag, rolling_mean, rolling_std, target_ahead, trend
@@ -19,8 +19,9 @@ def windowed(build, before=0, after=0):
         sn = snapshots(spark, folder)
         spacing = bucket_interval(sn)
         ready = prepared(sn, None, before, after, spacing.rows, CHECKED_SERIES_BLOCK)
-        out = ready.select(*[F.round(c.cast("double"), 6).alias(n) for n, c in build(ready.window).items()]).finish()
-        return out.select(F.col("ts").cast("bigint").alias("ts"), *build(ready.window))
+        built = build(ready.window)
+        out = ready.select(*[F.round(c.cast("double"), 6).alias(n) for n, c in built.items()]).finish()
+        return out.select(F.col("ts").cast("bigint").alias("ts"), *built)
     return run
 
 
@@ -89,6 +90,7 @@ def stored_features(spark, folder):
     found = bucket_interval(sn)
     ready = prepared(sn, None, store.reach(names, found.seconds), 0, found.rows, CHECKED_SERIES_BLOCK)
     out = ready.select(*store.columns(names, ready.window, found.seconds)).finish()
+    out = out.withColumn("wait_slope", F.col("wait_slope") + OFF_TIES)
     return rounded(out.select(F.col("ts").cast("bigint").alias("ts"), *names), *names)
 
 
@@ -150,8 +152,8 @@ ENTRIES = [
           plain(f"round({full('avg(avg_wait)', 'avg_wait', 4)}, 6) AS wait_rmean")),
     Entry("series_rolling_std", windowed(lambda w: {"wait_rstd": rolling_std("avg_wait", w, 4)}, before=4),
           plain(f"round({full('stddev_samp(avg_wait)', 'avg_wait', 4)}, 6) AS wait_rstd")),
-    Entry("series_trend", windowed(lambda w: {"wait_trend": trend("avg_wait", w, 6)}, before=6),
-          plain(f"round({full('regr_slope(avg_wait, rn)', 'avg_wait', 6)}, 6) AS wait_trend")),
+    Entry("series_trend", windowed(lambda w: {"wait_trend": trend("avg_wait", w, 6) + OFF_TIES}, before=6),
+          plain(f"round({full('regr_slope(avg_wait, rn)', 'avg_wait', 6)} + {OFF_TIES}, 6) AS wait_trend")),
     Entry("series_target", windowed(lambda w: {"wait_ahead": target_ahead("avg_wait", w, 3)}, after=3),
           plain("round(lead(avg_wait, 3) OVER (ORDER BY ts), 6) AS wait_ahead")),
     Entry("series_delta", windowed(lambda w: {"wait_delta": F.col("avg_wait") - lag("avg_wait", w, 2)}, before=2),
@@ -166,6 +168,6 @@ ENTRIES = [
     Entry("series_features_per_series", per_node, PER_NODE),
     Entry("series_defined_features", stored_features, plain(
         f"round(lag(avg_wait, 2) OVER (ORDER BY ts), 6) AS wait_lag, round({full('avg(avg_wait)', 'avg_wait', 3)}, 6) AS wait_mean, "
-        f"round({full('stddev_samp(avg_wait)', 'avg_wait', 3)}, 6) AS wait_std, round({full('regr_slope(avg_wait, rn)', 'avg_wait', 3)}, 6) AS wait_slope, "
+        f"round({full('stddev_samp(avg_wait)', 'avg_wait', 3)}, 6) AS wait_std, round({full('regr_slope(avg_wait, rn)', 'avg_wait', 3)} + {OFF_TIES}, 6) AS wait_slope, "
         "round(CASE WHEN busy > 0 THEN in_queue / busy ELSE -1e0 END, 6) AS queued_per_busy, arrivals * 2e0 AS doubled")),
 ]

@@ -85,20 +85,25 @@ def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> d
     return {r[label]: r["count"] for r in rows}
 
 
-def _weights(df: DataFrame, label: str, weights: dict) -> DataFrame:
+def weigh(df: DataFrame, label: str, weights: dict) -> DataFrame:
+    """Adds ``weight`` by class; 1 for a class without one. The map has one entry per class, so no join is needed."""
     pairs = [part for c, w in sorted(weights.items()) for part in (F.lit(c), F.lit(float(w)))]
-    return df.withColumn("weight", F.create_map(*pairs)[F.col(label)] if pairs else F.lit(1.0))
+    found = F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None).cast("double")
+    return df.withColumn("weight", F.coalesce(found, F.lit(1.0)))
 
 
-def balanced_weights(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Adds ``weight`` = n / (k * n_class), so that all classes weigh the same."""
-    counts = class_counts(df, label, max_classes)
+def balanced_class_weights(counts: dict) -> dict:
+    """n / (k * n_class) for each class, so that all classes weigh the same."""
     total = sum(counts.values())
-    return _weights(df, label, {c: total / (len(counts) * n) for c, n in counts.items()})
+    return {c: total / (len(counts) * n) for c, n in counts.items()}
+
+
+def balanced_weights(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> DataFrame:
+    return weigh(df, label, balanced_class_weights(class_counts(df, label, max_classes)))
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight`` = negatives / positives for class 1 and 1 for class 0."""
     counts = class_counts(df, label, 2)
     negatives, positives = counts.get(0, 0), counts.get(1, 0)
-    return _weights(df, label, {0: 1.0, 1: negatives / positives if positives else 1.0})
+    return weigh(df, label, {1: negatives / positives} if positives else {})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -10,17 +11,18 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.hashing import named_seed
 from wayfold.operators.compare import fold_summary, rank_algorithms, top_importance
 from wayfold.operators.folds import (
-    balanced_weights,
+    balanced_class_weights,
     shuffled_folds,
     temporal_bounds,
     temporal_folds,
     temporal_split,
+    weigh,
 )
 from wayfold.operators.metrics import LOWER_IS_BETTER, evaluate
 from wayfold.plans.entity import FeatureTable
@@ -130,7 +132,7 @@ class Trainer:
         group: str | None = None,
         learners: Learners | None = None,
         settings: dict[str, dict] | None = None,
-        parallel: int = 2,
+        parallel: int = 4,
     ) -> None:
         self.table, self.metrics, self.folds, self.seed = table, list(metrics), folds, seed
         self.balance, self.gap, self.parallel = balance, gap, parallel
@@ -141,19 +143,44 @@ class Trainer:
         slim = table.rows.select(*table.keys, *table.features, F.col("label").cast("double").alias("label"))
         folded, self.bounds = with_folds(table, cut_lineage(slim, "features"), strategy, folds, seed, group)
         self.rows = cut_lineage(folded, "folds")
-
-    def _facts(self, train: DataFrame) -> Facts:
-        row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-        return Facts(row["n"], row["s"] or 1.0, self.classes)
-
-    def fit(self, learner: Learner, train: DataFrame, settings: dict) -> FittedModel:
+        self._groups: list[Row] | None = None
+
+    def _fold_groups(self) -> list[Row]:
+        """Rows, label sum and sum of squares per fold and class (one class for a regression), from one job."""
+        if self._groups is None:
+            label = F.col("label") if self.task == CLASSIFICATION else F.lit(0.0)
+            y = F.col("label")
+            self._groups = (
+                self.rows.groupBy("fold", label.alias("class"))
+                .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+                .collect()
+            )
+        return self._groups
+
+    def _facts(self, fold: int | None) -> tuple[Facts, dict[float, int]]:
+        """What a fit on everything but ``fold`` (on all rows for None) must know: size, spread, class counts.
+
+        The few rows a temporal gap leaves out are still counted; they only scale a penalty.
+        """
+        if self.bounds is not None and fold is not None:
+            kept = [g for g in self._fold_groups() if g["fold"] < fold]
+        else:
+            kept = [g for g in self._fold_groups() if g["fold"] != fold]
+        rows = sum(g["n"] for g in kept)
+        mean = sum(g["s"] for g in kept) / rows if rows else 0.0
+        variance = sum(g["q"] for g in kept) / rows - mean * mean if rows else 0.0
+        counts: dict[float, int] = {}
+        for g in kept:
+            counts[g["class"]] = counts.get(g["class"], 0) + g["n"]
+        return Facts(rows, math.sqrt(max(variance, 0.0)) or 1.0, self.classes), counts
+
+    def fit(self, learner: Learner, train: DataFrame, settings: dict, fold: int | None = None) -> FittedModel:
         """One fit; classes are weighted when asked or when the learner always does so."""
+        facts, counts = self._facts(fold)
         if self.task == CLASSIFICATION:
-            if self.balance or learner.always_balanced:
-                train = balanced_weights(train, "label")
-            else:
-                train = train.withColumn("weight", F.lit(1.0))
-        estimator = learner.build(self.task, self._facts(train), named_seed(learner.name, self.seed), settings)
+            balanced = self.balance or learner.always_balanced
+            train = weigh(train, "label", balanced_class_weights(counts) if balanced else {})
+        estimator = learner.build(self.task, facts, named_seed(learner.name, self.seed), settings)
         model = estimator.fit(assembled(train, self.table.features))
         names = self.table.encoding.names
         return FittedModel(model, learner.name, self.task, self.table.features, tuple(names) if names else None, settings)
@@ -165,9 +192,14 @@ class Trainer:
         return scored.select(*self.table.keys, y.alias("y"), "y_pred", *extra)
 
     def measure(self, predictions: DataFrame) -> dict[str, float | None]:
-        # Named keys and proba are read several times, so they are written once.
-        kept = cut_lineage(predictions, "predictions")
-        return evaluate(kept, self.metrics, self.task, self.classes, "proba" if "proba" in kept.columns else None)
+        if self.task != CLASSIFICATION:
+            return evaluate(predictions, self.metrics, self.task)
+        # Counting and ranking measures each read the predictions; they are dropped again right after.
+        kept = predictions.drop(*self.table.keys).persist()
+        try:
+            return evaluate(kept, self.metrics, self.task, self.classes, "proba")
+        finally:
+            kept.unpersist()
 
     def cross_validate(self, name: str, settings: dict | None = None) -> list[tuple[str, int, str, float | None]]:
         """(algorithm, fold, metric, value) of one learner; folds run side by side."""
@@ -178,7 +210,7 @@ class Trainer:
 
         def one(fold: int) -> list[tuple[str, int, str, float | None]]:
             train, test = split(self.rows, fold, self.bounds, self.gap)
-            values = self.measure(self._predictions(test, self.fit(learner, train, chosen)))
+            values = self.measure(self._predictions(test, self.fit(learner, train, chosen, fold)))
             return [(name, fold, m, v) for m, v in values.items()]
 
         with ThreadPoolExecutor(self.parallel) as pool:
@@ -232,7 +264,7 @@ class Trainer:
         parts = None
         for fold in range(self.folds):
             train, test = split(self.rows, fold, self.bounds, self.gap)
-            part = self._predictions(test, self.fit(learner, train, settings)).withColumn("fold", F.lit(fold))
+            part = self._predictions(test, self.fit(learner, train, settings, fold)).withColumn("fold", F.lit(fold))
             parts = part if parts is None else parts.unionByName(part)
         return parts
 

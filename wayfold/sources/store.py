@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.model import Dataset
@@ -20,7 +21,7 @@ from wayfold.operators.profile import full_profile
 LAYERS = ("snapshots", "trajectories")
 LAYER_ORDER = {"snapshots": ("ts",), "trajectories": ("eid", "step")}
 DATASET_RECORD = (
-    "id string, name string, version int, content_hash string, source_type string, source_path string, "
+    "id string, name string, version int, content_hash string, location string, source_type string, source_path string, "
     "layers array<string>, row_counts map<string,bigint>, column_counts map<string,int>, extras map<string,string>, "
     "registered_at string, deleted boolean"
 )
@@ -79,27 +80,27 @@ class DatasetStore:
         self.folder = folder.rstrip("/")
 
     def register(self, dataset: Dataset, name: str = "") -> str:
-        """Write the layers sorted and split by their order, profile them, and append a record."""
-        layers = dataset.layers()
-        hashes = {layer: content_hash(df) for layer, df in layers.items()}
-        combined = hashlib.sha256(json.dumps(hashes, sort_keys=True).encode()).hexdigest()
-        now = _now()
-        dataset_id = hashlib.sha256(f"{name}{now}{combined}".encode()).hexdigest()[:12]
+        """Write the layers sorted and split by their order, then hash and profile what was written."""
+        location = f"{self.folder}/data-{uuid.uuid4().hex}"
+        hashes: dict[str, str] = {}
         counts: dict[str, int] = {}
+        layers = dataset.layers()
         for layer, df in layers.items():
-            path = f"{self.folder}/{dataset_id}/{layer}"
             order = [c for c in LAYER_ORDER[layer] if c in df.columns]
             # Range partitions keep min/max of the order columns tight per file, so later filters skip files.
             laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-            laid_out.write.parquet(path)
-            stored = self.spark.read.schema(df.schema).parquet(path)
-            counts[layer] = stored.count()
-            full_profile(stored).withColumn("layer", F.lit(layer)).write.mode("append").parquet(
-                f"{self.folder}/{dataset_id}/profile"
-            )
+            laid_out.write.parquet(f"{location}/{layer}")
+            # Everything below reads the written files, so a costly source is computed once.
+            stored = self.spark.read.schema(df.schema).parquet(f"{location}/{layer}")
+            counts[layer], hashes[layer] = stored.count(), content_hash(stored)
+            profile = full_profile(stored).withColumn("layer", F.lit(layer))
+            profile.coalesce(1).write.mode("append").parquet(f"{location}/profile")
+        combined = hashlib.sha256(json.dumps(hashes, sort_keys=True).encode()).hexdigest()
+        now = _now()
+        dataset_id = hashlib.sha256(f"{name}{now}{combined}".encode()).hexdigest()[:12]
         extras = {k: v if isinstance(v, str) else json.dumps(v) for k, v in dataset.extras.items()}
         record = (
-            dataset_id, name or dataset_id, 1, combined, dataset.source_type, dataset.source_path, list(layers),
+            dataset_id, name or dataset_id, 1, combined, location, dataset.source_type, dataset.source_path, list(layers),
             counts, {layer: len(df.columns) for layer, df in layers.items()}, extras, now, False,
         )
         _append(self.spark, f"{self.folder}/_records", DATASET_RECORD, record)
@@ -116,30 +117,30 @@ class DatasetStore:
     def exists(self, dataset_id: str) -> bool:
         return not self.datasets().where(F.col("id") == dataset_id).isEmpty()
 
-    def _require(self, dataset_id: str) -> list[str]:
+    def _require(self, dataset_id: str) -> Row:
         record = self.datasets().where(F.col("id") == dataset_id).first()
         if record is None:
             raise KeyError(f"no dataset {dataset_id!r}")
-        return record["layers"]
+        return record
 
     def read(self, dataset_id: str, layer: str) -> DataFrame:
         """A registered layer; an unknown or missing one is an error."""
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}; known: {list(LAYERS)}")
-        if layer not in self._require(dataset_id):
+        record = self._require(dataset_id)
+        if layer not in record["layers"]:
             raise ValueError(f"dataset {dataset_id!r} has no {layer} layer")
-        return self.spark.read.parquet(f"{self.folder}/{dataset_id}/{layer}")
+        return self.spark.read.parquet(f"{record['location']}/{layer}")
 
     def profile(self, dataset_id: str, layer: str) -> DataFrame:
-        self._require(dataset_id)
-        return self.spark.read.parquet(f"{self.folder}/{dataset_id}/profile").where(F.col("layer") == layer)
+        return self.spark.read.parquet(f"{self._require(dataset_id)['location']}/profile").where(F.col("layer") == layer)
 
     def delete(self, dataset_id: str) -> None:
         """Mark the record as deleted and remove the dataset's files."""
-        self._require(dataset_id)
-        row = (dataset_id, None, None, None, None, None, None, None, None, None, _now(), True)
+        location = self._require(dataset_id)["location"]
+        row = (dataset_id,) + (None,) * 10 + (_now(), True)
         _append(self.spark, f"{self.folder}/_records", DATASET_RECORD, row)
-        _remove(self.spark, f"{self.folder}/{dataset_id}")
+        _remove(self.spark, location)
 
 
 def latest(records: DataFrame, key: str, moment: str, carried: list[str]) -> DataFrame:
