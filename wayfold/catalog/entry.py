@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.sources.event_tables import trajectories
+from wayfold.operators.blocks import ROWS_PER_BLOCK
+from wayfold.sources.event_tables import table, trajectories
 
-# Small enough that the tables given for checking are really split, so that the path
-# taken on a cluster is the one that is compared.
-CHECKED_BLOCK = 2_000
-CHECKED_SERIES_BLOCK = 150
+# About this many blocks, so that the path taken on a cluster is compared on small tables too.
+CHECKED_BLOCKS = 5
 
 # Results of short decimals often end in a 5 right behind the last place kept, where the last
 # bit decides the rounding; adding this on both sides steps off such ties.
@@ -35,8 +34,17 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
-def journeys(spark: SparkSession, folder: str, rows_per_block: int = CHECKED_BLOCK) -> DataFrame:
-    return trajectories(spark, folder, rows_per_block)
+def split_block(rows: int) -> int:
+    """Rows per block that really splits a small table and is the usual size on a large one."""
+    return min(ROWS_PER_BLOCK, max(40, rows // CHECKED_BLOCKS))
+
+
+def event_block(spark: SparkSession, folder: str) -> int:
+    return split_block(table(spark, folder, "events").count())
+
+
+def split_journeys(spark: SparkSession, folder: str) -> DataFrame:
+    return trajectories(spark, folder, event_block(spark, folder))
 
 
 def plain_journeys(spark: SparkSession, folder: str) -> DataFrame:

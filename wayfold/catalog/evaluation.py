@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import CHECKED_BLOCK, Entry, r6, rounded
+from wayfold.catalog.entry import Entry, r6, rounded, split_block
 from wayfold.operators.compare import common_metrics, compare_experiments, fold_summary, rank_algorithms, top_importance
 from wayfold.operators.metrics import (
     auc_binary,
@@ -53,6 +53,12 @@ def priorities(spark, folder):
     )
 
 
+def split_areas(spark, folder):
+    rows = priorities(spark, folder)
+    block = split_block(rows.count() * CLASSES)
+    return rounded(auc_one_vs_rest(rows, "y", "proba", CLASSES, rows_per_block=block), "auc_roc")
+
+
 def class_table(spark, folder):
     found = class_scores(priorities(spark, folder))
     return rounded(found.withColumn("class", F.col("class").cast("bigint")), "precision", "recall", "f1")
@@ -147,6 +153,11 @@ FOLD_SCORES = """fs AS (SELECT 'a' || year(l_shipdate) AS algorithm, l_linenumbe
         su AS (SELECT algorithm, 'rmse' AS metric, avg(rmse) AS mean, stddev_pop(rmse) AS std, count(rmse) AS folds FROM fs GROUP BY algorithm
           UNION ALL SELECT algorithm, 'mae', avg(mae), stddev_pop(mae), count(mae) FROM fs GROUP BY algorithm)"""
 
+OVR = f"""WITH {PRIORITIES}, pt AS ({OVR_ROWS}),
+        rk AS (SELECT c, hit, rank() OVER (PARTITION BY c ORDER BY score) + (count(*) OVER (PARTITION BY c, score) - 1) / 2e0 AS r FROM pt),
+        ar AS (SELECT c, CAST(sum(hit) AS DOUBLE) AS p, count(*) - CAST(sum(hit) AS DOUBLE) AS n, sum(r) FILTER (hit = 1) AS s FROM rk GROUP BY c)
+        SELECT round(sum((s - p * (p + 1) / 2) / (p * n) * p) / sum(p), 6) AS auc_roc FROM ar"""
+
 ENTRIES = [
     Entry("eval_regression", lambda s, f: rounded(regression_metrics(prices(s, f), REGRESSION), *REGRESSION), f"WITH {PRICES} SELECT {ERRORS} FROM pr"),
     Entry("eval_regression_by_group", lambda s, f: rounded(regression_metrics(prices(s, f), REGRESSION, ["l_returnflag"]), *REGRESSION),
@@ -155,13 +166,10 @@ ENTRIES = [
     Entry("eval_classification_binary", lambda s, f: rounded(classification_metrics(grades(s, f), COUNTED), *COUNTED), f"WITH {GRADES}, {PER_CLASS} {COUNTED_SQL}"),
     Entry("eval_per_class", class_table, f"""WITH {PRIORITIES}, {PER_CLASS}
         SELECT CAST(c AS BIGINT) AS class, support, predicted, hits, round(pre, 6) AS "precision", round(rec, 6) AS recall, round(f1, 6) AS f1 FROM sc"""),
-    Entry("eval_auc_binary", lambda s, f: rounded(auc_binary(grades(s, f), F.col("y") == 1, F.col("score"), rows_per_block=40), "auc_roc"),
+    Entry("eval_auc_binary", lambda s, f: rounded(auc_binary(grades(s, f), F.col("y") == 1, F.col("score"), rows_per_block=split_block(100)), "auc_roc"),
           f"WITH {GRADES} SELECT round({AUC}, 6) AS auc_roc"),
-    Entry("eval_auc_one_vs_rest", lambda s, f: rounded(auc_one_vs_rest(priorities(s, f), "y", "proba", CLASSES, rows_per_block=CHECKED_BLOCK), "auc_roc"),
-          f"""WITH {PRIORITIES}, pt AS ({OVR_ROWS}),
-        rk AS (SELECT c, hit, rank() OVER (PARTITION BY c ORDER BY score) + (count(*) OVER (PARTITION BY c, score) - 1) / 2e0 AS r FROM pt),
-        ar AS (SELECT c, CAST(sum(hit) AS DOUBLE) AS p, count(*) - CAST(sum(hit) AS DOUBLE) AS n, sum(r) FILTER (hit = 1) AS s FROM rk GROUP BY c)
-        SELECT round(sum((s - p * (p + 1) / 2) / (p * n) * p) / sum(p), 6) AS auc_roc FROM ar"""),
+    Entry("eval_auc_one_vs_rest", lambda s, f: rounded(auc_one_vs_rest(priorities(s, f), "y", "proba", CLASSES), "auc_roc"), OVR),
+    Entry("eval_auc_in_blocks", split_areas, OVR),
     Entry("eval_named_metrics", named, f"""WITH {GRADES}, {PER_CLASS}
         SELECT 'accuracy' AS metric, round(sum(hits) / sum(support), 6) AS value FROM sc
         UNION ALL SELECT 'f1_weighted', round(sum(f1 * support) / sum(support), 6) FROM sc

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import CHECKED_BLOCK, CHECKED_SERIES_BLOCK, SNAPSHOTS, Entry
+from wayfold.catalog.entry import SNAPSHOTS, Entry, split_block
 from wayfold.functions.hashing import named_seed_column
 from wayfold.operators.folds import balanced_weights, positive_weight, shuffled_folds, temporal_folds
 from wayfold.sources.event_tables import snapshots, table
 
 
 def temporal(spark, folder):
-    made = temporal_folds(snapshots(spark, folder).select("ts", "arrivals"), 5, ["ts"], CHECKED_SERIES_BLOCK)
+    sn = snapshots(spark, folder).select("ts", "arrivals")
+    made = temporal_folds(sn, 5, ["ts"], split_block(sn.count()))
     return made.withColumn("fold", F.col("fold").cast("bigint"))
 
 
 def shuffled(strata=None):
     def run(spark, folder):
         orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
-        made = shuffled_folds(orders, 5, F.col("o_orderkey"), 42, strata, rows_per_block=CHECKED_BLOCK)
+        rows = orders.count()
+        made = shuffled_folds(orders, 5, F.col("o_orderkey"), 42, strata, rows_per_block=split_block(rows), rows=rows)
         return made.withColumn("fold", F.col("fold").cast("bigint"))
     return run
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import JOURNEYS, Entry, journeys, nearest_sql, plain_journeys, r6
+from wayfold.catalog.entry import JOURNEYS, Entry, nearest_sql, plain_journeys, r6, split_journeys
 from wayfold.operators.labels import delay_severity, derive, final_values, label_distribution, sla_breach, wait_ratio_class
 from wayfold.operators.quantile import quantiles
 from wayfold.session import cut_lineage
@@ -14,6 +14,11 @@ LIMITED = JOURNEYS + """,
 tl AS (SELECT *, CASE WHEN node = 'view' THEN 3000e0 ELSE 9000e0 END AS sla_resolution_limit, 100e0 AS sla_a FROM tr)"""
 
 
+def shown(tr):
+    measures = ("wait", "processing", "total_time", "t_enter", "s_cum_wait", "s_cum_processing", "s_cum_cost")
+    return tr.select("eid", "step", "node", "done", "status", *[r6(c).alias(c) for c in measures])
+
+
 def limited(spark, folder):
     limit = F.when(F.col("node") == "view", 3000.0).otherwise(9000.0)
     return plain_journeys(spark, folder).withColumn("sla_resolution_limit", limit).withColumn("sla_a", F.lit(100.0))
@@ -81,13 +86,14 @@ WAIT_CLASS = f"""WITH {JOURNEYS},
         lab AS (SELECT eid, CASE WHEN x <= 0.3e0 THEN 'efficient' WHEN x <= 0.6e0 THEN 'moderate' ELSE 'congested' END AS lb FROM ra)
         SELECT tr.eid, tr.step, coalesce(lb, 'unknown') AS wait_ratio_class FROM tr LEFT JOIN lab ON tr.eid = lab.eid"""
 
-ENTRIES = [
-    Entry("journeys_from_events", lambda s, f: journeys(s, f).select(
-        "eid", "step", "node", "done", "status", *[r6(c).alias(c) for c in (
-            "wait", "processing", "total_time", "t_enter", "s_cum_wait", "s_cum_processing", "s_cum_cost")]), f"""WITH {JOURNEYS}
+SHOWN = f"""WITH {JOURNEYS}
         SELECT eid, step, node, done, status, round(wait, 6) AS wait, round(processing, 6) AS processing,
           round(total_time, 6) AS total_time, round(t_enter, 6) AS t_enter, round(s_cum_wait, 6) AS s_cum_wait,
-          round(s_cum_processing, 6) AS s_cum_processing, round(s_cum_cost, 6) AS s_cum_cost FROM tr"""),
+          round(s_cum_processing, 6) AS s_cum_processing, round(s_cum_cost, 6) AS s_cum_cost FROM tr"""
+
+ENTRIES = [
+    Entry("journeys_from_events", lambda s, f: shown(plain_journeys(s, f)), SHOWN),
+    Entry("journeys_in_blocks", lambda s, f: shown(split_journeys(s, f)), SHOWN),
     Entry("agg_final_values", finals, f"""WITH {JOURNEYS}
         SELECT eid, max(step) AS last_step, bool_or(done) AS completed,
           round(arg_max(total_time, step) FILTER (done), 6) AS total_time,

@@ -1,12 +1,13 @@
-"""Series windows; all run over split blocks here, as they would on a long series."""
+"""Series windows; most run over split blocks here, as they would on a long series."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import CHECKED_SERIES_BLOCK, OFF_TIES, SNAPSHOTS, Entry, rounded
+from wayfold.catalog.entry import OFF_TIES, SNAPSHOTS, Entry, rounded, split_block
 from wayfold.functions.features import FeatureDefinition, FeatureStore
 from wayfold.functions.ratios import guarded, imbalance, node_columns, queue_to_busy
+from wayfold.operators.blocks import ROWS_PER_BLOCK
 from wayfold.operators.series import bucket_interval, lag, rolling_mean, rolling_std, target_ahead, trend
 from wayfold.plans.series import prepared, series_table
 from wayfold.sources.event_tables import NODES, snapshots, table
@@ -18,17 +19,19 @@ def windowed(build, before=0, after=0):
     def run(spark, folder):
         sn = snapshots(spark, folder)
         spacing = bucket_interval(sn)
-        ready = prepared(sn, None, before, after, spacing.rows, CHECKED_SERIES_BLOCK)
+        ready = prepared(sn, None, before, after, spacing.rows, split_block(spacing.rows))
         built = build(ready.window)
         out = ready.select(*[F.round(c.cast("double"), 6).alias(n) for n, c in built.items()]).finish()
         return out.select(F.col("ts").cast("bigint").alias("ts"), *built)
     return run
 
 
-def whole(spark, folder, rows_per_block=CHECKED_SERIES_BLOCK):
+def whole(spark, folder, split=False):
+    sn = snapshots(spark, folder)
+    found = bucket_interval(sn)
     made = series_table(
-        snapshots(spark, folder), rolling=("2h", "4h"), columns=["arrivals", "in_queue", "busy", *[f"n_{n}_queue" for n in NODES]],
-        rows_per_block=rows_per_block,
+        sn, interval=found, rolling=("2h", "4h"), columns=["arrivals", "in_queue", "busy", *[f"n_{n}_queue" for n in NODES]],
+        rows_per_block=split_block(found.rows) if split else ROWS_PER_BLOCK,
     )
     return rounded(made.rows.withColumn("ts", F.col("ts").cast("bigint")), *[c for c in made.rows.columns if c != "ts"])
 
@@ -40,9 +43,10 @@ def per_node(spark, folder):
         F.col("event_type").alias("node"), (F.col("user_id") % 3).alias("lane"),
         F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ts"), "value",
     ).groupBy("node", "lane", "ts").agg(F.count(F.lit(1)).alias("arrivals"), F.avg("value").alias("avg_wait"))
+    found = bucket_interval(hourly, series=["node", "lane"])
     made = series_table(
         hourly, lookback="3d", horizon="1d", lags=("1d", "2d"), rolling=("3d",), columns=["arrivals", "avg_wait"],
-        series=["node", "lane"], rows_per_block=100,
+        series=["node", "lane"], interval=found, rows_per_block=split_block(found.rows),
     )
     out = rounded(made.rows.withColumn("ts", F.col("ts").cast("bigint")), *[c for c in made.rows.columns if c not in ("node", "lane", "ts")])
     return out
@@ -88,7 +92,7 @@ def stored_features(spark, folder):
     names = [d.name for d in store.definitions()]
     sn = snapshots(spark, folder)
     found = bucket_interval(sn)
-    ready = prepared(sn, None, store.reach(names, found.seconds), 0, found.rows, CHECKED_SERIES_BLOCK)
+    ready = prepared(sn, None, store.reach(names, found.seconds), 0, found.rows, split_block(found.rows))
     out = ready.select(*store.columns(names, ready.window, found.seconds)).finish()
     out = out.withColumn("wait_slope", F.col("wait_slope") + OFF_TIES)
     return rounded(out.select(F.col("ts").cast("bigint").alias("ts"), *names), *names)
@@ -165,6 +169,7 @@ ENTRIES = [
           round(CASE WHEN arrivals > 0 THEN in_queue / arrivals ELSE 0e0 END, 6) AS queued_share FROM sn"""),
     Entry("series_relative", relative, f"WITH {SNAPSHOTS} SELECT ts, round(in_queue / (SELECT avg(in_queue) FROM sn), 6) AS queue_relative FROM sn"),
     Entry("series_features", whole, WHOLE),
+    Entry("series_features_in_blocks", lambda s, f: whole(s, f, True), WHOLE),
     Entry("series_features_per_series", per_node, PER_NODE),
     Entry("series_defined_features", stored_features, plain(
         f"round(lag(avg_wait, 2) OVER (ORDER BY ts), 6) AS wait_lag, round({full('avg(avg_wait)', 'avg_wait', 3)}, 6) AS wait_mean, "

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import CHECKED_BLOCK, JOURNEYS, OFF_TIES, Entry, journeys, plain_journeys, r6, rounded
-from wayfold.operators.replay import newest, prioritised_sample, uniform_sample
+from wayfold.catalog.entry import JOURNEYS, OFF_TIES, Entry, event_block, plain_journeys, r6, rounded, split_journeys
+from wayfold.operators.blocks import ROWS_PER_BLOCK
+from wayfold.operators.replay import largest, newest, prioritised_sample, uniform_sample
 from wayfold.operators.trajectory import (
     advantages,
     composite_reward,
@@ -21,7 +22,8 @@ from wayfold.operators.trajectory import (
 )
 from wayfold.sources.event_tables import table
 
-FAN_IN = 4
+# Folds few steps at a time, so that several rounds are needed.
+FAN_IN = 16
 
 
 def counted(spark, folder):
@@ -35,19 +37,19 @@ def counted(spark, folder):
     )
 
 
-def rewarded(spark, folder):
+def rewarded(spark, folder, rows_per_block=ROWS_PER_BLOCK):
     rules = {
         "throughput": throughput_reward(), "sla": sla_reward(), "cost": cost_reward(),
         "total": composite_reward([(throughput_reward(), 1.0), (sla_reward(), 1.0), (cost_reward(), 0.1)]),
     }
-    found = rewards(counted(spark, folder), rules, CHECKED_BLOCK)
+    found = rewards(counted(spark, folder), rules, rows_per_block)
     return rounded(found.select("eid", "step", *rules), "cost", "total")
 
 
 def moved(spark, folder):
     tr = plain_journeys(spark, folder)
     found = transitions(
-        tr, F.array(r6("s_node_util").cast("float"), F.col("s_steps_done").cast("float")), F.col("node"), r6(-F.col("wait")), 3, CHECKED_BLOCK
+        tr, F.array(r6("s_node_util").cast("float"), F.col("s_steps_done").cast("float")), F.col("node"), r6(-F.col("wait")), 3, event_block(spark, folder)
     )
     return found.select(
         "eid", "step", "action", "reward", "done",
@@ -62,7 +64,7 @@ def rollout(spark, folder):
 
 
 def advanced(spark, folder):
-    found = advantages(rollout(spark, folder), fan_in=FAN_IN, rows_per_block=CHECKED_BLOCK)
+    found = advantages(rollout(spark, folder))
     return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
 
 
@@ -74,7 +76,7 @@ def long_run(spark, folder):
         (F.col("value") / 100).alias("reward"), (F.col("event_id") % 5 / 10).alias("value"),
         ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("done"),
     )
-    found = advantages(steps, fan_in=16, rows_per_block=CHECKED_BLOCK)
+    found = advantages(steps, fan_in=FAN_IN, rows_per_block=event_block(spark, folder))
     return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
 
 
@@ -96,8 +98,6 @@ def buffered(n, small):
 
 
 def newest_of(events, n, small):
-    from wayfold.operators.replay import largest
-
     kept = events.select("event_id", "user_id", "event_type")
     if small:
         return newest(kept, n, "event_id")
@@ -107,8 +107,6 @@ def newest_of(events, n, small):
 
 def tied(spark, folder):
     """The cut falls inside many equal quantities; the tie rule decides."""
-    from wayfold.operators.replay import largest
-
     line = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"))
     return largest(line, 700, F.col("q"), F.col("l_orderkey"), small=0, bracket_limit=10)
 
@@ -123,7 +121,7 @@ def prioritised(spark, folder):
 
 
 def summary(spark, folder):
-    found = episode_summary(journeys(spark, folder).withColumn("reward", F.col("s_node_util") - 0.5))
+    found = episode_summary(split_journeys(spark, folder).withColumn("reward", F.col("s_node_util") - 0.5))
     return rounded(found, "mean_reward", "std_reward", "min_reward", "max_reward", "success_rate", "mean_length")
 
 
@@ -156,9 +154,12 @@ LONG = """ro AS (SELECT CAST(user_id % 3 AS VARCHAR) AS eid, event_id AS step, v
 ADVANTAGE_COLUMNS = f"round(advantage + {OFF_TIES}, 6) AS advantage, round(advantage + value + {OFF_TIES}, 6) AS ret"
 UNIFORM = "((CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|7'), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0)"
 
+REWARDS = f"""WITH {COUNTED}
+        SELECT eid, step, throughput, sla, round(cost, 6) AS cost, round(throughput + sla + 0.1e0 * cost, 6) AS total FROM rw"""
+
 ENTRIES = [
-    Entry("reward_columns", rewarded, f"""WITH {COUNTED}
-        SELECT eid, step, throughput, sla, round(cost, 6) AS cost, round(throughput + sla + 0.1e0 * cost, 6) AS total FROM rw"""),
+    Entry("reward_columns", rewarded, REWARDS),
+    Entry("reward_columns_in_blocks", lambda s, f: rewarded(s, f, event_block(s, f)), REWARDS),
     Entry("trajectory_transitions", moved, f"""WITH {JOURNEYS},
         le AS (SELECT eid, step, node AS action, round(s_node_util, 4) AS state_0, CAST(s_steps_done AS DOUBLE) AS state_1,
           lead(round(-wait, 6)) OVER w AS reward, lead(done) OVER w AS nd, lead(step) OVER w AS ns,

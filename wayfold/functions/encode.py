@@ -12,10 +12,14 @@ from wayfold.model import MAX_CLASSES, is_numeric, is_text
 
 @dataclass(frozen=True)
 class Encoding:
-    """How a target becomes a number: ``classes`` in order, or none for a regression."""
+    """How a target becomes a number: ``classes`` in order, or none for a regression.
+
+    ``rows`` is the number of labelled rows where counting the classes has told it.
+    """
 
     task: str
     classes: tuple | None = None
+    rows: int | None = None
 
     @property
     def names(self) -> list[str] | None:
@@ -36,10 +40,9 @@ def encoding_of(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> E
     if not (is_text(dtype) or is_numeric(dtype)):
         raise ValueError(f"target {target!r} has type {dtype.simpleString()}, which cannot be encoded")
     # One more than allowed is enough to know that there are too many.
-    seen = df.select(target).where(F.col(target).isNotNull()).distinct().limit(max_classes + 1).collect()
-    values = sorted(row[0] for row in seen)
-    if len(values) <= max_classes:
-        return Encoding("classification", tuple(values))
+    seen = df.where(F.col(target).isNotNull()).groupBy(target).count().limit(max_classes + 1).collect()
+    if len(seen) <= max_classes:
+        return Encoding("classification", tuple(sorted(row[0] for row in seen)), sum(row[1] for row in seen))
     if is_numeric(dtype):
         return Encoding("regression")
     raise ValueError(f"target {target!r} has more than {max_classes} classes")

@@ -53,6 +53,7 @@ def shuffled_folds(
     group: str | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
     exact: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Adds ``fold``: rows in shuffled order dealt out in turn, within each stratum if given.
 
@@ -65,7 +66,7 @@ def shuffled_folds(
         return df.withColumn("fold", _hashed_fold(F.col(group), folds, seed))
     if not exact:
         return df.withColumn("fold", _hashed_fold(key, folds, seed))
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     digits = max(0, math.ceil(math.log(max(rows / rows_per_block, 1), 16)))
     keys = [strata] if strata else []
     shuffled = df.withColumn("_key", shuffle_key(key, seed)).withColumn("_block", F.substring("_key", 1, digits))

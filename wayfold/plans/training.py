@@ -108,7 +108,7 @@ def with_folds(table: FeatureTable, rows: DataFrame, strategy: str, folds: int,
         return temporal_folds(rows, folds, order), temporal_bounds(rows.count(), folds)
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in table.keys])
     strata = "label" if strategy == "stratified" else None
-    return shuffled_folds(rows, folds, key, seed, strata, group), None
+    return shuffled_folds(rows, folds, key, seed, strata, group, rows=table.encoding.rows), None
 
 
 def split(rows: DataFrame, fold: int, bounds: list | None, gap: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +141,11 @@ class Trainer:
         self.task = table.encoding.task
         self.classes = len(table.encoding.classes or ())
         slim = table.rows.select(*table.keys, *table.features, F.col("label").cast("double").alias("label"))
-        folded, self.bounds = with_folds(table, cut_lineage(slim, "features"), strategy, folds, seed, group)
+        if strategy == "temporal":
+            slim = cut_lineage(slim, "features")  # numbering the rows reads them several times
+        folded, self.bounds = with_folds(table, slim, strategy, folds, seed, group)
         self.rows = cut_lineage(folded, "folds")
+        self._fitted: dict[tuple[str, int], FittedModel] = {}
         self._groups: list[Row] | None = None
 
     def _fold_groups(self) -> list[Row]:
@@ -210,7 +213,9 @@ class Trainer:
 
         def one(fold: int) -> list[tuple[str, int, str, float | None]]:
             train, test = split(self.rows, fold, self.bounds, self.gap)
-            values = self.measure(self._predictions(test, self.fit(learner, train, chosen, fold)))
+            fitted = self.fit(learner, train, chosen, fold)
+            self._fitted[name, fold] = fitted
+            values = self.measure(self._predictions(test, fitted))
             return [(name, fold, m, v) for m, v in values.items()]
 
         with ThreadPoolExecutor(self.parallel) as pool:
@@ -256,15 +261,15 @@ class Trainer:
         return Outcome(
             best, score_rows, summary, ranking, importance(spark, best),
             evaluate(predictions, self.metrics, self.task, self.classes, has_proba),
-            predictions, self.out_of_fold(learner, chosen[winner]), skipped,
+            predictions, cut_lineage(self.out_of_fold(winner), "out_of_fold"), skipped,
         )
 
-    def out_of_fold(self, learner: Learner, settings: dict) -> DataFrame:
-        """Predictions for each tested row by the model that has not seen it, with its ``fold``."""
+    def out_of_fold(self, name: str) -> DataFrame:
+        """Predictions for each tested row by the cross-validated model that has not seen it, with its ``fold``."""
         parts = None
         for fold in range(self.folds):
-            train, test = split(self.rows, fold, self.bounds, self.gap)
-            part = self._predictions(test, self.fit(learner, train, settings, fold)).withColumn("fold", F.lit(fold))
+            _, test = split(self.rows, fold, self.bounds, self.gap)
+            part = self._predictions(test, self._fitted[name, fold]).withColumn("fold", F.lit(fold))
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
