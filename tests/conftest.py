@@ -10,7 +10,7 @@ from wayfold.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", 8)
+    session = local_session(8, "tests", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -44,7 +44,7 @@ def event_block(spark: SparkSession, folder: str) -> int:
 
 
 def split_journeys(spark: SparkSession, folder: str) -> DataFrame:
-    return trajectories(spark, folder, event_block(spark, folder))
+    return trajectories(spark, folder, event_block(spark, folder), True)
 
 
 def plain_journeys(spark: SparkSession, folder: str) -> DataFrame:

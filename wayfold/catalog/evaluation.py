@@ -56,7 +56,7 @@ def priorities(spark, folder):
 def split_areas(spark, folder):
     rows = priorities(spark, folder)
     block = split_block(rows.count() * CLASSES)
-    return rounded(auc_one_vs_rest(rows, "y", "proba", CLASSES, rows_per_block=block), "auc_roc")
+    return rounded(auc_one_vs_rest(rows, "y", "proba", CLASSES, rows_per_block=block, split=True), "auc_roc")
 
 
 def class_table(spark, folder):
@@ -166,7 +166,7 @@ ENTRIES = [
     Entry("eval_classification_binary", lambda s, f: rounded(classification_metrics(grades(s, f), COUNTED), *COUNTED), f"WITH {GRADES}, {PER_CLASS} {COUNTED_SQL}"),
     Entry("eval_per_class", class_table, f"""WITH {PRIORITIES}, {PER_CLASS}
         SELECT CAST(c AS BIGINT) AS class, support, predicted, hits, round(pre, 6) AS "precision", round(rec, 6) AS recall, round(f1, 6) AS f1 FROM sc"""),
-    Entry("eval_auc_binary", lambda s, f: rounded(auc_binary(grades(s, f), F.col("y") == 1, F.col("score"), rows_per_block=split_block(100)), "auc_roc"),
+    Entry("eval_auc_binary", lambda s, f: rounded(auc_binary(grades(s, f), F.col("y") == 1, F.col("score"), rows_per_block=split_block(400), split=True), "auc_roc"),
           f"WITH {GRADES} SELECT round({AUC}, 6) AS auc_roc"),
     Entry("eval_auc_one_vs_rest", lambda s, f: rounded(auc_one_vs_rest(priorities(s, f), "y", "proba", CLASSES), "auc_roc"), OVR),
     Entry("eval_auc_in_blocks", split_areas, OVR),

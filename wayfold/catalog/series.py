@@ -46,7 +46,7 @@ def per_node(spark, folder):
     found = bucket_interval(hourly, series=["node", "lane"])
     made = series_table(
         hourly, lookback="3d", horizon="1d", lags=("1d", "2d"), rolling=("3d",), columns=["arrivals", "avg_wait"],
-        series=["node", "lane"], interval=found, rows_per_block=split_block(found.rows),
+        series=["node", "lane"], interval=found, rows_per_block=split_block(found.rows), split=True,
     )
     out = rounded(made.rows.withColumn("ts", F.col("ts").cast("bigint")), *[c for c in made.rows.columns if c not in ("node", "lane", "ts")])
     return out
@@ -62,7 +62,7 @@ def spacing(spark, folder):
 def ratios(spark, folder):
     sn = snapshots(spark, folder)
     for n in NODES:
-        sn = sn.withColumn(f"n_{n}_util", F.col(f"n_{n}_queue") / F.col("arrivals"))
+        sn = sn.withColumn(f"n_{n}_util", F.try_divide(f"n_{n}_queue", "arrivals"))
     return sn.select(
         "ts", F.round(queue_to_busy(), 6).alias("queue_to_busy_ratio"),
         F.round(imbalance(node_columns(sn.columns, "queue")), 6).alias("queue_imbalance"),
@@ -75,7 +75,7 @@ def relative(spark, folder):
     """A value against its mean over the whole table (a scalar subquery)."""
     sn = snapshots(spark, folder)
     mean = sn.agg(F.avg("in_queue").alias("m")).select("m").scalar()
-    return sn.select("ts", F.round(F.col("in_queue") / mean, 6).alias("queue_relative"))
+    return sn.select("ts", F.round(F.try_divide(F.col("in_queue"), mean), 6).alias("queue_relative"))
 
 
 def stored_features(spark, folder):

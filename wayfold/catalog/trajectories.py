@@ -37,19 +37,19 @@ def counted(spark, folder):
     )
 
 
-def rewarded(spark, folder, rows_per_block=ROWS_PER_BLOCK):
+def rewarded(spark, folder, rows_per_block=ROWS_PER_BLOCK, split=None):
     rules = {
         "throughput": throughput_reward(), "sla": sla_reward(), "cost": cost_reward(),
         "total": composite_reward([(throughput_reward(), 1.0), (sla_reward(), 1.0), (cost_reward(), 0.1)]),
     }
-    found = rewards(counted(spark, folder), rules, rows_per_block)
+    found = rewards(counted(spark, folder), rules, rows_per_block, split)
     return rounded(found.select("eid", "step", *rules), "cost", "total")
 
 
 def moved(spark, folder):
     tr = plain_journeys(spark, folder)
     found = transitions(
-        tr, F.array(r6("s_node_util").cast("float"), F.col("s_steps_done").cast("float")), F.col("node"), r6(-F.col("wait")), 3, event_block(spark, folder)
+        tr, F.array(r6("s_node_util").cast("float"), F.col("s_steps_done").cast("float")), F.col("node"), r6(-F.col("wait")), 3, event_block(spark, folder), True
     )
     return found.select(
         "eid", "step", "action", "reward", "done",
@@ -159,7 +159,7 @@ REWARDS = f"""WITH {COUNTED}
 
 ENTRIES = [
     Entry("reward_columns", rewarded, REWARDS),
-    Entry("reward_columns_in_blocks", lambda s, f: rewarded(s, f, event_block(s, f)), REWARDS),
+    Entry("reward_columns_in_blocks", lambda s, f: rewarded(s, f, event_block(s, f), True), REWARDS),
     Entry("trajectory_transitions", moved, f"""WITH {JOURNEYS},
         le AS (SELECT eid, step, node AS action, round(s_node_util, 4) AS state_0, CAST(s_steps_done AS DOUBLE) AS state_1,
           lead(round(-wait, 6)) OVER w AS reward, lead(done) OVER w AS nd, lead(step) OVER w AS ns,

@@ -11,7 +11,8 @@ key's whole run in one task. Both are avoided in the same way:
    neighbouring slab are copied over its edge, and the window runs per (key, slab).
 
 All of it depends on values only, never on partition ids, so a lost executor's
-work can be redone at any time. When everything fits one block the plain window is used.
+work can be redone at any time. Where no key's run is longer than a block, the plain
+window is used: hash partitions of many short runs are even by themselves.
 """
 
 from __future__ import annotations
@@ -134,14 +135,18 @@ def ordered_rows(
     after: int = 0,
     rows_per_block: int = ROWS_PER_BLOCK,
     rows: int | None = None,
+    split: bool | None = None,
 ) -> OrderedRows:
     """Prepare ``df`` for windows over ``keys`` ordered by ``order``.
 
     ``order`` must be unique within a key and lead with a number. ``before`` and
-    ``after`` say how many neighbouring rows the widest frame touches.
+    ``after`` say how many neighbouring rows the widest frame touches. Runs are split
+    when the longest one exceeds ``rows_per_block``, or as ``split`` says.
     """
     total = df.count() if rows is None else rows
-    cuts = boundaries(df, order[0], total, rows_per_block)
+    if split is None:
+        split = total > rows_per_block and longest_run(df, keys, total) > rows_per_block
+    cuts = boundaries(df, order[0], total, rows_per_block) if split else []
     if not cuts:
         return OrderedRows(df, tuple(keys), tuple(order), False)
     placed = positions_by_block(
@@ -151,6 +156,13 @@ def ordered_rows(
     return OrderedRows(with_edges(placed, size, before, after), tuple(keys), tuple(order), True)
 
 
+def longest_run(df: DataFrame, keys: list[str], rows: int) -> int:
+    """Rows of the largest key, from one count that is combined map-side."""
+    if not keys:
+        return rows
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def with_edges(placed: DataFrame, size: int, before: int, after: int) -> DataFrame:
     """Cut positions into slabs and copy the rows next to an edge into the neighbouring slab."""
     slab = F.floor(F.col(_POSITION) / size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.blocks import ROWS_PER_BLOCK, ordered_rows
 from wayfold.operators.metrics import LOWER_IS_BETTER
 
 
@@ -40,7 +41,10 @@ def common_metrics(experiments: DataFrame) -> DataFrame:
     )
 
 
-def compare_experiments(experiments: DataFrame, metrics: list[str] | None = None, rank_by: str | None = None) -> DataFrame:
+def compare_experiments(
+    experiments: DataFrame, metrics: list[str] | None = None, rank_by: str | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
     """Completed experiments with the shared metrics side by side, ranked by one of them."""
     names = metrics or sorted(r["metric"] for r in common_metrics(experiments).collect())
     if not names:
@@ -54,14 +58,17 @@ def compare_experiments(experiments: DataFrame, metrics: list[str] | None = None
         *[F.try_element_at("metrics", F.lit(n)).alias(n) for n in names],
         F.try_element_at("metrics", F.lit(chosen)).alias("_ranked"),
     )
-    # One row per experiment record, so this single ordering stays small.
-    order = Window.orderBy(better_first(chosen, F.col("_ranked")), "experiment_id")
-    return wide.withColumn("rank", F.row_number().over(order)).drop("_ranked")
+    sign = 1.0 if chosen in LOWER_IS_BETTER else -1.0
+    placed = wide.withColumn("_place", F.coalesce(F.col("_ranked") * sign, F.lit(float("inf"))))
+    rows = ordered_rows(placed, [], ["_place", "experiment_id"], rows_per_block=rows_per_block)
+    return rows.running_sums({"rank": F.lit(1)}).finish().drop("_ranked", "_place")
 
 
 def top_importance(importance: DataFrame, k: int = 20) -> DataFrame:
     """Absolute importances scaled to sum to 1, largest first, ranked, the first ``k``; one row per feature."""
     total = importance.agg(F.sum(F.abs("raw")).alias("t")).select("t").scalar()
     scaled = importance.select("feature", F.coalesce(F.try_divide(F.abs("raw"), total), F.lit(0.0)).alias("importance"))
+    # Only the first k rows are left when they are numbered.
+    first = scaled.orderBy(F.desc("importance"), "feature").limit(k)
     order = Window.orderBy(F.desc("importance"), "feature")
-    return scaled.withColumn("rank", F.row_number().over(order)).orderBy("rank").limit(k)
+    return first.withColumn("rank", F.row_number().over(order)).orderBy("rank")

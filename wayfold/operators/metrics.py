@@ -112,7 +112,7 @@ def classification_metrics(predictions: DataFrame, names: list[str], by: list[st
 
 def auc_binary(
     scored: DataFrame, positive: Column, score: Column, zero_if_undefined: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None,
 ) -> DataFrame:
     """Exact area under the ROC curve; null (or 0) when a class is missing.
 
@@ -120,35 +120,35 @@ def auc_binary(
     running count of negatives runs over blocks of scores, never in one task.
     """
     points = scored.select(F.lit(0).alias("class"), positive.cast("int").alias("hit"), score.cast("double").alias("score"))
-    areas = _areas(points, rows_per_block)
+    areas = _areas(points, rows_per_block, split)
     return areas.agg(_area(zero_if_undefined).alias("auc_roc"))
 
 
 def auc_one_vs_rest(
     scored: DataFrame, y: str, probabilities: str, classes: int, zero_if_undefined: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None,
 ) -> DataFrame:
     """Support-weighted mean of one-versus-rest areas; ``y`` is a class number, ``probabilities`` an array."""
     per_class = F.array(
         *[
             F.struct(F.lit(c).alias("class"), (F.col(y) == c).cast("int").alias("hit"),
-                     F.col(probabilities)[c].cast("double").alias("score"))
+                     F.coalesce(F.get(probabilities, c).cast("double"), F.lit(0.0)).alias("score"))
             for c in range(classes)
         ]
     )
-    areas = _areas(scored.select(F.inline(per_class)), rows_per_block)
+    areas = _areas(scored.select(F.inline(per_class)), rows_per_block, split)
     per = areas.groupBy("class").agg(_area(False).alias("area"), F.sum("hits").alias("support"))
     # One class without positives or without negatives leaves the mean undefined.
     mean = F.when(F.count("area") == classes, F.sum(F.col("area") * F.col("support")) / F.sum("support"))
     return per.agg((F.coalesce(mean, F.lit(0.0)) if zero_if_undefined else mean).alias("auc_roc"))
 
 
-def _areas(points: DataFrame, rows_per_block: int) -> DataFrame:
+def _areas(points: DataFrame, rows_per_block: int, split: bool | None) -> DataFrame:
     by_score = points.groupBy("class", "score").agg(
         F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses")
     )
     # The number of distinct scores is not known ahead; the row count bounds it.
-    rows = ordered_rows(by_score, ["class"], ["score"], rows_per_block=rows_per_block, rows=points.count())
+    rows = ordered_rows(by_score, ["class"], ["score"], 0, 0, rows_per_block, points.count(), split)
     running = rows.running_sums({"upto": F.col("misses")}).finish()
     return running.select(
         "class", "hits", "misses",
@@ -187,7 +187,7 @@ def evaluate(
         if probabilities is None or classes < 2:
             found["auc_roc"] = 0.0 if zero_if_undefined else None
         elif classes == 2:
-            positive, score = F.col("y") == 1, F.col(probabilities)[1]
+            positive, score = F.col("y") == 1, F.coalesce(F.get(probabilities, 1), F.lit(0.0))
             found["auc_roc"] = auc_binary(predictions, positive, score, zero_if_undefined).first()[0]
         else:
             found["auc_roc"] = auc_one_vs_rest(predictions, "y", probabilities, classes, zero_if_undefined).first()[0]

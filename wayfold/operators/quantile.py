@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.session import cut_lineage
+
 # Distinct values that may come to the driver as (value, count) pairs.
 BRACKET_LIMIT = 100_000
 
@@ -29,6 +31,9 @@ def quantiles(
     n = values.count()
     if n == 0:
         return [None] * len(fractions)
+    if n > bracket_limit:
+        # Several passes follow; the one column they need is computed and written once.
+        values = cut_lineage(values, "values")
     spots = [q * (n - 1) for q in fractions]
     if method == "nearest":
         spots = [float(math.floor(s + 0.5)) for s in spots]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayfold.functions.durations import steps
@@ -26,12 +26,10 @@ def bucket_interval(df: DataFrame, ts: str = "ts", series: list[str] | None = No
     require_columns(df, ts)
     values = df.select(epoch_seconds(df, ts).alias("t"), *(series or []))
     if series:
-        # The two smallest times per series, found without sorting any series.
-        least = values.groupBy(*series).agg(F.min("t").alias("a"))
-        second = values.join(least, series).filter(F.col("t") > F.col("a")).groupBy(*series).agg(
-            F.min("t").alias("b"), F.first("a").alias("a")
-        )
-        gap = second.agg(F.min(F.col("b") - F.col("a")).alias("gap")).first()["gap"]
+        # Spark keeps the first two rows per series already before the shuffle, so a hot series stays small.
+        first = values.withColumn("_k", F.row_number().over(Window.partitionBy(*series).orderBy("t"))).filter("_k <= 2")
+        gaps = first.groupBy(*series).agg((F.max("t") - F.min("t")).alias("gap"), F.count(F.lit(1)).alias("n"))
+        gap = gaps.filter("n = 2 and gap > 0").agg(F.min("gap").alias("gap")).first()["gap"]
         found = values.agg(F.count("t").alias("n")).first()
         if gap is None:
             raise ValueError("at least two rows per series are needed")

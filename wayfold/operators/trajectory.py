@@ -60,19 +60,23 @@ def composite_reward(parts: list[tuple[Reward, float]]) -> Reward:
     return build
 
 
-def by_step(df: DataFrame, before: int = 0, after: int = 0, rows_per_block: int = ROWS_PER_BLOCK) -> OrderedRows:
-    return ordered_rows(df, ["eid"], ["step"], before, after, rows_per_block)
+def by_step(
+    df: DataFrame, before: int = 0, after: int = 0, rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None
+) -> OrderedRows:
+    return ordered_rows(df, ["eid"], ["step"], before, after, rows_per_block, split=split)
 
 
-def rewards(df: DataFrame, rules: dict[str, Reward], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def rewards(
+    df: DataFrame, rules: dict[str, Reward], rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None
+) -> DataFrame:
     """One column per named reward; all share one window."""
-    ready = by_step(df, before=1, rows_per_block=rows_per_block)
+    ready = by_step(df, 1, 0, rows_per_block, split)
     return ready.select(*[rule(ready.window).cast("double").alias(n) for n, rule in rules.items()]).finish()
 
 
 def transitions(
     df: DataFrame, state: Column, action: Column, reward: Column, max_steps: int | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None,
 ) -> DataFrame:
     """(eid, step, state, action, reward, next_state, done) of consecutive steps.
 
@@ -81,7 +85,7 @@ def transitions(
     """
     ready = by_step(
         df.select("eid", "step", state.alias("state"), action.alias("action"), reward.alias("reward"), "done"),
-        after=1, rows_per_block=rows_per_block,
+        0, 1, rows_per_block, split,
     )
     w = ready.window
     moved = ready.select(
@@ -113,13 +117,14 @@ def advantages(
     last_value: float = 0.0,
     fan_in: int = FAN_IN,
     rows_per_block: int = ROWS_PER_BLOCK,
+    split: bool | None = None,
 ) -> DataFrame:
     """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done).
 
     The recursion is A(t) = q(t) + p(t) A(t+1), which starts at the last step and is cut
     where an episode is done.
     """
-    ready = by_step(df, after=1, rows_per_block=rows_per_block)
+    ready = by_step(df, 0, 1, rows_per_block, split)
     following = F.coalesce(F.lead("value").over(ready.window), F.lit(float(last_value)))
     goes_on = 1 - F.col("done").cast("double")
     terms = (

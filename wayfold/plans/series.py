@@ -31,10 +31,11 @@ def prepared(
     after: int,
     rows: int,
     rows_per_block: int = ROWS_PER_BLOCK,
+    split: bool | None = None,
 ) -> OrderedRows:
     """Snapshots in time order, with ``_row`` numbering the rows of each window for slopes."""
     timed = snapshots.withColumn("ts", epoch_seconds(snapshots, "ts"))
-    ready = ordered_rows(timed, series or [], ["ts"], before, after, rows_per_block, rows)
+    ready = ordered_rows(timed, series or [], ["ts"], before, after, rows_per_block, rows, split)
     return ready.select(F.row_number().over(ready.window).alias("_row"))
 
 
@@ -53,6 +54,7 @@ def series_table(
     exclude: list[str] | None = None,
     series: list[str] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    split: bool | None = None,
     on_gap: str = "warn",
     interval: Interval | None = None,
 ) -> FeatureTable:
@@ -70,7 +72,7 @@ def series_table(
     reach = max([back, *lag_steps.values(), *roll_steps.values(), *delta_steps.values()])
 
     needed = list(dict.fromkeys(["ts", *(series or []), *sources, target]))
-    ready = prepared(snapshots.select(*needed), series, reach, ahead, spacing.rows, rows_per_block)
+    ready = prepared(snapshots.select(*needed), series, reach, ahead, spacing.rows, rows_per_block, split)
     built = _window_features(ready.window, sources, lag_steps, roll_steps, back if with_trend else 0, delta_steps)
     if with_ratios and {"in_queue", "busy"} <= set(sources):
         built["queue_to_busy_ratio"] = queue_to_busy()

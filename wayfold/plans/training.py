@@ -93,10 +93,12 @@ def predict(df: DataFrame, fitted: FittedModel) -> DataFrame:
     if fitted.classes is None:
         return scored.withColumnRenamed("y_pred", "predicted")
     names = F.array(*[F.lit(c) for c in fitted.classes])
+    # A model that never saw the last classes gives fewer numbers.
+    shares = [F.struct(F.lit(c), F.coalesce(F.get("proba", i), F.lit(0.0))) for i, c in enumerate(fitted.classes)]
     return scored.select(
         *df.columns,
         F.element_at(names, F.col("y_pred") + 1).alias("predicted"),
-        F.map_from_arrays(names, F.slice("proba", 1, len(fitted.classes))).alias("probabilities"),
+        F.map_from_entries(F.array(*shares)).alias("probabilities"),
     )
 
 

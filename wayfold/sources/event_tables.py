@@ -20,11 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def trajectories(spark: SparkSession, folder: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return trajectories_from(table(spark, folder, "events"), rows_per_block)
+def trajectories(
+    spark: SparkSession, folder: str, rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None
+) -> DataFrame:
+    return trajectories_from(table(spark, folder, "events"), rows_per_block, split)
 
 
-def trajectories_from(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def trajectories_from(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, split: bool | None = None) -> DataFrame:
     """A journey is one user's events of one day in time order; it completes unless it ends in an error."""
     steps = events.select(
         F.concat_ws("-", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("eid"),
@@ -35,7 +37,7 @@ def trajectories_from(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -
     )
     rows = ordered_rows(
         steps, ["eid"], ["micros", "event_id"], before=1, after=1, rows_per_block=rows_per_block,
-        rows=events.count(),
+        rows=events.count(), split=split,
     )
     w = rows.window
     rows = rows.select(

@@ -37,7 +37,12 @@ def _now() -> str:
 
 
 def content_hash(df: DataFrame) -> str:
-    """Fingerprint of the rows, whatever their order: row count, hash sum and hash xor, from one aggregation."""
+    """Fingerprint of the rows, whatever their order."""
+    return count_and_hash(df)[1]
+
+
+def count_and_hash(df: DataFrame) -> tuple[int, str]:
+    """Row count, and the digest of schema, count, hash sum and hash xor, from one aggregation."""
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     parts = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -45,7 +50,7 @@ def content_hash(df: DataFrame) -> str:
         F.bit_xor(row_hash).alias("mixed"),
     ).first()
     text = f"{df.schema.simpleString()}|{parts['n']}|{parts['total']}|{parts['mixed']}"
-    return hashlib.sha256(text.encode()).hexdigest()
+    return parts["n"], hashlib.sha256(text.encode()).hexdigest()
 
 
 def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -92,7 +97,7 @@ class DatasetStore:
             laid_out.write.parquet(f"{location}/{layer}")
             # Everything below reads the written files, so a costly source is computed once.
             stored = self.spark.read.schema(df.schema).parquet(f"{location}/{layer}")
-            counts[layer], hashes[layer] = stored.count(), content_hash(stored)
+            counts[layer], hashes[layer] = count_and_hash(stored)
             profile = full_profile(stored).withColumn("layer", F.lit(layer))
             profile.coalesce(1).write.mode("append").parquet(f"{location}/profile")
         combined = hashlib.sha256(json.dumps(hashes, sort_keys=True).encode()).hexdigest()
