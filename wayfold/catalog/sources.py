@@ -71,6 +71,24 @@ def trajectory_names(spark, folder):
     return trajectories_layer(raw)
 
 
+def exported(spark, folder):
+    """Journeys written as small JSON documents (one per 40 seconds and key slice), then loaded like any export."""
+    tr = plain_journeys(spark, folder)
+    record = F.struct(
+        F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"),
+        F.col("done").alias("episode_done"), F.struct(r6("s_elapsed").alias("entity_elapsed_time")).alias("state"),
+        F.struct(r6(-F.col("wait")).alias("time_penalty")).alias("reward"),
+    )
+    documents = (
+        tr.groupBy(F.pmod(F.hash("eid"), F.lit(64)).alias("part"), F.floor(F.col("t_enter") / 40).alias("stretch"))
+        .agg(F.collect_list(record).alias("trajectories"))
+        .select(F.struct(F.lit("1.0").alias("version")).alias("metadata"), "trajectories")
+    )
+    path = fresh_path(spark, "export") + ".json"
+    documents.write.json(path)
+    return load(spark, path, document_per_line=True).trajectories
+
+
 def mapped(spark, folder):
     dataset = load_parquet(spark, f"{folder}/supplier.parquet", {"s_suppkey": "eid", "s_acctbal": "s_cum_cost"})
     return dataset.trajectories.select("eid", "s_name", "s_cum_cost", F.col("s_nationkey").cast("bigint").alias("s_nationkey"))
@@ -130,6 +148,8 @@ ENTRIES = [
         SELECT eid, step, node, done, CAST(3600 AS BIGINT) AS sla_visit_limit, round(s_elapsed, 6) AS s_elapsed,
           round(s_cum_wait, 6) AS s_cum_wait, s_sys_util, s_node_util AS s_r_desk_one_util,
           s_node_avg_queue AS s_attr_size, round(-wait, 6) AS rw_time_penalty, s_steps_done AS ns_steps_done FROM tr"""),
+    Entry("source_layered_json", exported, f"""WITH {JOURNEYS}
+        SELECT eid, step, node, done, round(s_elapsed, 6) AS s_elapsed, round(-wait, 6) AS rw_time_penalty FROM tr"""),
     Entry("source_mapped_names", mapped, """
         SELECT s_suppkey AS eid, s_name, s_acctbal AS s_cum_cost, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"""),
     Entry("store_register_read", registered, f"""WITH {JOURNEYS}

@@ -34,12 +34,20 @@ def final_values(trajectories: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def spread(trajectories: DataFrame, per_entity: DataFrame, *columns: str, steps_per_block: int = STEPS_PER_BLOCK) -> DataFrame:
+def spread(
+    trajectories: DataFrame, per_entity: DataFrame, *columns: str, steps_per_block: int = STEPS_PER_BLOCK,
+    last_step: int | None = None,
+) -> DataFrame:
     """Join per-entity ``columns`` back to every step.
 
     The join key is (entity, block of steps): the entity side is repeated once per
-    block of a long run, so one hot entity spreads over many tasks.
+    block of a long run, so one hot entity spreads over many tasks. If ``last_step``
+    tells that every run fits one block, the entity alone is the key, which reuses a
+    partitioning by entity.
     """
+    if last_step is not None and last_step < steps_per_block:
+        return trajectories.join(per_entity.select("eid", *columns), "eid", "left").select(*trajectories.columns, *columns)
+
     def block(step: Column) -> Column:
         return F.floor(F.greatest(F.coalesce(step, F.lit(0)), F.lit(0)) / steps_per_block)
 
@@ -50,9 +58,11 @@ def spread(trajectories: DataFrame, per_entity: DataFrame, *columns: str, steps_
     return left.join(right, ["eid", "_steps"], "left").select(*trajectories.columns, *columns)
 
 
-def _labelled(trajectories: DataFrame, outcomes: DataFrame, name: str, label: Column) -> DataFrame:
+def _labelled(
+    trajectories: DataFrame, outcomes: DataFrame, name: str, label: Column, last_step: int | None = None
+) -> DataFrame:
     labels = outcomes.select("eid", "last_step", F.when(F.col("completed"), label).alias(name))
-    known = spread(trajectories.drop(name), labels, name)
+    known = spread(trajectories.drop(name), labels, name, last_step=last_step)
     return known.withColumn(name, F.coalesce(F.col(name), F.lit(UNKNOWN)))
 
 
@@ -106,7 +116,8 @@ def delay_severity(
     # Three passes need the one-row-per-entity table; written once, it is aggregated once.
     outcomes = cut_lineage(outcomes.select("eid", "last_step", "completed", "share"), "outcomes")
     cuts = quantiles(outcomes, "share", list(fractions), method)
-    return _labelled(trajectories, outcomes, "delay_severity", _classes(F.col("share"), cuts, names))
+    longest = outcomes.agg(F.max("last_step").alias("last")).first()["last"]
+    return _labelled(trajectories, outcomes, "delay_severity", _classes(F.col("share"), cuts, names), longest)
 
 
 def wait_ratio_class(

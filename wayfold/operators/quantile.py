@@ -49,14 +49,20 @@ def quantiles(
 def values_at_ranks(values: DataFrame, n: int, ranks: list[int], bracket_limit: int) -> dict[int, float]:
     """The value at each 0-based rank of the single column ``x``."""
     if n <= bracket_limit:
-        counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").collect()
-        return _pick(counts, 0, ranks)
+        return _ranked(values, 0, ranks)
     answers: dict[int, float] = {}
     for rank in ranks:
         answers[rank] = _narrow(values, n, rank, bracket_limit)
     return answers
 
 
+def _ranked(values: DataFrame, below: int, ranks: list[int]) -> dict[int, float]:
+    """Values by rank of at most ``bracket_limit`` rows; only the values asked for leave the task."""
+    ordered = values.agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    row = ordered.select(*[F.element_at("xs", F.lit(r - below + 1)).alias(f"r{r}") for r in ranks]).first()
+    return {r: row[f"r{r}"] for r in ranks}
+
+
 def _pick(counts: list, below: int, ranks: list[int]) -> dict[int, float]:
     answers: dict[int, float] = {}
     passed = below
@@ -92,6 +98,8 @@ def _narrow(values: DataFrame, n: int, rank: int, bracket_limit: int) -> float:
             return low
         inside = inside.filter(F.col("x").between(low, high))
         below, size = below + seen["under"], seen["upto"] - seen["under"]
+        if size <= bracket_limit:
+            return _ranked(inside, below, [rank])[rank]
         counts = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        if size <= bracket_limit or counts.count() <= bracket_limit:
+        if counts.count() <= bracket_limit:
             return _pick(counts.orderBy("x").collect(), below, [rank])[rank]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -31,7 +32,8 @@ def report_tables(outcome: Outcome, keys: list[str]) -> dict[str, DataFrame]:
 
 def report_document(facts: dict, tables: dict[str, DataFrame]) -> str:
     """One JSON text. Every table in it is small by construction: a sample, or one row per class, feature or learner."""
-    rows = {name: [json.loads(line) for line in df.toJSON().collect()] for name, df in tables.items()}
-    return json.dumps({**facts, **rows}, sort_keys=True)
+    with ThreadPoolExecutor(4) as pool:
+        rows = pool.map(lambda df: [r.asDict(recursive=True) for r in df.collect()], tables.values())
+        return json.dumps({**facts, **dict(zip(tables, rows))}, sort_keys=True)
 
 

@@ -252,7 +252,8 @@ class Trainer:
         if not scores:
             raise RuntimeError(f"every learner failed: {skipped}")
         spark = self.rows.sparkSession
-        score_rows = spark.createDataFrame(scores, "algorithm string, fold int, metric string, value double")
+        # One row per learner, fold and metric: in one partition, ranking them needs no exchange.
+        score_rows = spark.createDataFrame(scores, "algorithm string, fold int, metric string, value double").coalesce(1)
         summary = fold_summary(score_rows)
         ranking = rank_algorithms(summary, self.metrics[0])
         winner = ranking.where("rank = 1").first()["algorithm"]
@@ -293,7 +294,7 @@ def raw_importance(fitted: FittedModel) -> list[tuple[str, float]]:
 
 
 def importance(spark: SparkSession, fitted: FittedModel) -> DataFrame:
-    raw = spark.createDataFrame(raw_importance(fitted), "feature string, raw double")
+    raw = spark.createDataFrame(raw_importance(fitted), "feature string, raw double").coalesce(1)
     return top_importance(raw, len(fitted.features))
 
 

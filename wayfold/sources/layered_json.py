@@ -182,12 +182,16 @@ def _layer(document: DataFrame, name: str) -> DataFrame | None:
     return document.select(F.inline(F.col(name)))
 
 
-def load_layered_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Dataset:
-    """Read one export, or a folder of them; each file is one document and is parsed by one task.
-
-    With a ``schema`` nothing is inferred and only the layers asked for are parsed.
+def load_layered_json(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, document_per_line: bool = False
+) -> Dataset:
+    """Read one export, or a folder of them.
+
+    A file is one document, parsed by one task, or with ``document_per_line`` many of
+    them, which lets Spark split the file. With a ``schema`` nothing is inferred and
+    only the layers asked for are parsed.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", not document_per_line)
     document = (reader.schema(schema) if schema else reader).json(path)
     raw_snapshots = next((d for n in SNAPSHOT_LAYERS if (d := _layer(document, n)) is not None), None)
     raw_trajectories = _layer(document, "trajectories")
