@@ -193,7 +193,7 @@ def test_advantages_in_rounds(spark, fan_in):
             expected[name, t], ahead = carry, value
         rows += [(name, t, *run[t]) for t in range(n)]
     df = spark.createDataFrame(rows, "eid string, step int, reward double, value double, done boolean").repartition(5)
-    found = advantages(df, 0.9, 0.8, 0.4, fan_in=fan_in, rows_per_block=50).collect()
+    found = advantages(df, 0.9, 0.8, 0.4, fan_in=fan_in).collect()
     assert len(found) == 404
     for r in found:
         assert r["advantage"] == pytest.approx(expected[r["eid"], r["step"]])

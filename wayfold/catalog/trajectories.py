@@ -76,7 +76,7 @@ def long_run(spark, folder):
         (F.col("value") / 100).alias("reward"), (F.col("event_id") % 5 / 10).alias("value"),
         ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("done"),
     )
-    found = advantages(steps, fan_in=FAN_IN, rows_per_block=event_block(spark, folder))
+    found = advantages(steps, fan_in=FAN_IN)
     return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
 
 

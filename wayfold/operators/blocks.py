@@ -27,17 +27,12 @@ from pyspark.sql import functions as F
 ROWS_PER_BLOCK = 1_000_000
 MAX_BOUNDARIES = 10_000
 
-_BLOCK, _POSITION, _SLAB, _COPY, _OFFSET = "_block", "_position", "_slab", "_copy", "_offset"
+_BLOCK, _POSITION, _SLAB, _COPY, _WEIGHT, _CARRY = "_block", "_position", "_slab", "_copy", "_weight", "_carry"
 
 
-def match_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-    """Equi join on equally named columns where null matches null; keeps the left copies."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
-    condition = None
-    for name in names:
-        term = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        condition = term if condition is None else condition & term
-    return left.join(renamed, condition, how).drop(*[f"_r_{n}" for n in names])
+def never_null(key: Column) -> Column:
+    """The key as a text that is never null and differs between different keys, so that null joins null."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
 
 
 def boundaries(df: DataFrame, column: str, rows: int, rows_per_block: int) -> list[float]:
@@ -63,24 +58,32 @@ def with_block(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
 
 
 def positions_by_block(df: DataFrame, keys: list[str], order: list[Column], block: str, out: str) -> DataFrame:
-    """Exact 0-based position of each row within its key, from block-local row numbers plus offsets.
+    """Exact 0-based position of each row within its key, from block-local counting plus offsets.
 
     ``block`` must grow with the order. One block's rows per key meet in a task, never a key's whole run.
+    The offset of a block travels as one extra row in front of the block's own rows, so the rows
+    are shuffled once and nothing is joined.
     """
     counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, block, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(_OFFSET))
-    local = Window.partitionBy(*keys, block).orderBy(*order)
-    return (
-        match_on(df, offsets, [*keys, block])
-        .withColumn(out, (F.col(_OFFSET) + F.row_number().over(local) - 1).cast("bigint"))
-        .drop(_OFFSET)
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *keys, block, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_WEIGHT), F.lit(True).alias(_CARRY)
     )
+    rows = df.select("*", F.lit(1).cast("bigint").alias(_WEIGHT), F.lit(False).alias(_CARRY))
+    up_to_here = (
+        Window.partitionBy(*keys, block).orderBy(F.desc(_CARRY), *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = rows.unionByName(offsets, allowMissingColumns=True).withColumn(out, F.sum(_WEIGHT).over(up_to_here) - 1)
+    return placed.filter(~F.col(_CARRY)).drop(_WEIGHT, _CARRY)
 
 
 @dataclass(frozen=True)
 class OrderedRows:
-    """Rows prepared for ordered windows; ask :attr:`window` for the spec and :meth:`finish` at the end."""
+    """Rows prepared for ordered windows; ask :attr:`window` for the spec and :meth:`finish` at the end.
+
+    In split rows ``keys`` are helper columns that are never null.
+    """
 
     frame: DataFrame
     keys: tuple[str, ...]
@@ -111,20 +114,21 @@ class OrderedRows:
         carried = partial.select(
             *self.keys, _SLAB, *[F.coalesce(F.sum(f"_p_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
         )
-        joined = match_on(values, carried, [*self.keys, _SLAB])
+        # Windows have left the rows partitioned by (key, slab), which this join reuses.
+        joined = values.join(carried, [*self.keys, _SLAB])
         own = [
             (F.col(f"_c_{n}") + F.coalesce(F.sum(F.when(~F.col(_COPY), F.col(f"_v_{n}"))).over(up_to_here), F.lit(0)))
             .alias(n)
             for n in sums
         ]
-        helpers = [f"_{p}_{n}" for n in sums for p in ("v", "c")]
+        helpers = [f"_{p}_{n}" for n in sums for p in "vc"]
         return OrderedRows(joined.select("*", *own).drop(*helpers), self.keys, self.order, True)
 
     def finish(self) -> DataFrame:
         """Drop the copied edge rows and the helper columns."""
         if not self.split:
             return self.frame
-        return self.frame.filter(~F.col(_COPY)).drop(_BLOCK, _POSITION, _SLAB, _COPY)
+        return self.frame.filter(~F.col(_COPY)).drop(*self.keys, _BLOCK, _POSITION, _SLAB, _COPY)
 
 
 def ordered_rows(
@@ -149,11 +153,12 @@ def ordered_rows(
     cuts = boundaries(df, order[0], total, rows_per_block) if split else []
     if not cuts:
         return OrderedRows(df, tuple(keys), tuple(order), False)
+    helpers = {f"_key{i}": never_null(F.col(k)) for i, k in enumerate(keys)}
     placed = positions_by_block(
-        with_block(df, order[0], cuts), keys, [F.col(c) for c in order], _BLOCK, _POSITION
+        with_block(df.withColumns(helpers), order[0], cuts), list(helpers), [F.col(c) for c in order], _BLOCK, _POSITION
     )
     size = max(rows_per_block, before, after)
-    return OrderedRows(with_edges(placed, size, before, after), tuple(keys), tuple(order), True)
+    return OrderedRows(with_edges(placed, size, before, after), tuple(helpers), tuple(order), True)
 
 
 def longest_run(df: DataFrame, keys: list[str], rows: int) -> int:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfold.operators.blocks import ROWS_PER_BLOCK, OrderedRows, match_on, ordered_rows
+from wayfold.operators.blocks import ROWS_PER_BLOCK, OrderedRows, never_null, ordered_rows
 
 # Columns rewards read, and the defaults of rewards and advantages.
 COMPLETED, BREACHES, COST = "completed_count", "sla_breaches", "total_cost"
@@ -111,84 +111,74 @@ def one_step_target(reward: Column, done: Column, next_values: Column, gamma: fl
 
 
 def advantages(
-    df: DataFrame,
-    gamma: float = GAMMA,
-    lam: float = LAMBDA,
-    last_value: float = 0.0,
-    fan_in: int = FAN_IN,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    split: bool | None = None,
+    df: DataFrame, gamma: float = GAMMA, lam: float = LAMBDA, last_value: float = 0.0, fan_in: int = FAN_IN
 ) -> DataFrame:
     """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done).
 
-    The recursion is A(t) = q(t) + p(t) A(t+1), which starts at the last step and is cut
-    where an episode is done.
+    The recursion A(t) = r - v + gamma v(t+1) + gamma lam A(t+1) starts at the last step,
+    where ``last_value`` follows, and is cut where an episode is done.
     """
-    ready = by_step(df, 0, 1, rows_per_block, split)
-    following = F.coalesce(F.lead("value").over(ready.window), F.lit(float(last_value)))
     goes_on = 1 - F.col("done").cast("double")
-    terms = (
-        ready.select(following.alias("_following"))
-        .finish()
-        .select(
-            "eid",
-            F.col("step").cast("bigint").alias("at"),
-            (F.lit(gamma * lam) * goes_on).alias("p"),
-            (F.col("reward") + F.lit(gamma) * F.col("_following") * goes_on - F.col("value")).alias("q"),
-            F.struct(*[c for c in df.columns if c not in ("eid", "step")]).alias("payload"),
-            F.col("step").alias("_step"),
-        )
-        .select("eid", "at", "p", "q", F.struct("_step", "payload").alias("payload"))
+    terms = df.select(
+        never_null(F.col("eid")).alias("run"),
+        F.col("step").cast("bigint").alias("at"),
+        (F.lit(gamma * lam) * goes_on).alias("p"),
+        (F.lit(gamma) * goes_on).alias("g"),
+        (F.col("reward") - F.col("value")).cast("double").alias("r"),
+        F.col("value").cast("double").alias("v"),
+        F.struct(*df.columns).alias("payload"),
     )
     last = df.agg(F.max("step").alias("last")).first()["last"] or 0
-    scanned = backward_scan(terms, int(last), fan_in)
-    rows = scanned.select("eid", F.col("payload._step").alias("step"), "payload.payload.*", F.col("leaves").alias("advantage"))
-    return rows.select(*df.columns, "advantage", (F.col("advantage") + F.col("value")).alias("ret"))
+    scanned = backward_scan(terms, int(last), fan_in, float(last_value))
+    rows = scanned.select("payload.*", F.col("a").alias("advantage"))
+    return rows.select("*", (F.col("advantage") + F.col("value")).alias("ret"))
 
 
-def backward_scan(rows: DataFrame, last: int, fan_in: int) -> DataFrame:
-    """Run a(at) = q + p x a(next at) from the highest ``at`` of each ``eid`` down.
+def backward_scan(rows: DataFrame, last: int, fan_in: int, last_value: float) -> DataFrame:
+    """Run a = r + g x (v behind it) + p x (a behind it) from the highest ``at`` of each ``run`` down.
 
-    Input (eid, at, p, q, payload); adds ``enters`` (what comes from the right) and ``leaves``.
-    A group of ``fan_in`` neighbours acts as one such step itself, so groups are folded
-    on their own, the same scan runs over the folded groups, and each group is then
-    filled in. Every task sees at most ``fan_in`` rows of an episode at a time, and an
-    episode of n steps needs log n rounds; short episodes need one.
+    Input (run, at, p, g, r, v, payload) with a run that is never null; adds ``a``, and what entered from
+    behind as ``a_in`` and ``v_in``. A group of ``fan_in`` neighbours acts as one such step itself, so
+    groups are folded on their own, the same scan runs over the folded groups, and each
+    group is then filled in. Every task sees at most ``fan_in`` rows of a run at a
+    time, and a run of n steps needs log n rounds; short ones need one.
     """
-    grouped = rows.groupBy("eid", F.floor(F.col("at") / fan_in).alias("_group")).agg(
-        F.sort_array(F.collect_list(F.struct("at", "p", "q", "payload")), asc=False).alias("_run")
+    grouped = rows.groupBy("run", F.floor(F.col("at") / fan_in).alias("_group")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "p", "g", "r", "v", "payload")), asc=False).alias("_steps")
     )
     if last < fan_in:
-        entered = grouped.withColumn("_enters", F.lit(0.0))
+        entered = grouped.withColumns({"_a": F.lit(0.0), "_v": F.lit(last_value)})
     else:
+        behind = F.col("_steps")[0]
         folded = F.aggregate(
-            "_run",
-            F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q")),
-            lambda acc, x: F.struct((acc["p"] * x["p"]).alias("p"), (x["q"] + x["p"] * acc["q"]).alias("q")),
+            F.slice("_steps", 2, F.size("_steps")),
+            F.struct(*[behind[n].alias(n) for n in "pgrv"]),
+            lambda acc, x: F.struct(
+                (x["p"] * acc["p"]).alias("p"),
+                (x["p"] * acc["g"]).alias("g"),
+                (x["r"] + x["g"] * acc["v"] + x["p"] * acc["r"]).alias("r"),
+                x["v"].alias("v"),
+            ),
         )
-        lines = grouped.select("eid", F.col("_group").alias("at"), folded.alias("_line")).select(
-            "eid", "at", "_line.p", "_line.q", F.lit(None).cast("int").alias("payload")
+        lines = grouped.select("run", F.col("_group").alias("at"), folded.alias("_line")).select(
+            "run", "at", "_line.*", F.lit(None).cast("int").alias("payload")
         )
-        above = backward_scan(lines, last // fan_in, fan_in).select(
-            "eid", F.col("at").alias("_group"), F.col("enters").alias("_enters")
+        above = backward_scan(lines, last // fan_in, fan_in, last_value).select(
+            "run", F.col("at").alias("_group"), F.col("a_in").alias("_a"), F.col("v_in").alias("_v")
         )
-        entered = match_on(grouped, above, ["eid", "_group"])
+        entered = grouped.join(above, ["run", "_group"])
     payload = rows.schema["payload"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<at:bigint,payload:{payload},enters:double,leaves:double>>")
-    return entered.select(
-        "eid",
-        F.inline(
-            F.aggregate(
-                "_run", F.struct(F.col("_enters").alias("a"), empty.alias("rows")), _scan_step, lambda acc: acc["rows"]
-            )
-        ),
-    )
+    empty = F.array().cast(f"array<struct<at:bigint,payload:{payload},a_in:double,v_in:double,a:double>>")
+    start = F.struct(F.col("_a").alias("a"), F.col("_v").alias("v"), empty.alias("rows"))
+    return entered.select("run", F.inline(F.aggregate("_steps", start, _scan_step, lambda acc: acc["rows"])))
 
 
 def _scan_step(acc: Column, x: Column) -> Column:
-    leaves = x["q"] + x["p"] * acc["a"]
-    row = F.struct(x["at"].alias("at"), x["payload"].alias("payload"), acc["a"].alias("enters"), leaves.alias("leaves"))
-    return F.struct(leaves.alias("a"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    a = x["r"] + x["g"] * acc["v"] + x["p"] * acc["a"]
+    row = F.struct(
+        x["at"].alias("at"), x["payload"].alias("payload"), acc["a"].alias("a_in"), acc["v"].alias("v_in"), a.alias("a")
+    )
+    return F.struct(a.alias("a"), x["v"].alias("v"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
 
 def normalise(df: DataFrame, column: str = "advantage", out: str = "advantage_norm") -> DataFrame:
