@@ -11,6 +11,7 @@ from wayfold.model import Dataset
 from wayfold.operators.discovery import entity_targets, problem_type, series_targets
 from wayfold.operators.profile import column_profile, full_profile
 from wayfold.operators.quality import constant_columns, duplicate_rows, missing_rates, quality_report
+from wayfold.sources.event_tables import snapshots_from, trajectories_from
 from wayfold.sources.files import TIME_NAMES, layer_of, load, load_csv
 from wayfold.sources.layered_json import load_layered_json, reward_name, snapshot_name, state_name, trajectory_name
 from wayfold.sources.store import DatasetStore, ExperimentLog, content_hash, preview
@@ -193,3 +194,15 @@ def test_experiment_log(spark, tmp_path):
         log.create("a", "again", {})
     with pytest.raises(KeyError):
         log.set_status("zzz", "failed")
+
+
+def test_snapshots_fill_empty_buckets(spark):
+    events = spark.sql("""
+        SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-01 00:10:00', 7L, 'click', 4.0D), (2L, timestamp_ntz'2024-01-01 00:50:00', 7L, 'view', 6.0D),
+          (3L, timestamp_ntz'2024-01-01 03:00:00', 8L, 'view', 1.0D) AS t(event_id, ts, user_id, event_type, value)""")
+    rows = snapshots_from(events).orderBy("ts").collect()
+    assert [(r["arrivals"], r["busy"], r["in_queue"], r["avg_wait"]) for r in rows] == [(2, 1, 1, 5.0), (0, 0, 0, 0.0), (0, 0, 0, 0.0), (1, 0, 1, 1.0)]
+    assert snapshots_from(events.where("false")).isEmpty()
+    journeys = {(r["eid"], r["step"]): r for r in trajectories_from(events).collect()}
+    assert journeys["7-2024-01-01", 1]["wait"] == 2400.0 and journeys["7-2024-01-01", 1]["total_time"] == 2400.0 + 600.0
+    assert not journeys["7-2024-01-01", 0]["done"] and journeys["8-2024-01-01", 0]["done"]

@@ -96,10 +96,10 @@ def snapshots_from(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
     bucket = (F.floor(micros / (bucket_seconds * 1_000_000)) * bucket_seconds).cast("bigint")
     filled = events.select(bucket.alias("ts"), "event_type", "value").groupBy("ts").agg(*bucket_measures())
-    ends = events.agg(F.min(bucket).alias("first"), F.max(bucket).alias("last"))
-    grid = ends.select(
-        F.explode(F.sequence("first", "last", F.lit(bucket_seconds).cast("bigint"))).alias("ts")
-    )
+    ends = events.agg(F.min(bucket).alias("first"), F.max(bucket).alias("last")).first()
+    # A range is made in many tasks, where an exploded sequence would be made in one.
+    first, stop = (0, 0) if ends["first"] is None else (ends["first"], ends["last"] + bucket_seconds)
+    grid = events.sparkSession.range(first, stop, bucket_seconds).withColumnRenamed("id", "ts")
     counts = [c for c in filled.columns if c not in ("ts", "avg_wait")]
     return grid.join(filled, "ts", "left").select(
         "ts",
