@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
     """Runs of rows whose texts have about ``limit`` bytes in all; a longer text is a run of its own."""
     if len(texts) == 0:
         return
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64))
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0

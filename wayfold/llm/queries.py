@@ -7,10 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, exact_dedup
+from wayfold.llm import chat, exact_dedup, near_dedup, packing, token_counts
 from wayfold.llm.common import documents
 
 
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str = WORD_VOCABULARY) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, folder))
+
+
+# Links by counting common shingles; components by following the smallest id.
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
@@ -21,6 +55,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), vocabulary(), with_ids=False)
+
+
 _MARKED = "\\### Assistant: </turn> ok"
 
 
@@ -52,8 +90,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.token_counts(documents(spark, folder), vocabulary())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
     "op7_chat_formatting": op7_chat_formatting,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL}
