@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 # Python works on this many bytes of text at once, however many rows an Arrow batch has.
 SLICE_BYTES = 4 << 20
+# A task hands its counts on when it holds so many distinct units.
+HELD_UNITS = 400_000
+# Rows of ids up to this many are broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_IDS = 1_000_000
 
 
 def documents(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
@@ -84,3 +89,53 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total += hashes[k : len(hashes) - size + 1 + k] * _SHINGLE_FACTORS[k]
     return mixed(total)
+
+
+def lower_ascii_words(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case: what bytes.lower and bytes.split do."""
+    return text.lower().split()
+
+
+def counted_units(docs: DataFrame, text_col: str, split: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """Every distinct unit that ``split`` cuts the texts into (unit), and how often they hold it (n)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["unit", "n"])
+
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0), batch.column(0)):
+                for text in byte_lists(texts):
+                    held.update(split(text))
+                if len(held) > HELD_UNITS:
+                    yield out()
+                    held = Counter()
+        if held:
+            yield out()
+
+    found = docs.select(col(text_col).alias("text")).mapInArrow(count, "unit binary, n bigint")
+    return found.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def head_of(table: DataFrame, most: int, count: str = "n") -> int:
+    """The least power of two such that at most ``most`` rows have a count of at least it."""
+    levels = table.groupBy(F.floor(F.log2(F.col(count).cast("double"))).cast("int").alias("level")).agg(F.count("*").alias("rows")).collect()
+    total, cut = 0, 1 << 62
+    for row in sorted(levels, key=lambda r: -r["level"]):
+        total += row["rows"]
+        if total > most:
+            break
+        cut = 1 << row["level"]
+    return cut
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast if they are few; otherwise Spark decides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def having(docs: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """``docs`` with a flag: is the row's id among the distinct ``ids``?"""
+    return docs.join(sized(ids.select(id_col, F.lit(True).alias(flag))), id_col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import byte_lists, col, free_names, mixed, shingle_hashes, text_slices, word_hashes
+from wayfold.llm.common import byte_lists, col, free_names, lower_ascii_words, mixed, shingle_hashes, sized, text_slices, word_hashes
 from wayfold.llm.components import components
 from wayfold.session import cut_lineage
 
@@ -43,13 +43,6 @@ LEAST_AGREE = 48
 # Buckets up to this many classes are compared by a join; larger ones in blocks of BLOCK classes.
 SMALL_BUCKET, BLOCK = 32, 1024
 STAR_ROUNDS = 4
-# Ids up to this many are broadcast as a filter on the documents; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def lower_ascii_words(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case: what bytes.lower and bytes.split do."""
-    return text.lower().split()
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -114,8 +107,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
 
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     narrow = docs.select(col(id_col).alias("rep"), col(text_col).alias("text"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return narrow.join(wanted, "rep", "left_semi").mapInArrow(run, f"rep {kind}, shingles array<bigint>")
+    return narrow.join(sized(ids), "rep", "left_semi").mapInArrow(run, f"rep {kind}, shingles array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -235,5 +227,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = cut_lineage(near_groups(docs, id_col, text_col), "near-groups")
     # An id in several rows is one node: it goes if any of its rows does.
     gone = groups.where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, col(id_col).cast("long") == F.col(name), "left_anti")
+    return docs.join(sized(gone), col(id_col).cast("long") == F.col(name), "left_anti")

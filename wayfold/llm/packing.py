@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from wayfold.llm.common import byte_lists, col, text_slices
-from wayfold.llm.token_counts import encode, splitter
+from wayfold.llm.token_counts import Pieces, splitter
 
 CAPACITY = 4096
 MAX_OPEN = 4096
@@ -38,7 +38,7 @@ class UnitIds:
     """
 
     def __init__(self, path: str, most_ids: int = 2_000_000):
-        self.path, self.split, self.most = path, splitter(path), most_ids
+        self.pieces, self.split, self.most = Pieces(path), splitter(path), most_ids
         self._clear()
 
     def _clear(self) -> None:
@@ -51,7 +51,7 @@ class UnitIds:
     def _learn(self, units: list[bytes]) -> None:
         for at in range(0, len(units), 8192):
             part = units[at : at + 8192]
-            ids = encode(self.path, part)
+            ids = self.pieces.encode(part)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             more, n = int(sizes.sum()), len(self.known)
             while self.used + more > len(self.flat):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, exact_dedup, near_dedup, packing, token_counts
-from wayfold.llm.common import documents
+from wayfold.llm import chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, token_counts, toxicity
+from wayfold.llm.common import crc_fold, documents
 
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -55,10 +55,21 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    models = language.fit(docs, crc_fold("doc_id", 4) != 2)
+    out = language.identify(docs, models)
+    return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary(), with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 _MARKED = "\\### Assistant: </turn> ok"
 
 
@@ -90,6 +101,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), documents(spark, folder, "labels")
+    crf = toxicity.fit(docs, labels.where(crc_fold("doc_id", 3) != 1), crc_fold("doc_id", 3) != 1)
+    out = toxicity.score(docs, crf, spans=False)
+    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Target: the documents labelled as good; the labels of all of them, since this scores likeness and predicts no label."""
+    target = documents(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return lm_score.lm_scores(documents(spark, folder), target)
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, folder), vocabulary())
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -98,8 +122,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL}

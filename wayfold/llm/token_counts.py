@@ -23,12 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import byte_lists, col, text_slices
+from wayfold.llm.common import byte_lists, col, counted_units, head_of, text_slices
 from wayfold.session import cut_lineage
 
 HEAD = 1 << 17
-# A task hands its counts on when it holds so many distinct pre-tokens.
-HELD = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -68,70 +66,40 @@ def splitter(path: str) -> Callable[[bytes], list[bytes]]:
     return bytes.split if drops_white_space(path) else lambda text: [text] if text else []
 
 
-def encode(path: str, units: list[bytes]) -> list[list[int]]:
-    loaded = tokenizer(path)
-    texts = [u.decode("utf-8") for u in units]
-    if path.endswith(".model"):
-        return loaded.encode(texts, num_threads=1)
-    return [e.ids for e in loaded.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def count_pieces(path: str, units: list[bytes]) -> list[int]:
-    if path.endswith(".model"):
-        return [len(x) for x in encode(path, units)]
-    return [len(e) for e in tokenizer(path).encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)]
-
+class Pieces:
+    """Token ids of pre-tokens, by the library's tokenizer.
+    """
 
-def pretoken_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
-    """Every distinct pre-token (unit) and how often the texts hold it (n)."""
+    def __init__(self, path: str):
+        self.path, self.loaded = path, tokenizer(path)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = splitter(path), Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["unit", "n"])
-
-        for batch in batches:
-            for _, texts in text_slices(batch.column(0), batch.column(0)):
-                for text in byte_lists(texts):
-                    held.update(split(text))
-                if len(held) > HELD:
-                    yield out()
-                    held = Counter()
-        if held:
-            yield out()
-
-    found = docs.select(col(text_col).alias("text")).mapInArrow(count, "unit binary, n bigint")
-    return found.groupBy("unit").agg(F.sum("n").alias("n"))
+    def encode(self, units: list[bytes]) -> list[list[int]]:
+        texts = [u.decode("utf-8") for u in units]
+        if self.path.endswith(".model"):
+            return self.loaded.encode(texts, num_threads=1)
+        out: list[list[int] | None] = [None] * len(texts)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.loaded.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
 
 def pieces_of(counts: DataFrame, path: str) -> DataFrame:
     """Number of pieces of each distinct pre-token: unit, n, pieces."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Pieces(path)
         for batch in batches:
-            pieces = pa.array(count_pieces(path, batch.column(0).to_pylist()), pa.int32())
+            pieces = pa.array(list(map(len, encoder.encode(batch.column(0).to_pylist()))), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces], ["unit", "n", "pieces"])
 
     return counts.mapInArrow(tokenize, "unit binary, n bigint, pieces int")
 
 
-def head_of(table: DataFrame, count: str = "n", most: int = HEAD) -> int:
-    """The least power of two such that at most ``most`` rows have a count of at least it."""
-    levels = table.groupBy(F.floor(F.log2(F.col(count).cast("double"))).cast("int").alias("level")).agg(F.count("*").alias("rows")).collect()
-    total, cut = 0, 1 << 62
-    for row in sorted(levels, key=lambda r: -r["level"]):
-        total += row["rows"]
-        if total > most:
-            break
-        cut = 1 << row["level"]
-    return cut
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_tokens."""
     spark = docs.sparkSession
-    table = cut_lineage(pieces_of(pretoken_counts(docs, text_col, path), path), "pieces")
+    table = cut_lineage(pieces_of(counted_units(docs, text_col, splitter(path)), path), "pieces")
     cut = head_of(table, most=head)
     frequent = spark.sparkContext.broadcast({bytes(r["unit"]): r["pieces"] for r in table.where(F.col("n") >= cut).select("unit", "pieces").collect()})
 
