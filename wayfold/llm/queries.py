@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, token_counts, toxicity
+from wayfold.llm import chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, quality, token_counts, toxicity
 from wayfold.llm.common import crc_fold, documents
 
 
@@ -20,6 +20,13 @@ def vocabulary(name: str = WORD_VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, train = documents(spark, folder), crc_fold("doc_id", 3) != 1
+    ranking = quality.fit(docs, documents(spark, folder, "labels").where(train), train)
+    out = quality.score(docs, ranking)
+    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, folder))
 
@@ -120,6 +127,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
