@@ -37,7 +37,7 @@ class UnitIds:
     array, so a text's ids are gathered, not appended.
     """
 
-    def __init__(self, path: str, most_ids: int = 2_000_000):
+    def __init__(self, path: str, most_ids: int = 4_000_000):
         self.pieces, self.split, self.most = Pieces(path), splitter(path), most_ids
         self._clear()
 
@@ -49,8 +49,8 @@ class UnitIds:
         self.used = self.bytes = 0
 
     def _learn(self, units: list[bytes]) -> None:
-        for at in range(0, len(units), 8192):
-            part = units[at : at + 8192]
+        for at in range(0, len(units), 65536):
+            part = units[at : at + 65536]
             ids = self.pieces.encode(part)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             more, n = int(sizes.sum()), len(self.known)

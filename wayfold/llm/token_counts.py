@@ -14,6 +14,7 @@ text is counted whole, in a task's bounded slices of rows; an empty table gives
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -66,18 +67,60 @@ def splitter(path: str) -> Callable[[bytes], list[bytes]]:
     return bytes.split if drops_white_space(path) else lambda text: [text] if text else []
 
 
+# What the vocabulary's file says of its normalizer and pre-tokenizer when words of plain letters can be cut here (fixed values).
+_CUT_AT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# Printable ASCII and the letters of Latin-1: each is one code point in NFC, with a lower case that all versions agree on.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+_PLAIN_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Pieces:
     """Token ids of pre-tokens, by the library's tokenizer.
+
+    If the file's normalizer and pre-tokenizer are the known ones, a pre-token of plain letters is cut by the same pattern here, and the
+    library's own model is asked once for each distinct part; any other pre-token goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.path, self.loaded = path, tokenizer(path)
+        self.model = None
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                said = json.load(f)
+            steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+            known = steps[0].get("pattern") == {"Regex": _CUT_AT} and steps[0].get("invert") and steps[-1].get("type") == "ByteLevel"
+            known = known and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex") and len(steps) == 2
+            if known and (said.get("normalizer") or {}).get("normalizers") == _NORMAL and said.get("post_processor") is None:
+                self.model = self.loaded.model
+                self.added = [t["content"].lower() for t in said.get("added_tokens", ())]
+                self.letters = str.maketrans(_byte_letters())
 
     def encode(self, units: list[bytes]) -> list[list[int]]:
         texts = [u.decode("utf-8") for u in units]
         if self.path.endswith(".model"):
             return self.loaded.encode(texts, num_threads=1)
         out: list[list[int] | None] = [None] * len(texts)
+        if self.model is not None:
+            known: dict[str, list[int]] = {}
+            for k, text in enumerate(texts):
+                if _PLAIN.match(text) and not any(a in text.lower() for a in self.added):
+                    parts = _PLAIN_CUT.findall(text.lower())
+                    ids: list[int] = []
+                    for part in parts:
+                        found = known.get(part)
+                        if found is None:
+                            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                            found = known[part] = [t.id for t in self.model.tokenize(spelt)]
+                        ids = found if len(parts) == 1 else ids + found
+                    out[k] = ids
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, e in zip(rest, self.loaded.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = e.ids
