@@ -83,7 +83,7 @@ class SortedTable:
         hashes = np.array([_one_hash(g) for g in rows], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.values = np.array(list(rows.values()), np.float32).reshape(-1, columns)[order]
+        self.values = np.array(list(rows.values()), np.float32).reshape(len(rows), columns)[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers, and whether each hash is there."""

@@ -8,7 +8,7 @@ The field has two states, toxic and clean. A word's features are itself and its
 of weights; four weights join the states of neighbours. It is fitted by gradient steps on the conditional likelihood, whose
 gradient takes the marginals from forward-backward. The same marginals give the spans of a text (runs of words that are more
 likely toxic) with their offsets, and a document score: a logistic function of the log odds of its strongest word and of the
-expected number of toxic words, fitted on the training documents.
+evidence of all words, fitted on the training documents.
 
 Learning takes a bounded sample of labelled rows (about ``per_class`` toxic and three times as many clean ones at most); scoring reads every whole text.
 
@@ -35,7 +35,7 @@ from wayfold.llm.common import col, text_slices
 PER_CLASS = 1500
 CLEAN_FOR_TOXIC = 3
 # Chance of any toxic word found by accident, and the share of toxic documents it must be in.
-ACCIDENT, MOSTLY = 0.01, 0.9
+ACCIDENT, MOSTLY = 0.01, 0.4
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6)
 STEPS, RATE, SHRINK = 30, 0.5, 1e-5
@@ -148,11 +148,12 @@ class Crf:
         return (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
     def signals(self, marginals: np.ndarray) -> tuple[float, float]:
-        """Of a document: log odds of its strongest word, log of one and the expected number of toxic words."""
+        """Of a document: log odds of its strongest word, log of one and the evidence of all words (minus log of their being clean)."""
         if not len(marginals):
             return -15.0, 0.0
         most = min(max(float(marginals.max()), 3e-7), 1 - 3e-7)
-        return float(np.log(most / (1 - most))), float(np.log1p(marginals[marginals > 0.05].sum()))
+        likely = np.minimum(marginals[marginals > 0.05], 0.999)
+        return float(np.log(most / (1 - most))), float(np.log1p(-np.log1p(-likely).sum()))
 
     def document(self, marginals: np.ndarray) -> float:
         if self.constant is not None:
@@ -227,6 +228,10 @@ def train(texts: list[str], toxic: list[int], share_toxic: float | None = None)
     emission = np.add.reduceat(crf.weights[flat].astype(np.float64), firsts) + crf.bias
     x = np.array([(1.0, *crf.signals(crf.marginals(emission[[known[w] for w in words]] if words else np.empty(0)))) for words in cores])
     crf.score = _logistic(x, np.array(toxic, float))
+    for k in (1, 2):
+        if crf.score[k] < 0:  # more evidence never lowers a score: the other signal says it all
+            x[:, k] = 0
+            crf.score = _logistic(x, np.array(toxic, float))
     # The sample has more toxic texts than there are.
     crf.score[0] += np.log(share_toxic / (1 - share_toxic)) - np.log(np.mean(toxic) / (1 - np.mean(toxic)))
     return crf
