@@ -8,7 +8,7 @@ from wayfold.catalog.entry import OFF_TIES, SNAPSHOTS, Entry, rounded, split_blo
 from wayfold.functions.features import FeatureDefinition, FeatureStore
 from wayfold.functions.ratios import guarded, imbalance, node_columns, queue_to_busy
 from wayfold.operators.blocks import ROWS_PER_BLOCK
-from wayfold.operators.series import bucket_interval, lag, rolling_mean, rolling_std, target_ahead, trend
+from wayfold.operators.series import bucket_interval, lag, rolling_mean, rolling_std, target_ahead, trend, with_running_sums
 from wayfold.plans.series import prepared, series_table
 from wayfold.sources.event_tables import NODES, snapshots, table
 
@@ -59,6 +59,31 @@ def spacing(spark, folder):
     )
 
 
+LONG = 500
+
+
+def long_frames(spark, folder):
+    """Rolling statistics over 500 rows of the event stream, in blocks; their cost does not depend on the frame."""
+    values = table(spark, folder, "events").select(F.col("event_id").cast("double").alias("ts"), "value")
+    rows = values.count()
+    ready = prepared(values, None, LONG, 0, rows, max(LONG, split_block(rows)))
+    w = ready.window
+    built = with_running_sums(ready, {"value": LONG}).select(
+        F.round(rolling_mean("value", w, LONG), 6).alias("mean"), F.round(rolling_std("value", w, LONG), 6).alias("std"),
+        F.round(trend("value", w, LONG) + OFF_TIES, 6).alias("slope"),
+    )
+    return built.finish().select(F.col("ts").cast("bigint").alias("ts"), "mean", "std", "slope")
+
+
+def uneven(spark, folder):
+    """Days with events per node and lane: the smallest first gap, and how many gaps differ from it."""
+    days = table(spark, folder, "events").select(
+        F.col("event_type").alias("node"), (F.col("user_id") % 50).alias("lane"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ts"),
+    ).distinct()
+    found = bucket_interval(days, series=["node", "lane"])
+    return days.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(found.seconds).alias("seconds"), F.lit(found.irregular).cast("bigint").alias("irregular"))
+
+
 def ratios(spark, folder):
     sn = snapshots(spark, folder)
     for n in NODES:
@@ -93,7 +118,7 @@ def stored_features(spark, folder):
     sn = snapshots(spark, folder)
     found = bucket_interval(sn)
     ready = prepared(sn, None, store.reach(names, found.seconds), 0, found.rows, split_block(found.rows))
-    out = ready.select(*store.columns(names, ready.window, found.seconds)).finish()
+    out = store.added(ready, names, found.seconds).finish()
     out = out.withColumn("wait_slope", F.col("wait_slope") + OFF_TIES)
     return rounded(out.select(F.col("ts").cast("bigint").alias("ts"), *names), *names)
 
@@ -150,6 +175,15 @@ ENTRIES = [
           in_queue, busy, round(avg_wait, 6) AS avg_wait FROM sn"""),
     Entry("series_interval", spacing, f"""WITH {SNAPSHOTS}
         SELECT count(*) AS rows, CAST((SELECT min(ts) FROM sn WHERE ts > (SELECT min(ts) FROM sn)) - min(ts) AS DOUBLE) AS seconds, true AS regular FROM sn"""),
+    Entry("series_interval_uneven", uneven, """
+        WITH da AS (SELECT DISTINCT event_type AS node, user_id % 50 AS lane, epoch(date_trunc('day', ts)) AS t FROM events),
+        ga AS (SELECT t - lag(t) OVER w AS gap, row_number() OVER w AS k FROM da WINDOW w AS (PARTITION BY node, lane ORDER BY t))
+        SELECT (SELECT count(*) FROM da) AS rows, CAST((SELECT min(gap) FROM ga WHERE k = 2) AS DOUBLE) AS seconds,
+          (SELECT count(*) FROM ga WHERE gap <> (SELECT min(gap) FROM ga WHERE k = 2)) AS irregular"""),
+    Entry("series_long_frames", long_frames, f"""
+        WITH nu AS (SELECT event_id AS ts, value, row_number() OVER (ORDER BY event_id) AS rn FROM events)
+        SELECT ts, round({full('avg(value)', 'value', LONG)}, 6) AS mean, round({full('stddev_samp(value)', 'value', LONG)}, 6) AS std,
+          round({full('regr_slope(value, rn)', 'value', LONG)} + {OFF_TIES}, 6) AS slope FROM nu"""),
     Entry("series_lag", windowed(lambda w: {"wait_lag_1": lag("avg_wait", w, 1), "wait_lag_4": lag("avg_wait", w, 4)}, before=4),
           plain("round(lag(avg_wait, 1) OVER (ORDER BY ts), 6) AS wait_lag_1, round(lag(avg_wait, 4) OVER (ORDER BY ts), 6) AS wait_lag_4")),
     Entry("series_rolling_mean", windowed(lambda w: {"wait_rmean": rolling_mean("avg_wait", w, 4)}, before=4),

@@ -105,6 +105,44 @@ def newest_of(events, n, small):
     return largest(kept, n, F.col("event_id"), F.col("event_id"), small=0, bracket_limit=100)
 
 
+LARGE = 10_500
+
+
+def large_buffer(known):
+    """A buffer of more rows than a single merge takes; keys are equal or, where ``known`` does not hold, null."""
+    def run(spark, folder):
+        line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.expr(known), F.col("l_quantity")).alias("q"))
+        tie = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.col("l_linenumber").cast("string"))
+        return largest(line, LARGE, F.col("q"), tie)
+    return run
+
+
+def large_buffer_sql(known):
+    return f"""SELECT l_orderkey, l_linenumber, CASE WHEN {known} THEN l_quantity END AS q FROM lineitem
+        ORDER BY q DESC NULLS LAST, lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || l_linenumber LIMIT {LARGE}"""
+
+
+def all_moves(spark, folder):
+    tr = plain_journeys(spark, folder)
+    found = transitions(tr, F.array(r6("s_node_util").cast("float")), F.col("node"), r6(-F.col("wait")), None, event_block(spark, folder), True)
+    return found.select("eid", "step", "action", "reward", "done")
+
+
+def odd_steps(spark, folder):
+    """Episodes on both sides of a group's width, with negative steps and one row without a step."""
+    events = table(spark, folder, "events").where("event_id < 900")
+    return events.select(
+        F.when(F.col("event_id") < 20, "short").otherwise("long").alias("eid"),
+        F.when(~F.col("event_id").isin(7, 500), F.col("event_id") - 300).alias("step"),
+        (F.col("value") / 100).alias("reward"), (F.col("event_id") % 5 / 10).alias("value"), (F.col("event_id") % 97 == 0).alias("done"),
+    )
+
+
+def odd_advantages(spark, folder):
+    found = advantages(odd_steps(spark, folder))
+    return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
+
+
 def tied(spark, folder):
     """The cut falls inside many equal quantities; the tie rule decides."""
     line = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"))
@@ -151,6 +189,9 @@ def advantage_sql(source: str) -> str:
 ROLLOUT = JOURNEYS + ", ro AS (SELECT eid, step, round(s_node_util, 6) AS reward, round(s_sys_util / 2, 6) AS value, done FROM tr)"
 LONG = """ro AS (SELECT CAST(user_id % 3 AS VARCHAR) AS eid, event_id AS step, value / 100 AS reward, event_id % 5 / 10e0 AS value,
         event_type = 'error' AND event_id % 2 = 0 AS done FROM events)"""
+# The step that stands for none comes before all others.
+ODD = """ro AS (SELECT CASE WHEN event_id < 20 THEN 'short' ELSE 'long' END AS eid, CASE WHEN event_id IN (7, 500) THEN -100000 ELSE event_id - 300 END AS step,
+        value / 100 AS reward, event_id % 5 / 10e0 AS value, event_id % 97 = 0 AS done FROM events WHERE event_id < 900)"""
 ADVANTAGE_COLUMNS = f"round(advantage + {OFF_TIES}, 6) AS advantage, round(advantage + value + {OFF_TIES}, 6) AS ret"
 UNIFORM = "((CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|7'), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0)"
 
@@ -167,6 +208,13 @@ ENTRIES = [
           FROM tr WINDOW w AS (PARTITION BY eid ORDER BY step))
         SELECT eid, step, action, reward, nd OR ns >= 3 AS done, state_0, state_1, next_state_0, next_state_1
         FROM le WHERE ns IS NOT NULL AND step < 3"""),
+    Entry("trajectory_transitions_uncapped", all_moves, f"""WITH {JOURNEYS},
+        le AS (SELECT eid, step, node AS action, lead(round(-wait, 6)) OVER w AS reward, lead(done) OVER w AS done, lead(step) OVER w AS ns
+          FROM tr WINDOW w AS (PARTITION BY eid ORDER BY step))
+        SELECT eid, step, action, reward, done FROM le WHERE ns IS NOT NULL"""),
+    Entry("trajectory_advantages_odd_steps", odd_advantages, advantage_sql(ODD) + """
+        SELECT ro.eid, CASE WHEN ro.step > -1000 THEN ro.step END AS step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
+        FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
     Entry("trajectory_advantages", advanced, advantage_sql(ROLLOUT) + """
         SELECT ro.eid, ro.step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
         FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
@@ -185,6 +233,8 @@ ENTRIES = [
     Entry("replay_newest_large", buffered(700, False), "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 700"),
     Entry("replay_largest_ties", tied, """
         SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey ORDER BY q DESC, l_orderkey LIMIT 700"""),
+    Entry("replay_large_ties", large_buffer("true"), large_buffer_sql("true")),
+    Entry("replay_large_null_keys", large_buffer("l_linenumber = 2"), large_buffer_sql("l_linenumber = 2")),
     Entry("replay_uniform", sampled, f"SELECT event_id, value FROM events ORDER BY {UNIFORM} DESC, event_id LIMIT 64"),
     Entry("replay_prioritised", prioritised, f"""
         SELECT event_id, value FROM events WHERE value > 0 ORDER BY ln({UNIFORM}) / pow(value, 0.6e0) DESC, event_id LIMIT 64"""),

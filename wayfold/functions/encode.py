@@ -35,14 +35,13 @@ class Encoding:
 
 
 def encoding_of(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> Encoding:
-    """Text becomes sorted classes, a number with few values too, any other number a regression target."""
+    """Text becomes sorted classes, however many; a number with few values too, any other number a regression target."""
     dtype = df.schema[target].dataType
     if not (is_text(dtype) or is_numeric(dtype)):
         raise ValueError(f"target {target!r} has type {dtype.simpleString()}, which cannot be encoded")
-    # One more than allowed is enough to know that there are too many.
-    seen = df.where(F.col(target).isNotNull()).groupBy(target).count().limit(max_classes + 1).collect()
-    if len(seen) <= max_classes:
+    grouped = df.where(F.col(target).isNotNull()).groupBy(target).count()
+    # A text always has classes, as many as there are; of a number, one value more than allowed tells that it is no class.
+    seen = (grouped if is_text(dtype) else grouped.limit(max_classes + 1)).collect()
+    if is_text(dtype) or len(seen) <= max_classes:
         return Encoding("classification", tuple(sorted(row[0] for row in seen)), sum(row[1] for row in seen))
-    if is_numeric(dtype):
-        return Encoding("regression")
-    raise ValueError(f"target {target!r} has more than {max_classes} classes")
+    return Encoding("regression")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.durations import steps
 from wayfold.functions.ratios import guarded
-from wayfold.operators.series import lag, rolling_mean, rolling_std, trend
+from wayfold.operators.blocks import OrderedRows
+from wayfold.operators.series import lag, rolling_mean, rolling_std, trend, with_running_sums
 
+# Fixed names of the kinds.
 KINDS = ("lag", "rolling_mean", "rolling_std", "trend", "ratio", "derived")
 
 
@@ -76,3 +78,11 @@ class FeatureStore:
     def columns(self, names: list[str], window: WindowSpec | None, interval: float) -> list[Column]:
         """All named features, to be put in one projection."""
         return [self.get(n).column(window, interval) for n in names]
+
+    def added(self, rows: OrderedRows, names: list[str], interval: float) -> OrderedRows:
+        """``rows`` with all named features, long frames at a constant cost for each row."""
+        frames: dict[str, int] = {}
+        for d in map(self.get, names):
+            if d.kind in ("rolling_mean", "rolling_std", "trend"):
+                frames[d.source] = max(frames.get(d.source, 0), d.reach(interval))
+        return with_running_sums(rows, frames).select(*self.columns(names, rows.window, interval))

@@ -68,6 +68,7 @@ class Dataset:
     source_type: str = ""
     source_path: str = ""
     extras: dict = field(default_factory=dict)
+    documents: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.snapshots is None and self.trajectories is None:

@@ -96,6 +96,15 @@ class OrderedRows:
             return Window.partitionBy(*self.keys, _SLAB).orderBy(_POSITION)
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    @property
+    def whole(self) -> WindowSpec:
+        """All rows that a window sees at once, in no order."""
+        return Window.partitionBy(*self.keys, _SLAB) if self.split else Window.partitionBy(*self.keys)
+
+    def numbered(self, out: str) -> "OrderedRows":
+        """The 1-based position within the key: known already where rows were split."""
+        return self.select((F.col(_POSITION) + 1 if self.split else F.row_number().over(self.window).cast("bigint")).alias(out))
+
     def select(self, *columns: Column | str) -> "OrderedRows":
         """Add columns (usually over :attr:`window`) in one projection."""
         return OrderedRows(self.frame.select("*", *columns), self.keys, self.order, self.split)

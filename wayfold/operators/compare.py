@@ -61,7 +61,7 @@ def compare_experiments(
     sign = 1.0 if chosen in LOWER_IS_BETTER else -1.0
     placed = wide.withColumn("_place", F.coalesce(F.col("_ranked") * sign, F.lit(float("inf"))))
     rows = ordered_rows(placed, [], ["_place", "experiment_id"], rows_per_block=rows_per_block)
-    return rows.running_sums({"rank": F.lit(1)}).finish().drop("_ranked", "_place")
+    return rows.numbered("rank").finish().drop("_ranked", "_place")
 
 
 def top_importance(importance: DataFrame, k: int = 20) -> DataFrame:

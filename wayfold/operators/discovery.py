@@ -100,6 +100,13 @@ def entity_targets_from_profile(profile: DataFrame) -> DataFrame:
     )
 
 
+def targets_from_categories(categories: DataFrame, column: str = ENTITY_TARGET) -> DataFrame:
+    """(label, rows, share) of a stored column's classes, one row each, however many there are."""
+    own = categories.where(F.col("name") == column).select(F.col("category").alias("label"), "rows")
+    total = own.agg(F.sum("rows").alias("n")).select("n").scalar()
+    return own.withColumn("share", F.round(F.col("rows") / total, 6))
+
+
 def problem_type(explicit: str | None, layer: str | None, has_snapshots: bool, has_trajectories: bool) -> str:
     """Named type, else by named layer, else by the layers present; with both, time series."""
     if explicit:

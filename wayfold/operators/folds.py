@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.hashing import shuffle_key
-from wayfold.model import MAX_CLASSES
 from wayfold.operators.blocks import ROWS_PER_BLOCK, ordered_rows, positions_by_block
 
 
@@ -31,7 +30,7 @@ def temporal_folds(
     rows = df.count()
     bounds = temporal_bounds(rows, folds)
     ready = ordered_rows(df, [], order, rows_per_block=rows_per_block, rows=rows)
-    numbered = ready.running_sums({"_seen": F.lit(1)}).finish()
+    numbered = ready.numbered("_seen").finish()
     position = (F.col("_seen") - 1).cast("bigint")
     start, size = bounds[0][0], bounds[0][1] - bounds[0][0]
     fold = F.when(position < start, -1).otherwise(F.floor((position - start) / size)).cast("int")
@@ -78,12 +77,9 @@ def _hashed_fold(key: Column, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
-    """Rows per class; more than ``max_classes`` is an error, so the result is small by contract."""
-    rows = df.where(F.col(label).isNotNull()).groupBy(label).count().limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{label!r} has more than {max_classes} classes")
-    return {r[label]: r["count"] for r in rows}
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class: one entry for each class that a model is to tell apart."""
+    return {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
 def weigh(df: DataFrame, label: str, weights: dict) -> DataFrame:
@@ -99,12 +95,12 @@ def balanced_class_weights(counts: dict) -> dict:
     return {c: total / (len(counts) * n) for c, n in counts.items()}
 
 
-def balanced_weights(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    return weigh(df, label, balanced_class_weights(class_counts(df, label, max_classes)))
+def balanced_weights(df: DataFrame, label: str) -> DataFrame:
+    return weigh(df, label, balanced_class_weights(class_counts(df, label)))
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight`` = negatives / positives for class 1 and 1 for class 0."""
-    counts = class_counts(df, label, 2)
+    counts = class_counts(df, label)
     negatives, positives = counts.get(0, 0), counts.get(1, 0)
     return weigh(df, label, {1: negatives / positives} if positives else {})

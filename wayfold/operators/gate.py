@@ -90,7 +90,7 @@ def schema_findings(df: DataFrame, plan: Plan) -> list[tuple[str, str, str, str
     found: list[tuple[str, str, str, str | None]] = []
     types = {f.name: f.dataType for f in df.schema.fields}
     if not plan.derived and plan.target not in types:
-        found.append(("V-03", "features.target", f"target {plan.target} not found", ", ".join(df.columns[:20])))
+        found.append(("V-03", "features.target", f"target {plan.target} not found", ", ".join(df.columns)))
     missing = [c for c in plan.features if c not in types]
     if missing:
         found.append(("V-05", "features.feature_columns", f"features not found: {', '.join(missing)}", None))

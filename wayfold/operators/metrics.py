@@ -198,7 +198,8 @@ def prediction_sample(predictions: DataFrame, keys: list[str], size: int = 100,
     """The first ``size`` rows by key, probabilities rounded to 4 places."""
     columns = [*keys, "y", "y_pred"]
     rounded = [F.transform(probabilities, lambda v: F.round(v, 4)).alias("probabilities")] if probabilities else []
-    return predictions.select(*columns, *rounded).orderBy(*keys).limit(size)
+    sample = predictions.select(*columns, *rounded)
+    return (sample.orderBy(*keys) if keys else sample).limit(size)
 
 
 def imbalance_report(df: DataFrame, label: str, fold: str | None = None) -> DataFrame:

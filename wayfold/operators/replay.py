@@ -12,30 +12,67 @@ from pyspark.sql import functions as F
 from wayfold.functions.hashing import uniform
 from wayfold.operators.quantile import BRACKET_LIMIT, values_at_ranks
 
+# A result up to this many rows is merged from each task's best; both ways give the same rows.
 SMALL = 10_000
+# Bytes of a text that are compared as one number.
+_TEXT_STEP = 6
 
 
 def largest(df: DataFrame, n: int, key: Column, ties: Column, small: int = SMALL, bracket_limit: int = BRACKET_LIMIT) -> DataFrame:
-    """The ``n`` rows with the largest numeric ``key``; ``ties`` decides among equal keys."""
+    """The ``n`` rows with the largest numeric ``key``, null keys last; the smaller ``ties`` decides among equal keys.
+
+    There are never more than ``n``, and fewer only if ``df`` has fewer.
+    """
     if n <= 0:
         return df.limit(0)
     keyed = df.withColumn("_key", key.cast("double"))
     if n <= small:
         return keyed.orderBy(F.desc_nulls_last("_key"), ties).limit(n).drop("_key")
-    values = keyed.select(F.col("_key").alias("x")).where(F.col("x").isNotNull())
-    rows = values.count()
+    facts = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("known")).first()
+    rows, known = facts["rows"], facts["known"]
     if rows <= n:
         return df
-    rank = rows - n
-    cut = values_at_ranks(values, rows, [rank], bracket_limit)[rank]
-    above = keyed.where(F.col("_key") > cut)
-    at_cut = keyed.where(F.col("_key") == cut)
-    missing = n - above.count()
-    level = at_cut.count()
-    if missing >= level:
-        return keyed.where(F.col("_key") >= cut).drop("_key")
-    # Equal keys at the cut: take the first of them by the tie rule.
-    return above.unionByName(at_cut.orderBy(ties).limit(missing)).drop("_key")
+    if known <= n:
+        above, level, missing = keyed.where(F.col("_key").isNotNull()), keyed.where(F.col("_key").isNull()), n - known
+    else:
+        values = keyed.select(F.col("_key").alias("x")).where(F.col("x").isNotNull())
+        rank = known - n
+        cut = values_at_ranks(values, known, [rank], bracket_limit)[rank]
+        above, level = keyed.where(F.col("_key") > cut), keyed.where(F.col("_key") == cut)
+        missing = n - above.count()
+    return above.drop("_key").unionByName(_first(level, ties, missing, bracket_limit).drop("_key"))
+
+
+def _first(level: DataFrame, ties: Column, missing: int, bracket_limit: int) -> DataFrame:
+    """The first ``missing`` rows by ``ties`` (null first), found by exact cut values and not in one task."""
+    if missing <= 0:
+        return level.limit(0)
+    tied = level.withColumn("_tie", ties)
+    text = dict(tied.dtypes)["_tie"] == "string"
+    taken: DataFrame | None = None
+    step = 0
+    while True:
+        if text:
+            part = F.substring(F.col("_tie").cast("binary"), step * _TEXT_STEP + 1, _TEXT_STEP)
+            number = F.conv(F.rpad(F.hex(part), 2 * _TEXT_STEP, "0"), 16, 10).cast("double")
+        else:
+            number = F.col("_tie").cast("double")
+        spot = F.coalesce(number, F.lit(float("-inf")))
+        rows = tied.count()
+        if rows <= missing:
+            found = tied
+            break
+        cut = values_at_ranks(tied.select(spot.alias("x")), rows, [missing - 1], bracket_limit)[missing - 1]
+        under = tied.where(spot < cut)
+        taken = under if taken is None else taken.unionByName(under)
+        missing -= under.count()
+        tied = tied.where(spot == cut)
+        step += 1
+        if not text or tied.where(F.octet_length("_tie") > step * _TEXT_STEP).isEmpty():
+            # What is left is equal in key and tie: any of the rows will do.
+            found = tied.limit(missing)
+            break
+    return (found if taken is None else taken.unionByName(found)).drop("_tie")
 
 
 def newest(df: DataFrame, capacity: int, sequence: str) -> DataFrame:

@@ -7,61 +7,108 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfold.functions.durations import steps
 from wayfold.functions.time import epoch_seconds
 from wayfold.model import require_columns
+from wayfold.operators.blocks import OrderedRows, ordered_rows
 
 
 @dataclass(frozen=True)
 class Interval:
-    """Spacing of a series: the first gap, and whether all gaps could be equal to it."""
+    """Spacing of a series: the first gap, and how many gaps differ from it."""
 
     seconds: float
     rows: int
-    regular: bool
+    irregular: int
+
+    @property
+    def regular(self) -> bool:
+        return self.irregular == 0
 
 
 def bucket_interval(df: DataFrame, ts: str = "ts", series: list[str] | None = None, on_gap: str = "warn") -> Interval:
-    """First gap of the series in seconds (of all series: the smallest first gap)."""
+    """First gap of the series in seconds (of all series: the smallest first gap), and the number of gaps that differ."""
     require_columns(df, ts)
-    values = df.select(epoch_seconds(df, ts).alias("t"), *(series or []))
-    if series:
+    keys = series or []
+    values = df.select(epoch_seconds(df, ts).alias("t"), *keys).where(F.col("t").isNotNull())
+    if keys:
         # Spark keeps the first two rows per series already before the shuffle, so a hot series stays small.
-        first = values.withColumn("_k", F.row_number().over(Window.partitionBy(*series).orderBy("t"))).filter("_k <= 2")
-        gaps = first.groupBy(*series).agg((F.max("t") - F.min("t")).alias("gap"), F.count(F.lit(1)).alias("n"))
+        first = values.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("t"))).filter("_k <= 2")
+        gaps = first.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("gap"), F.count(F.lit(1)).alias("n"))
         gap = gaps.filter("n = 2 and gap > 0").agg(F.min("gap").alias("gap")).first()["gap"]
-        found = values.agg(F.count("t").alias("n")).first()
         if gap is None:
             raise ValueError("at least two rows per series are needed")
-        return Interval(float(gap), found["n"], True)
-    head = [r["t"] for r in values.orderBy("t").limit(2).collect()]
-    if len(head) < 2:
-        raise ValueError("at least two rows are needed to tell the interval")
-    gap = head[1] - head[0]
-    if gap <= 0:
-        raise ValueError("times must increase from row to row")
-    span = values.agg(F.count("t").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
-    regular = abs((span["hi"] - span["lo"]) / (span["n"] - 1) - gap) < 1e-6 * gap
-    if not regular and on_gap == "error":
-        raise ValueError("the series is irregular: its first gap is not its mean gap")
-    return Interval(float(gap), span["n"], regular)
+    else:
+        head = [r["t"] for r in values.orderBy("t").limit(2).collect()]
+        if len(head) < 2:
+            raise ValueError("at least two rows are needed to tell the interval")
+        gap = head[1] - head[0]
+        if gap <= 0:
+            raise ValueError("times must increase from row to row")
+    rows = values.count()
+    ready = ordered_rows(values, keys, ["t"], before=1, rows=rows)
+    followed = ready.select((F.col("t") - F.lag("t").over(ready.window)).alias("gap")).finish()
+    irregular = followed.agg(F.count_if(F.abs(F.col("gap") - F.lit(float(gap))) > 1e-6 * gap).alias("n")).first()["n"]
+    if irregular and on_gap == "error":
+        raise ValueError(f"the series is irregular: {irregular} gaps differ from the first")
+    return Interval(float(gap), rows, int(irregular))
 
 
 def lag(column: str, w: WindowSpec, k: int) -> Column:
     return F.lag(column, k).over(w)
 
 
+# From frames of so many rows on, rolling statistics are differences of running sums.
+LONG_FRAME = 32
+
+
+def with_running_sums(rows: OrderedRows, frames: dict[str, int]) -> OrderedRows:
+    """Adds what long frames need: per column the running count and sums of x, x^2 and i x, for finite values.
+
+    A moving frame looks at all its rows again for each row, so its cost is rows x frame; a difference of two running
+    sums costs the same for any frame. Values are centred on the mean of the rows a window sees, which keeps the differences exact
+    to rounding. ``frames`` gives the longest frame of each column; short ones need nothing.
+    """
+    long = [c for c, k in frames.items() if k >= LONG_FRAME]
+    if not long:
+        return rows
+    centred = rows.select(*[F.coalesce(F.avg(c).over(rows.whole), F.lit(0.0)).alias(f"_mid_{c}") for c in long])
+    running = rows.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = []
+    for c in long:
+        x = F.col(c).cast("double") - F.col(f"_mid_{c}")
+        sums.append(F.count(c).over(running).alias(f"_count_{c}"))
+        for name, term in (("sum", x), ("square", x * x), ("moment", x * F.col("_row"))):
+            sums.append(F.coalesce(F.sum(term).over(running), F.lit(0.0)).alias(f"_{name}_{c}"))
+    return centred.select(*sums)
+
+
+def running_helpers(frames: dict[str, int]) -> list[str]:
+    return [f"_{n}_{c}" for c, k in frames.items() if k >= LONG_FRAME for n in ("mid", "count", "sum", "square", "moment")]
+
+
+def _over_frame(name: str, column: str, w: WindowSpec, k: int) -> Column:
+    total = F.col(f"_{name}_{column}")
+    return total - F.coalesce(F.lag(total, k).over(w), F.lit(0))
+
+
 def _full(value: Column, column: str, w: WindowSpec, k: int) -> Column:
-    return F.when(F.count(column).over(w.rowsBetween(1 - k, 0)) == k, value)
+    n = _over_frame("count", column, w, k) if k >= LONG_FRAME else F.count(column).over(w.rowsBetween(1 - k, 0))
+    return F.when(n == k, value)
 
 
 def rolling_mean(column: str, w: WindowSpec, k: int) -> Column:
-    """Mean of the last ``k`` rows, null until there are ``k`` values."""
+    """Mean of the last ``k`` rows, null until there are ``k`` values; long frames need :func:`with_running_sums`."""
+    if k >= LONG_FRAME:
+        return _full(_over_frame("sum", column, w, k) / k + F.col(f"_mid_{column}"), column, w, k)
     return _full(F.avg(column).over(w.rowsBetween(1 - k, 0)), column, w, k)
 
 
 def rolling_std(column: str, w: WindowSpec, k: int) -> Column:
     """Sample standard deviation of the last ``k`` rows, null until there are ``k`` values."""
+    if k >= LONG_FRAME:
+        total = _over_frame("sum", column, w, k)
+        squares = _over_frame("square", column, w, k) - total * total / k
+        return _full(F.sqrt(F.greatest(squares, F.lit(0.0)) / (k - 1)), column, w, k)
     return _full(F.stddev_samp(column).over(w.rowsBetween(1 - k, 0)), column, w, k)
 
 
@@ -72,12 +119,12 @@ def trend(column: str, w: WindowSpec, k: int) -> Column:
     """
     if k < 2:
         return F.lit(None).cast("double")
+    if k >= LONG_FRAME:
+        middle = F.col("_row") - (k - 1) / 2
+        slope = (_over_frame("moment", column, w, k) - middle * _over_frame("sum", column, w, k)) / (k * (k * k - 1) / 12)
+        return _full(slope, column, w, k)
     return _full(F.regr_slope(F.col(column).cast("double"), F.col("_row")).over(w.rowsBetween(1 - k, 0)), column, w, k)
 
 
 def target_ahead(column: str, w: WindowSpec, k: int) -> Column:
     return F.lead(column, k).over(w)
-
-
-def duration_steps(text: str, interval: float, least: int = 1) -> int:
-    return steps(text, interval, least)

@@ -21,7 +21,7 @@ GAMMA = 0.99
 LAMBDA = 0.95
 
 # Neighbouring steps one task folds at a time in a backward scan.
-FAN_IN = 256
+FAN_IN = 32
 
 Reward = Callable[[WindowSpec], Column]
 
@@ -116,20 +116,22 @@ def advantages(
     """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done).
 
     The recursion A(t) = r - v + gamma v(t+1) + gamma lam A(t+1) starts at the last step,
-    where ``last_value`` follows, and is cut where an episode is done.
+    where ``last_value`` follows, and is cut where an episode is done. Steps may be negative; rows without a step stand
+    before the first step of their run.
     """
+    ends = df.agg(F.min("step").cast("bigint").alias("low"), F.max("step").cast("bigint").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
     goes_on = 1 - F.col("done").cast("double")
     terms = df.select(
         never_null(F.col("eid")).alias("run"),
-        F.col("step").cast("bigint").alias("at"),
+        F.coalesce(F.col("step").cast("bigint") - F.lit(low) + 1, F.lit(0)).cast("bigint").alias("at"),
         (F.lit(gamma * lam) * goes_on).alias("p"),
         (F.lit(gamma) * goes_on).alias("g"),
         (F.col("reward") - F.col("value")).cast("double").alias("r"),
         F.col("value").cast("double").alias("v"),
         F.struct(*df.columns).alias("payload"),
     )
-    last = df.agg(F.max("step").alias("last")).first()["last"] or 0
-    scanned = backward_scan(terms, int(last), fan_in, float(last_value))
+    scanned = backward_scan(terms, high - low + 1, fan_in, float(last_value))
     rows = scanned.select("payload.*", F.col("a").alias("advantage"))
     return rows.select("*", (F.col("advantage") + F.col("value")).alias("ret"))
 

@@ -15,6 +15,9 @@ from wayfold.operators.observation import drop_unknown, observe
 from wayfold.operators.selection import entity_features
 
 
+ROW_KEY = "row_key"
+
+
 @dataclass(frozen=True)
 class FeatureTable:
     """Feature rows with key columns and ``label``; ``features`` keeps the column order."""
@@ -44,7 +47,10 @@ def feature_columns(df: DataFrame, target: str, skip_ratios: tuple[str, ...] = (
     ratios = entity_ratios(df.columns, skip_ratios)
     if not selected and not ratios:
         raise ValueError("no numeric feature column found")
-    keys = [c for c in ("eid", "step") if c in df.columns]
+    keys = [F.col(c) for c in ("eid", "step") if c in df.columns]
+    if not keys:
+        # Rows without a key of their own are told apart by their content; rows equal in all columns share a fold.
+        keys = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW_KEY)]
     return df.where(F.col(target).isNotNull()).select(
         *keys,
         *[F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c) for c in selected],
@@ -68,6 +74,6 @@ def entity_table(
     encoding = encoding_of(rows, target)
     if encoding.classes is not None and not encoding.classes:
         raise ValueError(f"no row is left after observing {point!r}")
-    keys = tuple(c for c in ("eid", "step") if c in rows.columns)
+    keys = tuple(c for c in ("eid", "step") if c in rows.columns) or (ROW_KEY,)
     features = tuple(c for c in rows.columns if c not in (*keys, target))
     return FeatureTable(rows.withColumn("label", encoding.column(target)), keys, features, target, encoding)

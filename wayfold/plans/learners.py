@@ -70,7 +70,8 @@ def _linear(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
         )
     chosen = {**LOGISTIC, **{k: v for k, v in settings.items() if k == "maxIter"}}
     strength = settings.get("C", 1.0)
-    return LogisticRegression(**_common(True), regParam=1.0 / (strength * max(facts.rows, 1)), **chosen)
+    # The penalty falls on the coefficients of the raw features.
+    return LogisticRegression(**_common(True), standardization=False, regParam=1.0 / (strength * max(facts.rows, 1)), **chosen)
 
 
 def _forest(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
@@ -95,25 +96,37 @@ class Learners:
 
     def __init__(self) -> None:
         self._known: dict[str, Learner] = {}
+        self._aliases: dict[str, str] = {}
 
     def register(self, learner: Learner) -> None:
         if learner.name in self._known:
             raise ValueError(f"learner {learner.name!r} exists already")
         self._known[learner.name] = learner
 
+    def alias(self, other: str, name: str) -> None:
+        """``other`` is one more name of the learner ``name``."""
+        if other in self._known or other in self._aliases:
+            raise ValueError(f"learner {other!r} exists already")
+        self._aliases[other] = self.get(name).name
+
     def get(self, name: str) -> Learner:
-        if name not in self._known:
+        found = self._known.get(self._aliases.get(name, name))
+        if found is None:
             raise KeyError(f"no learner {name!r}")
-        return self._known[name]
+        return found
 
     def names(self) -> list[str]:
-        return sorted(self._known)
+        """Every name that :meth:`get` knows."""
+        return sorted([*self._known, *self._aliases])
 
 
 def default_learners() -> Learners:
     found = Learners()
     found.register(Learner("gbt", _boosting, space=lambda task: SPACES["gbt"]))
     found.register(Learner("random_forest", _forest, space=lambda task: SPACES["random_forest"]))
+    # Fixed names under which settings from elsewhere ask for gradient-boosted trees.
+    for other in ("lightgbm", "xgboost"):
+        found.alias(other, "gbt")
     found.register(Learner("linear", _linear, space=lambda task: SPACES[f"linear_{task}"]))
     return found
 

@@ -20,6 +20,7 @@ from wayfold.operators.series import (
     rolling_std,
     target_ahead,
     trend,
+    with_running_sums,
 )
 from wayfold.plans.entity import FeatureTable
 
@@ -73,6 +74,8 @@ def series_table(
 
     needed = list(dict.fromkeys(["ts", *(series or []), *sources, target]))
     ready = prepared(snapshots.select(*needed), series, reach, ahead, spacing.rows, rows_per_block, split)
+    longest = max([*roll_steps.values(), back if with_trend else 0], default=0)
+    ready = with_running_sums(ready, {c: longest for c in sources})
     built = _window_features(ready.window, sources, lag_steps, roll_steps, back if with_trend else 0, delta_steps)
     if with_ratios and {"in_queue", "busy"} <= set(sources):
         built["queue_to_busy_ratio"] = queue_to_busy()

@@ -6,6 +6,7 @@ rows see one ``explode`` and one projection.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,11 +108,12 @@ STATE_RESOURCE_FORM = r"resource_([a-zA-Z0-9_]+?)_(utilization|capacity)"
 
 
 def _metric(raw: str, prefix: str, short: str, metrics: dict[str, str]) -> str | None:
-    """``prefix_<name>_<metric>`` with a name free of underscores; a longer name is unknown."""
+    """``prefix_<name>_<metric>``; the longest known metric ends the name, which may hold underscores itself."""
     if not raw.startswith(prefix):
         return None
-    name, _, metric = raw.removeprefix(prefix).partition("_")
-    return f"{short}_{name}_{metrics[metric]}" if name and metric in metrics else None
+    rest = raw.removeprefix(prefix)
+    found = max((m for m in metrics if rest.endswith(f"_{m}") and len(rest) > len(m) + 1), key=len, default=None)
+    return None if found is None else f"{short}_{rest.removesuffix(f'_{found}')}_{metrics[found]}"
 
 
 def snapshot_name(raw: str) -> str | None:
@@ -173,6 +175,13 @@ def trajectories_layer(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
+def unknown_fields(raw: DataFrame, layer: str) -> list[str]:
+    """Top-level fields of a raw layer that no column is made of."""
+    if layer == "snapshots":
+        return [n for n in raw.columns if snapshot_name(n) is None]
+    return [n for n in raw.columns if trajectory_name(n) is None and n not in ("state", "reward", "next_state")]
+
+
 def _layer(document: DataFrame, name: str) -> DataFrame | None:
     if name not in document.columns:
         return None
@@ -197,15 +206,20 @@ def load_layered_json(
     raw_trajectories = _layer(document, "trajectories")
     if raw_snapshots is None and raw_trajectories is None:
         raise ValueError(f"neither snapshots nor trajectories in {path}")
-    extras = {
-        n: document.select(F.to_json(n).alias("j")).first()["j"]
-        for n in ("metadata", "summary")
-        if n in document.columns and isinstance(document.schema[n].dataType, T.StructType)
-    }
+    told = [n for n in ("metadata", "summary") if n in document.columns and isinstance(document.schema[n].dataType, T.StructType)]
+    # A row for each document with the file it comes from; the first by file name stands in the dataset's record.
+    documents = document.select(F.input_file_name().alias("file"), *[F.to_json(n).alias(n) for n in told])
+    first = documents.orderBy("file", *told).first() if told else None
+    extras = {n: first[n] for n in told} if first else {}
+    if raw_snapshots is not None:
+        extras["unknown_snapshot_fields"] = json.dumps(unknown_fields(raw_snapshots, "snapshots"))
+    if raw_trajectories is not None:
+        extras["unknown_trajectory_fields"] = json.dumps(unknown_fields(raw_trajectories, "trajectories"))
     return Dataset(
         None if raw_snapshots is None else snapshots_layer(raw_snapshots),
         None if raw_trajectories is None else trajectories_layer(raw_trajectories),
         "layered_json",
         path,
         extras,
+        documents,
     )

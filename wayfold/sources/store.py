@@ -11,12 +11,11 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.model import Dataset
-from wayfold.operators.profile import full_profile
+from wayfold.model import Dataset, text_columns
+from wayfold.operators.profile import category_counts, full_profile
 
 LAYERS = ("snapshots", "trajectories")
 LAYER_ORDER = {"snapshots": ("ts",), "trajectories": ("eid", "step")}
@@ -29,6 +28,7 @@ EXPERIMENT_RECORD = (
     "experiment_id string, name string, experiment_type string, status string, updated_at string, created_at string, "
     "config string, metrics map<string,double>, result string, report string"
 )
+CATEGORY_RECORD = "name string, category string, rows bigint, layer string"
 PREVIEW_ROWS = (1, 100)
 
 
@@ -54,10 +54,15 @@ def count_and_hash(df: DataFrame) -> tuple[int, str]:
 
 
 def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """The records at ``path``; none only if there is no such path, so a broken table is an error."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
 def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
@@ -84,8 +89,12 @@ class DatasetStore:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def register(self, dataset: Dataset, name: str = "") -> str:
-        """Write the layers sorted and split by their order, then hash and profile what was written."""
+    def register(self, dataset: Dataset, name: str = "", exact: bool = True) -> str:
+        """Write the layers sorted and split by their order, then hash and profile what was written.
+
+        ``exact=False`` takes distinct counts from sketches, which shuffles no values. Categories of text columns are stored
+        beside the profile, one row each, however many there are.
+        """
         location = f"{self.folder}/data-{uuid.uuid4().hex}"
         hashes: dict[str, str] = {}
         counts: dict[str, int] = {}
@@ -98,8 +107,11 @@ class DatasetStore:
             # Everything below reads the written files, so a costly source is computed once.
             stored = self.spark.read.schema(df.schema).parquet(f"{location}/{layer}")
             counts[layer], hashes[layer] = count_and_hash(stored)
-            profile = full_profile(stored).withColumn("layer", F.lit(layer))
+            profile = full_profile(stored, exact).withColumn("layer", F.lit(layer))
             profile.coalesce(1).write.mode("append").parquet(f"{location}/profile")
+            if text_columns(stored):
+                counted = category_counts(stored).withColumn("layer", F.lit(layer))
+                counted.write.mode("append").parquet(f"{location}/categories")
         combined = hashlib.sha256(json.dumps(hashes, sort_keys=True).encode()).hexdigest()
         now = _now()
         dataset_id = hashlib.sha256(f"{name}{now}{combined}".encode()).hexdigest()[:12]
@@ -128,6 +140,9 @@ class DatasetStore:
             raise KeyError(f"no dataset {dataset_id!r}")
         return record
 
+    def layers(self, dataset_id: str) -> list[str]:
+        return list(self._require(dataset_id)["layers"])
+
     def read(self, dataset_id: str, layer: str) -> DataFrame:
         """A registered layer; an unknown or missing one is an error."""
         if layer not in LAYERS:
@@ -140,6 +155,11 @@ class DatasetStore:
     def profile(self, dataset_id: str, layer: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._require(dataset_id)['location']}/profile").where(F.col("layer") == layer)
 
+    def categories(self, dataset_id: str, layer: str) -> DataFrame:
+        """(name, category, rows) of the layer's text columns, all of them."""
+        path = f"{self._require(dataset_id)['location']}/categories"
+        return _records(self.spark, path, CATEGORY_RECORD).where(F.col("layer") == layer).drop("layer")
+
     def delete(self, dataset_id: str) -> None:
         """Mark the record as deleted and remove the dataset's files."""
         location = self._require(dataset_id)["location"]
