@@ -12,7 +12,7 @@ from wayfold.plans.models import ModelStore
 from wayfold.plans.series import series_table
 from wayfold.plans.training import Trainer, predict
 from wayfold.session import cut_lineage, fresh_path
-from wayfold.sources.event_tables import snapshots
+from wayfold.sources.event_tables import snapshots, table
 from wayfold.sources.store import ExperimentLog
 
 LIGHT = {
@@ -37,6 +37,57 @@ def ridge(spark, folder):
     return scored.select("ts", F.round("predicted", 4).alias("predicted"))
 
 
+def two_valued(spark, folder, label, encoding):
+    """One feature with two values, so that every learner's answer is known: what it says of each of them."""
+    rows = table(spark, folder, "events").select("event_id", (F.col("event_type") == "click").cast("double").alias("clicked"), label.alias("label"))
+    return FeatureTable(rows, ("event_id",), ("clicked",), "label", encoding)
+
+
+def said(spark, fitted):
+    return predict(spark.createDataFrame([(0.0,), (1.0,)], "clicked double"), fitted)
+
+
+def logistic_rates(spark, folder):
+    """Without a penalty worth its name, logistic regression gives the (class-balanced) rates of both groups."""
+    trainer = Trainer(two_valued(spark, folder, (F.col("value") > 60).cast("int"), Encoding("classification", ("low", "high"))), ["accuracy"], "stratified", 2)
+    fitted = trainer.fit(trainer.learners.get("linear"), trainer.rows, {"C": 1e9})
+    return said(spark, fitted).select("clicked", F.round(F.col("probabilities")["high"], 3).alias("high"), "predicted")
+
+
+def group_means(name, settings):
+    """A tree of depth 1 on all rows, alone or as the first of a boosting, gives the means of both groups."""
+    def run(spark, folder):
+        trainer = Trainer(two_valued(spark, folder, F.col("value"), Encoding("regression")), ["rmse"], "shuffled", 2)
+        return said(spark, trainer.fit(trainer.learners.get(name), trainer.rows, settings)).select("clicked", F.round("predicted", 4).alias("predicted"))
+    return run
+
+
+def ridge_by_fold(spark, folder):
+    trainer = Trainer(one_feature(spark, folder), ["rmse"], "temporal", 5)
+    scores = spark.createDataFrame(trainer.cross_validate("linear", {"alpha": 50.0}), "algorithm string, fold int, metric string, value double")
+    return scores.select("algorithm", "fold", "metric", F.round("value", 4).alias("value"))
+
+
+def saved_ridge(spark, folder):
+    """The same fit as learn_ridge, saved, loaded and then applied."""
+    trainer = Trainer(one_feature(spark, folder), ["rmse"], "temporal", 3)
+    fitted = trainer.fit(trainer.learners.get("linear"), trainer.rows, {"alpha": 50.0})
+    models = ModelStore(spark, fresh_path(spark, "models"))
+    loaded = models.load(models.save("ridge", fitted, "none", {}))
+    return predict(snapshots(spark, folder), loaded).select("ts", F.round("predicted", 4).alias("predicted"))
+
+
+def keyless(spark, folder):
+    """An experiment on a table without entity or step: it completes and its record says so."""
+    rows = table(spark, folder, "orders").select(
+        F.col("o_totalprice").alias("s_cum_cost"), (F.col("o_custkey") % 7).cast("double").alias("s_elapsed"), F.col("o_orderpriority").alias("status"),
+    )
+    log = ExperimentLog(spark, fresh_path(spark, "experiments"))
+    plan = Experiment("entity_classification", "keyless", "status", ("linear",), ("accuracy",), 2, columns=("s_cum_cost", "s_elapsed"), settings={"linear": {"maxIter": 5}})
+    result = run_experiment(rows, plan, log)
+    return log.experiments().select("name", "status", F.col("report").isNotNull().alias("reported"), F.lit(len(result.outcome.best.classes) if result.outcome else 0).alias("classes"))
+
+
 def hourly(spark, folder):
     return series_table(snapshots(spark, folder), lags=("1h", "2h"), rolling=("2h",), columns=["arrivals", "in_queue", "busy"])
 
@@ -49,9 +100,9 @@ def breached(spark, folder):
     return entity_table(plain_journeys(spark, folder), "sla_breach", "entry_only", columns=ENTITY_COLUMNS)
 
 
-def cross_validated(name, make, metrics, strategy):
+def cross_validated(name, make, metrics, strategy, folds=2):
     def run(spark, folder):
-        trainer = Trainer(make(spark, folder), metrics, strategy, 2, settings=LIGHT, parallel=2)
+        trainer = Trainer(make(spark, folder), metrics, strategy, folds, settings=LIGHT, parallel=2)
         scores = spark.createDataFrame(trainer.cross_validate(name), "algorithm string, fold int, metric string, value double")
         return scores
     return run
@@ -89,15 +140,35 @@ def experiment(spark, folder):
     return scored.groupBy("predicted").agg(F.count(F.lit(1)).alias("rows"))
 
 
-ENTRIES = [
-    Entry("learn_ridge", ridge, f"""WITH {SNAPSHOTS},
+MEANS = """SELECT CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END AS clicked, round(avg(value), 4) AS predicted FROM events GROUP BY 1"""
+RIDGE = f"""WITH {SNAPSHOTS},
         mo AS (SELECT avg(arrivals) AS mx, avg(avg_wait) AS my, covar_pop(arrivals, avg_wait) * count(*) AS sxy,
                var_pop(arrivals) * count(*) AS sxx FROM sn)
-        SELECT ts, round(my + sxy / (sxx + 50e0) * (arrivals - mx), 4) AS predicted FROM sn, mo"""),
-    Entry("learn_linear_series", cross_validated("linear", hourly, ["rmse", "mae", "mape", "r2"], "temporal")),
+        SELECT ts, round(my + sxy / (sxx + 50e0) * (arrivals - mx), 4) AS predicted FROM sn, mo"""
+
+ENTRIES = [
+    Entry("learn_ridge", ridge, RIDGE),
+    Entry("learn_saved_ridge", saved_ridge, RIDGE),
+    Entry("learn_logistic_rates", logistic_rates, """
+        WITH g AS (SELECT CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END AS clicked, count(*) FILTER (value > 60) AS a, count(*) FILTER (NOT value > 60) AS b FROM events GROUP BY 1),
+        p AS (SELECT clicked, (a / sum(a) OVER ()) / (a / sum(a) OVER () + b / sum(b) OVER ()) AS high FROM g)
+        SELECT clicked, round(high, 3) AS high, CASE WHEN high > 0.5 THEN 'high' ELSE 'low' END AS predicted FROM p"""),
+    Entry("learn_forest_stump", group_means("random_forest", {"numTrees": 1, "maxDepth": 1, "bootstrap": False}), MEANS),
+    Entry("learn_boosting_stump", group_means("gbt", {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0}), MEANS),
+    Entry("learn_ridge_by_fold", ridge_by_fold, f"""WITH {SNAPSHOTS},
+        nu AS (SELECT arrivals AS x, avg_wait AS y, row_number() OVER (ORDER BY ts) - 1 AS place, count(*) OVER () AS n FROM sn),
+        fo AS (SELECT f AS fold, n - 5 * (n // 6) + f * (n // 6) AS lo, n - 5 * (n // 6) + (f + 1) * (n // 6) AS hi FROM (SELECT DISTINCT n FROM nu), range(5) r(f)),
+        mo AS (SELECT fold, lo, hi, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+          FROM fo JOIN nu ON place < lo GROUP BY fold, lo, hi)
+        SELECT 'linear' AS algorithm, CAST(fold AS INTEGER) AS fold, 'rmse' AS metric,
+          round(sqrt(avg((y - (my + sxy / (sxx + 50e0) * (x - mx))) ** 2)), 4) AS value
+        FROM mo JOIN nu ON place >= lo AND place < hi GROUP BY fold"""),
+    Entry("learn_keyless", keyless, """
+        SELECT 'keyless' AS name, 'completed' AS status, true AS reported, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS classes FROM orders"""),
+    Entry("learn_linear_series", cross_validated("linear", hourly, ["rmse", "mae", "mape", "r2"], "temporal", 5)),
     Entry("learn_forest_series", cross_validated("random_forest", hourly, ["rmse"], "temporal")),
     Entry("learn_boosting_series", cross_validated("gbt", hourly, ["rmse"], "temporal")),
-    Entry("learn_logistic_entity", cross_validated("linear", delayed, ["f1_weighted", "auc_roc", "precision", "recall"], "stratified")),
+    Entry("learn_logistic_entity", cross_validated("linear", delayed, ["f1_weighted", "auc_roc", "precision", "recall"], "stratified", 5)),
     Entry("learn_forest_entity", cross_validated("random_forest", delayed, ["f1_weighted"], "stratified")),
     Entry("learn_boosting_binary", cross_validated("gbt", breached, ["auc_roc"], "stratified")),
     Entry("learn_boosting_classes", cross_validated("gbt", delayed, ["f1_weighted"], "shuffled")),
