@@ -8,6 +8,7 @@ from wayfold.catalog.entry import JOURNEYS, Entry, plain_journeys, rounded
 from wayfold.catalog.labelling import NEAREST_DELAY, WAIT_CLASS
 from wayfold.functions.durations import seconds_column
 from wayfold.functions.encode import encoding_of
+from wayfold.operators.folds import balanced_weights
 from wayfold.functions.ratios import entity_ratios, observation_vector
 from wayfold.operators.observation import drop_unknown, observe
 from wayfold.operators.labels import wait_ratio_class
@@ -58,6 +59,14 @@ def encoded(spark, folder):
     return texts.unionByName(counts).groupBy("target", "value", "label").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def many_classes(spark, folder):
+    """A text target with 25 classes: their numbers, and weights that balance them."""
+    rows = table(spark, folder, "events").select((F.col("user_id") % 25).cast("string").alias("kind"))
+    encoding = encoding_of(rows, "kind")
+    weighed = balanced_weights(rows.select("kind", encoding.column("kind").cast("bigint").alias("label")), "label")
+    return weighed.groupBy("kind", "label").agg(F.round(F.first("weight"), 6).alias("weight"))
+
+
 def chosen(spark, folder):
     tr = plain_journeys(spark, folder).withColumn("s_attr_size", F.col("step") * 2).withColumn("sla_x", F.lit(1.0))
     columns = entity_features(tr, "status")
@@ -96,6 +105,9 @@ FEATURES = f"""WITH {JOURNEYS}, lb AS ({NEAREST_DELAY})
         FROM tr JOIN lb ON tr.eid = lb.eid AND tr.step = lb.step WHERE delay_severity <> 'unknown'"""
 
 ENTRIES = [
+    Entry("entity_many_classes", many_classes, """
+        WITH g AS (SELECT CAST(user_id % 25 AS VARCHAR) AS kind, count(*) AS n FROM events GROUP BY 1)
+        SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS label, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM g"""),
     Entry("entity_delayed_at_entry", delayed_features, FEATURES + " AND tr.step = 0"),
     Entry("entity_delayed_all_steps", lambda s, f: delayed_features(s, f, "all_steps"), FEATURES),
     Entry("entity_ratios", ratios, f"WITH {JOURNEYS} SELECT eid, step, {RATIOS} FROM tr"),

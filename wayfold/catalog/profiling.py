@@ -49,6 +49,13 @@ def sketched(spark, folder):
     return columns_of(column_profile(table(spark, folder, "lineitem"), exact=False))
 
 
+def sketch_error(spark, folder):
+    """Are sketched distinct counts within three times their stated relative error (0.05)?"""
+    line = table(spark, folder, "lineitem")
+    exact, near = (column_profile(line, exact=e).select("name", F.col("unique_count").alias(n)) for e, n in ((True, "e"), (False, "s")))
+    return exact.join(near, "name").select("name", (F.abs(F.col("e") - F.col("s")) <= 0.15 * F.col("e")).alias("within"))
+
+
 def categories(spark, folder):
     return category_counts(table(spark, folder, "documents"), ["lang", "source"]).unionByName(
         category_counts(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
@@ -134,6 +141,7 @@ SERIES_NUMBERS = [
 ]
 
 ENTRIES = [
+    Entry("profile_sketch_error", sketch_error, "SELECT column_name AS name, true AS within FROM (DESCRIBE lineitem)"),
     Entry("profile_orders", orders_profile, profile_sql(
         "orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"])),
     Entry("profile_journeys", journeys_profile, f"WITH {JOURNEYS} " + profile_sql(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, plain_journeys, r6, rounded
 from wayfold.model import Dataset
+from wayfold.operators.discovery import targets_from_categories
 from wayfold.session import fresh_path
 from wayfold.sources.event_tables import snapshots, table
 from wayfold.sources.files import load, load_csv, load_parquet
@@ -133,6 +134,43 @@ def fingerprint(spark, folder):
     return spark.createDataFrame(rows, "name string, content_hash string")
 
 
+def fingerprint_rules(spark, folder):
+    """The fingerprint does not depend on the order of rows, and changes with a single value."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "value")
+    changed = events.withColumn("value", F.when(F.col("event_id") == 17, F.col("value") + 1).otherwise(F.col("value")))
+    own = content_hash(events)
+    told = (own == content_hash(events.repartition(7, "event_type")), own != content_hash(changed))
+    return spark.createDataFrame([told], "same_in_any_order boolean, changes_with_a_value boolean")
+
+
+def one_document(layer):
+    """Both layers in one document over many lines, nodes with underscores in their names."""
+    def run(spark, folder):
+        sn = snapshots(spark, folder)
+        states = sn.where("bucket_idx % 6 = 0").select(F.struct(
+            F.col("ts").alias("timestamp"), F.col("bucket_idx").alias("bucket_index"), F.col("arrivals").alias("sys_cumulative_arrivals"),
+            F.col("n_view_queue").alias("node_front_desk_queue"), F.lit("x").alias("colour"),
+        ).alias("s"))
+        journeys = plain_journeys(spark, folder).where("step < 2 AND s_node_avg_queue = 3").select(
+            F.struct(F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"), F.col("done").alias("episode_done")).alias("t")
+        )
+        document = states.agg(F.collect_list("s").alias("state_snapshots")).join(
+            journeys.agg(F.collect_list("t").alias("trajectories"), F.count(F.lit(1)).alias("n")), F.lit(True)
+        ).select(F.struct(F.lit("2.0").alias("version")).alias("metadata"), "state_snapshots", "trajectories")
+        path = fresh_path(spark, "document") + ".json"
+        document.coalesce(1).write.json(path)
+        return load(spark, path).layers()[layer]
+    return run
+
+
+def stored_categories(spark, folder):
+    """Customers' names: one category each, far more than a profile row lists."""
+    store = DatasetStore(spark, fresh_path(spark, "store"))
+    lines = table(spark, folder, "lineitem").select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("status"), "l_quantity")
+    dataset_id = store.register(Dataset(None, lines), "orders", exact=False)
+    return targets_from_categories(store.categories(dataset_id, "trajectories"))
+
+
 ENTRIES = [
     Entry("source_csv", csv_round, """
         SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""),
@@ -165,4 +203,11 @@ ENTRIES = [
           arg_max(value, event_id) FILTER (event_type = 'purchase') AS score, max(event_id) AS event_id
         FROM events GROUP BY user_id"""),
     Entry("store_content_hash", fingerprint),
+    Entry("store_content_hash_rules", fingerprint_rules, "SELECT true AS same_in_any_order, true AS changes_with_a_value"),
+    Entry("store_categories", stored_categories, """
+        SELECT 'order ' || l_orderkey AS label, count(*) AS rows, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1"""),
+    Entry("source_one_document_snapshots", one_document("snapshots"), f"""WITH {SNAPSHOTS}
+        SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn WHERE bucket_idx % 6 = 0"""),
+    Entry("source_one_document_trajectories", one_document("trajectories"), f"""WITH {JOURNEYS}
+        SELECT eid, step, node, done FROM tr WHERE step < 2 AND s_node_avg_queue = 3"""),
 ]
