@@ -11,14 +11,15 @@ Links are found without writing out all pairs of a group:
 2. Bands of ``ROWS`` coordinates make buckets. A round of stars compares one pivot of each bucket with the bucket's other
    classes that are not yet in its component; more rounds take other pivots while that leaves much to compare.
 3. Pairs of one bucket that are still in different components are then compared exhaustively: in small buckets by a join, in
-   large ones block against block, where only pairs whose sketches agree in at least ``LEAST_AGREE`` coordinates go on.
-4. Every pair that goes on is verified on the full shingle sets, and links are contracted to components.
+   large ones block against block inside a task, where only pairs whose sketches agree in at least ``LEAST_AGREE`` coordinates go
+   on, and only links that join components come out.
+4. Every link is verified on the full shingle sets, and links are contracted to components.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^3)^32 = 2.4e-8, and agrees in fewer than 48 of 96
 coordinates with probability below 1e-7; beyond that no link between different components is lost.
 
 Cases: null and empty texts have no shingles and no links; fewer words than the shingle size make one shingle; rows that share an
-id are one node; a null id takes part in no link, has no component and is kept; very long texts are shingled whole; an
+id are one node (of several different texts under one id, large buckets compare one); a null id takes part in no link, has no component and is kept; very long texts are shingled whole; an
 empty table gives an empty table.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +42,11 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 T, ROWS = 96, 3
 LEAST_AGREE = 48
-# Buckets up to this many classes are compared by a join; larger ones in blocks of BLOCK classes.
-SMALL_BUCKET, BLOCK = 32, 1024
-STAR_ROUNDS = 4
+# Buckets up to this many classes are compared by a join; larger ones in blocks of about BLOCK classes or BLOCK_SHINGLES shingles at most.
+SMALL_BUCKET, BLOCK, BLOCK_SHINGLES = 32, 1024, 500_000
+STAR_ROUNDS = 2
+# Sketching holds several numbers for each shingle, so it takes less text at once.
+SLICE_BYTES = 1 << 20
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -82,7 +86,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_slices(batch.column(0), batch.column(1)):
+            for ids, texts in text_slices(batch.column(0), batch.column(1), SLICE_BYTES):
                 sets = [shingle_set(t) for t in byte_lists(texts)]
                 rows = sketches(sets)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -119,33 +123,46 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(F.lit(of) * F.col("both") >= F.lit(low) * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of large buckets whose sketches agree enough: blocks of BLOCK classes are compared two at a time.
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components inside large buckets: blocks of classes are compared two at a time.
 
-    The blocks of a bucket are cut by a hash of the id, and each task gets one pair of blocks, whatever the size of the bucket.
+    The blocks of a bucket are cut by a hash of the id, and each task gets one pair of blocks with their sketches and shingle sets,
+    whatever the size of the bucket. A pair is looked at in the first band that it shares, only if its classes are in different
+    components, and only links that join components are given, fewer than a block pair has classes.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     cut = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cut = cut.withColumn("other", F.explode(everyone))
-    cut = cut.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "comp", "n_shingles", "sketch")
+    cut = cut.join(sets.dropDuplicates(["rep"]), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select(
+        "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "band", "rep", "comp", "sketch", "shingles",
+    )
 
     def compare(table: pa.Table) -> pa.Table:
-        rep = np.asarray(table["rep"])
-        comp, n, block = (np.asarray(table[c]) for c in ("comp", "n_shingles", "block"))
+        rep, comp, block = (table[c].to_numpy().copy() for c in ("rep", "comp", "block"))
+        one, two, band = (table[c][0].as_py() for c in ("one", "two", "band"))
         sketch = np.asarray(table["sketch"].combine_chunks().flatten()).reshape(len(rep), T)
-        same = table["one"][0].as_py() == table["two"][0].as_py()
+        lists = table["shingles"].combine_chunks()
+        values, n = np.asarray(lists.flatten()).view(np.uint64), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        first = np.cumsum(n) - n
         us, vs = [], []
-        for i in range(len(rep)):
-            if not same and block[i] != table["one"][0].as_py():
+        for i in np.flatnonzero(block == one).tolist():
+            at = np.flatnonzero((comp != comp[i]) & (SIMILAR[1] * np.minimum(n, n[i]) >= SIMILAR[0] * np.maximum(n, n[i])) & ((rep > rep[i]) if one == two else (block == two)))
+            same = sketch[at] == sketch[i]
+            at, same = at[(wide := same.sum(axis=1) >= LEAST_AGREE)], same[wide]
+            at = at[same.reshape(len(at), T // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
+            if not len(at):
                 continue
-            fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))
-            fits &= (rep > rep[i]) if same else (block != block[i])
-            at = np.flatnonzero(fits)
-            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= LEAST_AGREE]
-            us.append(np.minimum(rep[at], rep[i]))
-            vs.append(np.maximum(rep[at], rep[i]))
-        return pa.table({"u": np.concatenate(us) if us else rep[:0], "v": np.concatenate(vs) if vs else rep[:0]})
+            own = values[first[i] : first[i] + n[i]]
+            ends = np.cumsum(n[at])
+            theirs = values[np.arange(ends[-1]) + np.repeat(first[at] - (ends - n[at]), n[at])]
+            found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(found, ends - n[at])
+            for k in at[SIMILAR[1] * both >= SIMILAR[0] * (n[at] + n[i] - both)].tolist():
+                if comp[k] != comp[i]:
+                    us.append(min(rep[k], rep[i]))
+                    vs.append(max(rep[k], rep[i]))
+                    comp[comp == comp[k]] = comp[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return cut.groupBy("bucket", "one", "two").applyInArrow(compare, "u bigint, v bigint")
 
@@ -159,7 +176,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = cut_lineage(classes, "classes")
 
     bands = F.array(*[F.xxhash64(F.lit(b), *(F.col("sketch")[b * ROWS + k] for k in range(ROWS))) for b in range(T // ROWS)])
-    banded = classes.select("rep", F.explode(bands).alias("bucket"))
+    banded = classes.select("rep", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut_lineage(banded.join(shared, "bucket"), "buckets")
 
@@ -180,8 +197,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         still = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         return cut_lineage(now.join(still, "bucket"), "open")
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
         nonlocal links, tried, labels
+        if more is not None:
+            links = links.unionByName(cut_lineage(more, "block-links"))
         pairs = pairs.distinct().join(tried, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
         tried = tried.unionByName(pairs)
@@ -193,7 +212,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     now = placed()
     for turn in range(STAR_ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "comp")).alias("p")
+        # Another pivot in each bucket, so that a large group is compared with many of its members.
+        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "rep").alias("h"), "rep", "comp")).alias("p")
         pivots = now.groupBy("bucket").agg(pivot).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own"))
         settle(ordered(now.join(pivots, "bucket").where("comp <> own")))
         now = placed()
@@ -211,7 +231,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = one.join(two, "bucket").where("rep_1 < rep_2 AND comp_1 <> comp_2")
     joined = joined.where("100 * least(n_shingles_1, n_shingles_2) >= 75 * greatest(n_shingles_1, n_shingles_2)")
     near = joined.select(F.col("rep_1").alias("u"), F.col("rep_2").alias("v"))
-    settle(near.unionByName(_block_pairs(known.where(F.col("size") > SMALL_BUCKET).drop("size"))))
+    settle(near, _block_links(known.where(F.col("size") > SMALL_BUCKET), sets))
 
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("comp", "rep").alias("component"))
