@@ -23,6 +23,7 @@ HEADLINE = (
     "entity_delayed_at_entry",
     "entity_delayed_all_steps",
     "series_features",
+    "series_long_frames",
     "profile_journeys",
     "quality_duplicates",
     "gate_entity",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators.blocks import ordered_rows
+from wayfold.operators.blocks import blocked, ordered_rows
 from wayfold.operators.labels import spread
 from wayfold.operators.quantile import quantiles
 from wayfold.operators.replay import largest
@@ -129,3 +129,16 @@ def test_folds_share_out_every_row(spark):
     assert [r["fold"] for r in timed] == [-1] * 23 + [i for i in range(4) for _ in range(20)]
     with pytest.raises(ValueError):
         temporal_bounds(3, 5)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_one_leading_value_holds_nearly_all_rows(spark, text):
+    """Equal times, or equal scores: the next order column splits them, and no block is much larger than asked."""
+    ids = F.format_string("x%05d", "id") if text else F.col("id")
+    df = spark.range(3000).select(ids.alias("name"), F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(F.lit(777.0)).alias("t")).repartition(5)
+    cut = blocked(df, ["t", "name"], 3000, 200)
+    sizes = [r["count"] for r in cut.groupBy("_block").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 600
+    rows = ordered_rows(df, [], ["t", "name"], rows_per_block=200, split=True).numbered("n").finish().orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 3001))
+    assert [(r["t"], r["name"]) for r in rows] == sorted((r["t"], r["name"]) for r in rows)

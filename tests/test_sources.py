@@ -206,3 +206,14 @@ def test_snapshots_fill_empty_buckets(spark):
     journeys = {(r["eid"], r["step"]): r for r in trajectories_from(events).collect()}
     assert journeys["7-2024-01-01", 1]["wait"] == 2400.0 and journeys["7-2024-01-01", 1]["total_time"] == 2400.0 + 600.0
     assert not journeys["7-2024-01-01", 0]["done"] and journeys["8-2024-01-01", 0]["done"]
+
+
+def test_scratch_is_removed_on_request(spark):
+    from pathlib import Path
+
+    from wayfold.session import cut_lineage, remove_scratch, scratch_mark
+
+    mark = scratch_mark()
+    kept = cut_lineage(spark.range(3).toDF("x"), "kept")
+    path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and remove_scratch(spark, mark) == 1 and not path.exists()

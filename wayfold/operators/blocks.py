@@ -4,7 +4,8 @@ A window with no key plans as one task, and a window over a hot key puts that
 key's whole run in one task. Both are avoided in the same way:
 
 1. boundaries over the leading order column (approximate percentiles, so a crowded
-   stretch gets more of them) split every run into blocks;
+   stretch gets more of them) split every run into blocks; a value that fills whole blocks by itself gets a block of its
+   own, which boundaries over the next order column split;
 2. rows per (key, block) are counted, map-side first, and summed up to offsets, which
    turns a block-local row number into the row's exact position within its key;
 3. positions are cut into slabs of equal size, the rows a frame needs from the
@@ -36,14 +37,49 @@ def never_null(key: Column) -> Column:
 
 
 def boundaries(df: DataFrame, column: str, rows: int, rows_per_block: int) -> list[float]:
-    """Strictly increasing cut points with about ``rows_per_block`` rows between them."""
+    """Increasing cut points with about ``rows_per_block`` rows between them; a crowded value comes several times."""
     wanted = min(MAX_BOUNDARIES, math.ceil(rows / rows_per_block))
     if wanted < 2:
         return []
     fractions = [i / wanted for i in range(1, wanted)]
     accuracy = max(10_000, 20 * wanted)
     cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, accuracy).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    return sorted(cuts or [])
+
+
+def in_number_order(df: DataFrame, column: str) -> Column:
+    """A number that never falls as the column rises: itself, or the first six bytes of a text."""
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def blocked(df: DataFrame, order: list[str], rows: int, rows_per_block: int) -> DataFrame | None:
+    """``df`` with a block number that grows with the order, or None if one block holds everything."""
+    found = boundaries(df, order[0], rows, rows_per_block)
+    cuts = sorted(set(found))
+    # Whole numbers beyond 2^53 are not told apart as doubles.
+    crowded = [c for c in cuts if found.count(c) > 1 and abs(c) < 2**53] if len(order) > 1 and len(cuts) < len(found) else []
+    cuts = sorted({*cuts, *(math.nextafter(c, math.inf) for c in crowded)})
+    if not cuts:
+        return None
+    placed = with_block(df, order[0], cuts)
+    if not crowded:
+        return placed
+    # The crowded values' own blocks hold one leading value each, so the next column decides the order inside.
+    lead, follow = F.col(order[0]).cast("double"), in_number_order(df, order[1])
+    share = {c: found.count(c) + 1 for c in crowded}
+    most = max(share.values())
+    fractions = [i / most for i in range(1, most)]
+    inner = (
+        df.where(lead.isin(crowded)).groupBy(lead.alias("lead"))
+        .agg(F.percentile_approx(follow, fractions, max(10_000, 20 * most)).alias("cuts")).collect()
+    )
+    below = F.lit(0)
+    for row in inner:
+        found_below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(row["cuts"]))]), lambda c: c < follow))
+        below = F.when(lead == row["lead"], found_below).otherwise(below)
+    return placed.withColumn(_BLOCK, F.col(_BLOCK).cast("bigint") * (most + 1) + F.coalesce(below, F.lit(0)))
 
 
 def with_block(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
@@ -159,13 +195,11 @@ def ordered_rows(
     total = df.count() if rows is None else rows
     if split is None:
         split = total > rows_per_block and longest_run(df, keys, total) > rows_per_block
-    cuts = boundaries(df, order[0], total, rows_per_block) if split else []
-    if not cuts:
-        return OrderedRows(df, tuple(keys), tuple(order), False)
     helpers = {f"_key{i}": never_null(F.col(k)) for i, k in enumerate(keys)}
-    placed = positions_by_block(
-        with_block(df.withColumns(helpers), order[0], cuts), list(helpers), [F.col(c) for c in order], _BLOCK, _POSITION
-    )
+    cut = blocked(df.withColumns(helpers), order, total, rows_per_block) if split else None
+    if cut is None:
+        return OrderedRows(df, tuple(keys), tuple(order), False)
+    placed = positions_by_block(cut, list(helpers), [F.col(c) for c in order], _BLOCK, _POSITION)
     size = max(rows_per_block, before, after)
     return OrderedRows(with_edges(placed, size, before, after), tuple(helpers), tuple(order), True)
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Paths that this process has named under the shared folder and not removed yet.
+_made: list[str] = []
+
 
 def local_session(cores: int | str = "*", app: str = "wayfold", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark; clusters bring their own."""
@@ -44,7 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """A point to which :func:`remove_scratch` goes back."""
+    return len(_made)
+
+
+def remove_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Remove what was written to the shared folder since a mark; tables that still read from it must have been saved elsewhere."""
+    gone = _made[since:]
+    del _made[since:]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
 
 
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
