@@ -50,9 +50,35 @@ def values_at_ranks(values: DataFrame, n: int, ranks: list[int], bracket_limit:
     """The value at each 0-based rank of the single column ``x``."""
     if n <= bracket_limit:
         return _ranked(values, 0, ranks)
-    answers: dict[int, float] = {}
+    answers = _together(values, n, ranks, bracket_limit)
     for rank in ranks:
-        answers[rank] = _narrow(values, n, rank, bracket_limit)
+        if rank not in answers:
+            answers[rank] = _narrow(values, n, rank, bracket_limit)
+    return answers
+
+
+def _together(values: DataFrame, n: int, ranks: list[int], bracket_limit: int, accuracy: int = 10_000) -> dict[int, float]:
+    """All ranks whose first bracket is proven and small, in three passes: brackets, counts, the values inside."""
+    slack = 3.0 / accuracy
+    edges = [min(1.0, max(0.0, r / max(n - 1, 1) + d)) for r in ranks for d in (-slack, slack)]
+    row = values.agg(F.percentile_approx("x", edges, accuracy).alias("b"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    brackets = [
+        (r, row["lo"] if edges[2 * i] == 0.0 else row["b"][2 * i], row["hi"] if edges[2 * i + 1] == 1.0 else row["b"][2 * i + 1]) for i, r in enumerate(ranks)
+    ]
+    counts = values.agg(*[c for _, low, high in brackets for c in (F.count_if(F.col("x") < low), F.count_if(F.col("x") <= high))]).first()
+    answers: dict[int, float] = {}
+    inside = []
+    for i, (rank, low, high) in enumerate(brackets):
+        under, upto = counts[2 * i], counts[2 * i + 1]
+        if under <= rank < upto:
+            if low == high:
+                answers[rank] = low
+            elif upto - under <= bracket_limit:
+                sorted_values = F.sort_array(F.collect_list(F.when(F.col("x").between(low, high), F.col("x"))))
+                inside.append((rank, F.element_at(sorted_values, F.lit(rank - under + 1))))
+    if inside:
+        found = values.agg(*[c.alias(f"r{rank}") for rank, c in inside]).first()
+        answers |= {rank: found[f"r{rank}"] for rank, _ in inside}
     return answers
 
 
