@@ -72,7 +72,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256",
     )
     suspects = seen.where("suspect").select("doc_id", "text_sha256")
-    groups = suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that a join with one row for each group follows, in which Spark splits a group that holds many of the rows.
+    groups = cut_lineage(suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     settled = suspects.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
     )
@@ -91,7 +92,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = seen.where(~suspect).select(*map(col, docs.columns))
     narrow = digests.withColumn("word", _word(F.col("text_sha256"), words)).join(F.broadcast(filled), "word", "left")
     groups = narrow.where(_suspect("bits", "text_sha256")).groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"))
-    groups = groups.select(F.col("text_sha256").alias(digest), F.col("keep_id").alias(keep))
+    groups = cut_lineage(groups, "groups").select(F.col("text_sha256").alias(digest), F.col("keep_id").alias(keep))
     whole = F.struct(*map(col, docs.columns))
     settled = (
         seen.where(suspect)
