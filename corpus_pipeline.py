@@ -41,7 +41,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return packing.pack(docs, vocabulary(), with_ids=False)
+    # Executors have grown in the stages before, so workers hold fewer pre-tokens than they do when packing is all there is.
+    return packing.pack(docs, vocabulary(), with_ids=False, held_ids=500_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

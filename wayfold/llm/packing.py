@@ -26,6 +26,8 @@ from wayfold.llm.token_counts import Pieces, splitter
 
 CAPACITY = 4096
 MAX_OPEN = 4096
+# Ids of pre-tokens that a Python worker holds between documents and tasks: about 40 bytes each with their table.
+HELD_IDS = 4_000_000
 
 Piece = tuple[int, int, np.ndarray, int]  # row, start in its document, ids, ids of the document
 
@@ -37,7 +39,7 @@ class UnitIds:
     array, so a text's ids are gathered, not appended.
     """
 
-    def __init__(self, path: str, most_ids: int = 4_000_000):
+    def __init__(self, path: str, most_ids: int = HELD_IDS):
         self.pieces, self.split, self.most = Pieces(path), splitter(path), most_ids
         self._clear()
 
@@ -169,19 +171,19 @@ class SumOfSquares:
         return done
 
 
-_ENCODERS: dict[str, UnitIds] = {}
+_ENCODERS: dict[tuple[str, int], UnitIds] = {}
 
 
 def pack(
     docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", max_open: int = MAX_OPEN,
-    with_ids: bool = True,
+    with_ids: bool = True, held_ids: int = HELD_IDS,
 ) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, and the ids."""
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, UnitIds(path))
+        encoder = _ENCODERS.get((path, held_ids)) or _ENCODERS.setdefault((path, held_ids), UnitIds(path, held_ids))
         packer = SumOfSquares(capacity, max_open)
         sequence = TaskContext.get().partitionId() << 36
         names_of: dict[int, object] = {}
