@@ -38,6 +38,30 @@ def test_held_out_accuracy(spark, name, label, folder):
     assert np.mean(positive) >= 0.85
 
 
+
+@pytest.mark.parametrize("held", [0, 3, 1 << 17])
+def test_lm_scores_keep_every_word(spark, make_docs, held):
+    """More words than any cap so far; rare ones decide, next to the same frequent ones in all documents."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"c{j % 5} w{k % 30 * 1000 + j}" for j in rng.integers(0, 1000, 600))) for k in range(60)]
+    docs = make_docs(rows)
+    target = spark.createDataFrame([(k,) for k in range(15)], "doc_id bigint")
+    spot = F.pmod(F.xxhash64(F.lit("background"), "doc_id"), F.lit(1_000_000))
+    background = [r.doc_id for r in docs.where(spot < 250_000).collect()]
+    want = plain_scores(rows, range(15), 1, background)
+    assert len({w for _, t in rows for w in t.split()}) > 1 << 14
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(docs, target, held=held, head=1000).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - s) < 1e-5 for i, s in want.items())
+
+
+def test_pair_codes_are_the_same_in_both_places(spark):
+    rng = np.random.default_rng(4)
+    v, w = (np.where(rng.random(500) < 0.5, rng.integers(0, 1 << 17, 500), rng.integers(1 << 62, (1 << 63) - 1, 500)) for _ in range(2))
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(v, w, strict=True)], "v bigint, w bigint")
+    got = rows.select("v", "w", lm_score.pair_code("v", "w").alias("code")).collect()
+    assert [r.code for r in got] == lm_score.pair_codes(v, w).tolist() and len({(r.v, r.w) for r in got}) == len({r.code for r in got})
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op4_language_id(spark, GIVEN).collect()

@@ -9,10 +9,10 @@ than the other). A document's score is the mean over its words of
 so a document that looks like the target has a score above 0. Both models use absolute discounting with add-one unigrams:
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D k(v) / c(v) P(w), where k(v) counts the distinct words after v.
 
-The vocabulary is the most frequent words of all documents, at most ``VOCABULARY``, cut at a power of two of their counts; other words
-are one unknown word. What depends on one word fits in arrays of that length, held by every task. What a seen pair of words
-adds to the backed-off value is a table that grows with the corpus: the most frequent pairs (at most ``HEAD``) are held by every
-task, the others are joined by a shuffle. No pair is dropped.
+The vocabulary is every word of all documents; none is cut and none stands for others. A score is a sum over units: the word itself, the word before,
+and what a seen pair of words adds to the backed-off value. Each unit has a row in a table that grows with the corpus; what the most
+frequent words (at most ``HELD_WORDS``) and pairs (at most ``HEAD``) add is held by every task as well, the others are joined by a shuffle,
+with the same result. Words held by tasks are numbered; other words, and pairs with one of them, are coded by 62 bits of a hash.
 
 Cases: null, empty and blank texts have no words and score 0; without target documents both models are the uniform one over the vocabulary and every
 score is 0; every row gives a row, repeated ones and null ids too; rows with a null id are never target; an empty table
@@ -22,67 +22,117 @@ gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import byte_lists, col, counted_units, having, head_of, lower_ascii_words, text_slices
 from wayfold.session import cut_lineage
 
-VOCABULARY = 1 << 14
+HELD_WORDS = 1 << 17
 HEAD = 1 << 20
 DISCOUNT = 0.75
-START, UNKNOWN, FIRST_WORD = 0, 1, 2
+START, FIRST_WORD = 0, 1
+# Codes from here on are hashes.
+HASHED = 1 << 62
+# The second part of the code of what a rare word adds in either place; no word has these numbers.
+BEFORE, OWN = -1, -2
 # Distinct pairs that a task holds before it hands them on.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 
 
-def vocabulary_of(docs: DataFrame, text_col: str, most: int) -> dict[bytes, int]:
+def held_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     """Numbers of the most frequent words; the same for any order of the rows."""
-    counts = cut_lineage(counted_units(docs, text_col, lower_ascii_words), "words")
     cut = head_of(counts, most=most)
     words = sorted(bytes(r["unit"]) for r in counts.where(F.col("n") >= cut).select("unit").collect())
     return {w: k for k, w in enumerate(words, FIRST_WORD)}
 
 
-def pair_codes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """(number before) << 32 | number, for each word."""
+def word_codes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The number of each word, or its hash."""
     words = lower_ascii_words(text)
-    own = np.fromiter((known.get(w, UNKNOWN) for w in words), np.int64, len(words))
-    before = np.concatenate([[START], own[:-1]]) if len(own) else own
-    return before << 32 | own
+    return np.fromiter((known.get(w) or HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for w in words), np.int64, len(words))
+
+
+def neighbours(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, the word before each of them, and how many words each text has."""
+    lists = [word_codes(t, known) for t in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    word = np.concatenate(lists)
+    before = np.concatenate([[START], word[:-1]]) if len(word) else word
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return before, word, sizes
+
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def spark_hash(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """What F.xxhash64 makes of a bigint after ``seed``."""
+    turned = lambda y, k: y << np.uint64(k) | y >> np.uint64(64 - k)
+    h = np.asarray(seed, np.uint64) + _P5 + np.uint64(8) ^ turned(x.astype(np.uint64) * _P2, 31) * _P1
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def hashed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (spark_hash(second, spark_hash(first, 42)) >> np.uint64(2)).astype(np.int64) | HASHED
+
+
+def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """(number before) << 32 | number, or a hash if either is one."""
+    found = before << 32 | word
+    rare = np.maximum(before, word) >= HASHED
+    found[rare] = hashed(before[rare], word[rare])
+    return found
+
+
+def pair_code(before: str, word: str) -> Column:
+    """The same as a column."""
+    return F.when(F.greatest(before, word) < HASHED, F.shiftleft(before, 32).bitwiseOR(F.col(word))).otherwise(hash_code(F.col(before), F.col(word)))
+
+
+def hash_code(first: Column, second: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(first, second), 2).bitwiseOR(F.lit(HASHED))
 
 
 def pair_counts(rows: DataFrame, words) -> DataFrame:
-    """code, target, background: how often each pair occurs in either part; ``rows`` has text, in_target, in_background."""
+    """v, w, target, background: how often each pair occurs in either part; ``rows`` has text, in_target, in_background."""
+
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        v, w, t, b = (np.concatenate([h[k] for h in held]) for k in range(4))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        return v[first], w[first], np.add.reduceat(t[order], first), np.add.reduceat(b[order], first)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return codes, *(np.bincount(at, np.concatenate([h[k] for h in held]), len(codes)).astype(np.int64) for k in (1, 2))
-
-        def out(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["code", "target", "background"])
+        def out(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["v", "w", "target", "background"])
 
         for batch in batches:
             flags = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["t", "b"])
             for part, texts in text_slices(flags, batch.column(0)):
-                lists = [pair_codes(t, known) for t in byte_lists(texts)]
-                sizes = [len(x) for x in lists]
-                t, b = (np.repeat(np.asarray(part.field(k).to_numpy(zero_copy_only=False), np.int64), sizes) for k in (0, 1))
-                if sum(sizes):
-                    codes, at = np.unique(np.concatenate(lists), return_inverse=True)
-                    held.append((codes, np.bincount(at, t, len(codes)).astype(np.int64), np.bincount(at, b, len(codes)).astype(np.int64)))
-                    size += len(codes)
+                before, word, sizes = neighbours(byte_lists(texts), known)
+                if len(word):
+                    t, b = (np.repeat(np.asarray(part.field(k).to_numpy(zero_copy_only=False), np.int64), sizes) for k in (0, 1))
+                    held.append(merged([(before, word, t, b)]))
+                    size += len(held[-1][0])
                 if size > HELD_PAIRS:
-                    found = merged()
+                    found = merged(held)
                     # Pairs that repeat make room; otherwise hand them on.
                     if len(found[0]) > HELD_PAIRS // 2:
                         yield out(found)
@@ -90,56 +140,62 @@ def pair_counts(rows: DataFrame, words) -> DataFrame:
                     else:
                         held, size = [found], len(found[0])
         if held:
-            yield out(merged())
+            yield out(merged(held))
 
-    counted = rows.where("in_target OR in_background").select("text", "in_target", "in_background").mapInArrow(count, "code bigint, target bigint, background bigint")
-    return counted.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    counted = rows.where("in_target OR in_background").select("text", "in_target", "in_background").mapInArrow(count, "v bigint, w bigint, target bigint, background bigint")
+    return counted.groupBy("v", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-class Smoothing:
-    """What depends on one word, for one model: by the word before, and by the word itself."""
+def word_sums(pairs: DataFrame) -> DataFrame:
+    """code, and for each model c(v), k(v) and c(w) of that word, as far as it occurs in either part."""
+    models = ("target", "background")
+    before = pairs.groupBy(F.col("v").alias("code")).agg(
+        *[F.sum(m).alias(f"{m}_total") for m in models], *[F.count(F.when(F.col(m) > 0, 1)).alias(f"{m}_kinds") for m in models]
+    )
+    own = pairs.groupBy(F.col("w").alias("code")).agg(*[F.sum(m).alias(f"{m}_own") for m in models])
+    return before.join(own, "code", "full").na.fill(0)
 
-    def __init__(self, size: int):
-        self.total = np.zeros(size)  # c(v)
-        self.kinds = np.zeros(size)  # k(v)
-        self.own = np.zeros(size)  # c(w)
 
-    def finish(self) -> None:
-        self.unigram = (self.own + 1) / (self.own.sum() + len(self.own))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            self.back = np.where(self.total > 0, DISCOUNT * self.kinds / np.maximum(self.total, 1), 1.0)
+def back(model: str) -> Column:
+    """The weight of the backed-off value after a word."""
+    return F.when(F.col(f"{model}_total") > 0, DISCOUNT * F.col(f"{model}_kinds") / F.col(f"{model}_total")).otherwise(1.0)
 
-    def backed_off(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.back[before] * self.unigram[word]
 
-    def p(self, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.maximum(n - DISCOUNT, 0) / np.maximum(self.total[before], 1) + self.backed_off(before, word)
+def word_gains(sums: DataFrame) -> DataFrame:
+    """code, before, own: what a word adds as the word before and as the word itself; without the share that all words have."""
+    own = F.log(F.col("target_own") + 1.0) - F.log(F.col("background_own") + 1.0)
+    return sums.select("code", (F.log(back("target")) - F.log(back("background"))).alias("before"), own.alias("own"))
 
 
-def smoothing(pairs: DataFrame, size: int) -> tuple[Smoothing, Smoothing]:
-    models = Smoothing(size), Smoothing(size)
-    before, word = F.shiftright("code", 32).cast("int"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    sums = [f(k) for k in ("target", "background") for f in (lambda k: F.sum(k), lambda k: F.count(F.when(F.col(k) > 0, 1)))]
-    for r in pairs.groupBy(before.alias("v")).agg(*sums).collect():
-        for k, model in enumerate(models):
-            model.total[r[0]], model.kinds[r[0]] = r[1 + 2 * k], r[2 + 2 * k]
-    for r in pairs.groupBy(word.alias("w")).agg(F.sum("target"), F.sum("background")).collect():
-        for k, model in enumerate(models):
-            model.own[r[0]] = r[1 + k]
-    for model in models:
-        model.finish()
-    return models
+def pair_gains(pairs: DataFrame, sums: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """code, gain: what a seen pair adds to the backed-off difference; ``sizes`` has a model's words and the vocabulary's, summed."""
+
+    def joined(found: DataFrame, key: str, columns: str) -> list[DataFrame]:
+        """Held words come to the rows, rows go to the others, so that no frequent word fills a task."""
+        side = sums.select(F.col("code").alias(key), *[f"{m}_{columns}" for m in sizes])
+        held = F.col(key) < HASHED
+        return [found.where(held).join(F.broadcast(side.where(held)), key), found.where(~held).join(side.where(~held), key)]
+
+    def gain(found: DataFrame) -> DataFrame:
+        parts = {m: F.log1p(F.greatest(F.col(m) - DISCOUNT, F.lit(0.0)) / DISCOUNT / F.greatest(f"{m}_kinds", F.lit(1)) * total / (F.col(f"{m}_own") + 1.0)) for m, total in sizes.items()}
+        return found.select(pair_code("v", "w").alias("code"), (parts["target"] - parts["background"]).cast("float").alias("gain"))
+
+    found = [gain(y) for x in joined(pairs, "v", "kinds") for y in joined(x, "w", "own")]
+    return reduce(DataFrame.unionAll, found)
 
 
 def lm_scores(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD,
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD_WORDS, head: int = HEAD,
 ) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, score. ``target_ids`` holds the target documents' ids in ``id_col``."""
     context = docs.sparkSession.sparkContext
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     ids = target_ids.select(col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    known = vocabulary_of(narrow, "text", vocabulary)
+    counts = cut_lineage(counted_units(narrow, "text", lower_ascii_words), "words")
+    # With the start and an unknown word, so that an empty vocabulary has a distribution too.
+    vocabulary = counts.count() + 2
+    known = held_words(counts, held)
     words = context.broadcast(known)
 
     flagged = having(narrow, ids, "doc_id", "in_target")
@@ -148,57 +204,67 @@ def lm_scores(
     spot = F.pmod(F.xxhash64(F.lit("background"), "doc_id"), F.lit(1_000_000))
     flagged = flagged.withColumn("in_background", F.coalesce(spot < part, F.lit(False)))
     pairs = cut_lineage(pair_counts(flagged, words), "pairs")
-    models = context.broadcast(smoothing(pairs, len(known) + FIRST_WORD))
-
-    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a seen pair adds to the backed-off difference."""
-        target, background = models.value
-        for batch in batches:
-            code, t, b = (np.asarray(batch.column(k)) for k in range(3))
-            v, w = code >> 32, code & 0xFFFFFFFF
-            full = np.log(target.p(v, w, t)) - np.log(background.p(v, w, b))
-            backed = np.log(target.backed_off(v, w)) - np.log(background.backed_off(v, w))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(t + b), pa.array(full - backed)], ["code", "n", "gain"])
-
-    gains = cut_lineage(pairs.mapInArrow(gain, "code bigint, n bigint, gain double"), "gains")
-    cut = head_of(gains, most=head)
-    frequent = gains.where(F.col("n") >= cut).select("code", "gain").toArrow()
+    sums = cut_lineage(word_sums(pairs), "sums")
+    totals = sums.agg(*[F.coalesce(F.sum(f"{m}_own"), F.lit(0)).alias(m) for m in ("target", "background")]).first()
+    sizes = {m: totals[m] + vocabulary for m in totals.asDict()}
+    # What a word adds that occurs in neither part.
+    share = float(np.log(sizes["background"]) - np.log(sizes["target"]))
+    of_words = word_gains(sums)
+    numbered = of_words.where(F.col("code") < HASHED).toArrow()
+    by_before, by_word = np.zeros(len(known) + FIRST_WORD), np.zeros(len(known) + FIRST_WORD)
+    for to, name in ((by_before, "before"), (by_word, "own")):
+        to[np.asarray(numbered["code"])] = np.asarray(numbered[name])
+
+    total = F.col("target") + F.col("background")
+    cut = head_of(pairs.select(total.alias("n")), most=head)
+    frequent = pair_gains(pairs.where(total >= cut), sums, sizes).toArrow()
     order = np.argsort(np.asarray(frequent["code"]))
-    held = context.broadcast((np.asarray(frequent["code"])[order], np.asarray(frequent["gain"])[order].astype(np.float32)))
+    tables = context.broadcast((by_before, by_word, np.asarray(frequent["code"])[order], np.asarray(frequent["gain"])[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (target, background), (codes, values) = words.value, models.value, held.value
-        by_before = np.log(target.back) - np.log(background.back)
-        by_word = np.log(target.unigram) - np.log(background.unigram)
+        own, (befores, selves, codes, values) = words.value, tables.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for ids, texts in text_slices(batch.column(0), batch.column(1)):
-                lists = [pair_codes(t, own) for t in byte_lists(texts)]
-                sizes = np.array([len(x) for x in lists])
-                rows = row + np.arange(len(lists))
-                row += len(lists)
-                every = np.concatenate(lists)
-                owner = np.repeat(np.arange(len(lists)), sizes)
-                each = by_before[every >> 32] + by_word[every & 0xFFFFFFFF]
+                before, word, lengths = neighbours(byte_lists(texts), own)
+                rows = row + np.arange(len(lengths))
+                row += len(lengths)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                every = pair_codes(before, word)
                 at = np.minimum(np.searchsorted(codes, every), max(0, len(codes) - 1))
                 there = codes[at] == every if len(codes) else np.zeros(len(every), bool)
+                each = np.full(len(every), share)
                 each[there] += values[at[there]]
-                sums = np.bincount(owner, each, len(lists))
-                # Other pairs go to the join, once for each document, with how often it holds them.
-                rest = np.rec.fromarrays([owner[~there], every[~there]], names="owner,code")
-                rare, times = np.unique(rest, return_counts=True)
-                nothing = pa.nulls(len(rare), pa.int64())
+                for numbers, gains in ((before, befores), (word, selves)):
+                    near = numbers < HASHED
+                    each[near] += gains[numbers[near]]
+                totals = np.bincount(owner, each, len(lengths))
+                # Other units go to the join, once for each document, with how often it holds them.
+                far = [(owner[~there], every[~there])]
+                for numbers, salt in ((before, BEFORE), (word, OWN)):
+                    hashes = numbers >= HASHED
+                    far.append((owner[hashes], hashed(numbers[hashes], np.full(hashes.sum(), salt))))
+                whose, unit = (np.concatenate([x[k] for x in far]) for k in (0, 1))
+                order = np.lexsort((unit, whose))
+                whose, unit = whose[order], unit[order]
+                first = np.flatnonzero(np.concatenate([[len(unit) > 0], (whose[1:] != whose[:-1]) | (unit[1:] != unit[:-1])]))
+                times = np.diff(np.concatenate([first, [len(unit)]])) if len(unit) else first
+                nothing = pa.nulls(len(first), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([rows, rows[rare.owner]])), pa.concat_arrays([ids, pa.nulls(len(rare), ids.type)]),
-                        pa.array(np.concatenate([-1 - rows, rare.code])), pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
-                        pa.concat_arrays([pa.array(sizes, pa.int64()), nothing]), pa.array(np.concatenate([sums, np.zeros(len(rare))])),
+                        pa.array(np.concatenate([rows, rows[whose[first]]])), pa.concat_arrays([ids, pa.nulls(len(first), ids.type)]),
+                        pa.array(np.concatenate([-1 - rows, unit[first]])), pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
+                        pa.concat_arrays([pa.array(lengths, pa.int64()), nothing]), pa.array(np.concatenate([totals, np.zeros(len(first))])),
                     ],
                     ["row", "doc_id", "code", "times", "n_words", "known"],
                 )
 
+    far_words = of_words.where(F.col("code") >= HASHED)
+    gains = pair_gains(pairs.where(total < cut), sums, sizes)
+    for salt, name in ((BEFORE, "before"), (OWN, "own")):
+        gains = gains.unionAll(far_words.where(F.col(name) != 0).select(hash_code(F.col("code"), F.lit(salt).cast("bigint")), F.col(name).cast("float")))
     scored = narrow.mapInArrow(score, f"row bigint, doc_id {kind}, code bigint, times bigint, n_words bigint, known double")
-    joined = scored.join(gains.where(F.col("n") < cut).select("code", "gain"), "code", "left")
-    total = F.sum(F.col("known") + F.col("times") * F.coalesce("gain", F.lit(0.0)))
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), total.alias("total"))
-    return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(0.0).alias("score"))
+    joined = scored.join(gains, "code", "left")
+    value = F.sum(F.col("known") + F.col("times") * F.coalesce("gain", F.lit(0.0)))
+    found = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), value.alias("total"))
+    return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(0.0).alias("score"))
