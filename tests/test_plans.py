@@ -191,3 +191,33 @@ def test_stream_and_batch_score_alike(spark, cloud, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out")).select("id", "predicted")
     batch = predict(rows, fitted).select("id", "predicted")
     assert streamed.count() == 200 and streamed.exceptAll(batch).isEmpty()
+
+
+@pytest.mark.parametrize("name, learner", [("learn_full_forest_series", "random_forest"), ("learn_full_boosting_series", "gbt"), ("learn_full_boosting_binary", "gbt")])
+def test_learners_run_with_their_defaults(spark, tiny, monkeypatch, name, learner):
+    """What each fold is asked to fit; the fits themselves take minutes."""
+    from wayfold.catalog import learning
+
+    asked = []
+
+    def seen(self, name, settings=None):
+        asked.append((name, self.settings.get(name, {}) if settings is None else settings, self.folds))
+        return [(name, 0, "rmse", 1.0)]
+
+    monkeypatch.setattr(learning.Trainer, "cross_validate", seen)
+    {e.name: e for e in learning.FULL}[name].run(spark, tiny).collect()
+    assert asked == [(learner, {}, 5)]
+
+
+def test_full_search_draws_the_default_trials_of_forest_and_boosting(spark, tiny, monkeypatch):
+    from wayfold.catalog import learning
+
+    asked = []
+
+    def seen(self, name, trials):
+        asked.append((name, trials, self.folds))
+        return {"maxDepth": 4}
+
+    monkeypatch.setattr(learning.Trainer, "search", seen)
+    assert len({e.name: e for e in learning.FULL}["learn_full_search"].run(spark, tiny).collect()) == 2
+    assert asked == [("random_forest", 20, 5), ("gbt", 20, 5)]

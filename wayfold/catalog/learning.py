@@ -1,4 +1,4 @@
-"""Fits on feature tables; small settings, because these run on the tables given for checking."""
+"""Fits on feature tables: with small settings, and for each learner with the default ones (``learn_full_...``)."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ LIGHT = {
     "gbt": {"maxIter": 3, "maxDepth": 3},
     "linear": {},
 }
+# Of the default settings.
+FOLDS, TRIALS = 5, 20
 ENTITY_COLUMNS = ["s_cum_wait", "s_cum_cost", "s_node_util", "s_node_avg_queue", "s_sys_util"]
 
 
@@ -100,9 +102,9 @@ def breached(spark, folder):
     return entity_table(plain_journeys(spark, folder), "sla_breach", "entry_only", columns=ENTITY_COLUMNS)
 
 
-def cross_validated(name, make, metrics, strategy, folds=2):
+def cross_validated(name, make, metrics, strategy, folds=2, settings=LIGHT):
     def run(spark, folder):
-        trainer = Trainer(make(spark, folder), metrics, strategy, folds, settings=LIGHT, parallel=2)
+        trainer = Trainer(make(spark, folder), metrics, strategy, folds, settings=settings, parallel=2)
         scores = spark.createDataFrame(trainer.cross_validate(name), "algorithm string, fold int, metric string, value double")
         return scores
     return run
@@ -123,6 +125,13 @@ def searched(spark, folder):
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "setting string, value double")
 
 
+def searched_fully(spark, folder):
+    """The default search over forest and boosting."""
+    trainer = Trainer(hourly(spark, folder), ["rmse"], "temporal", FOLDS)
+    found = [(name, k, str(v)) for name in ("random_forest", "gbt") for k, v in trainer.search(name, TRIALS).items()]
+    return spark.createDataFrame(found, "algorithm string, setting string, value string")
+
+
 def experiment(spark, folder):
     """A whole entity experiment, recorded; the log row and the saved model's predictions come back."""
     path = fresh_path(spark, "experiments")
@@ -146,6 +155,15 @@ RIDGE = f"""WITH {SNAPSHOTS},
                var_pop(arrivals) * count(*) AS sxx FROM sn)
         SELECT ts, round(my + sxy / (sxx + 50e0) * (arrivals - mx), 4) AS predicted FROM sn, mo"""
 
+# Default settings, 5 folds; long runs.
+FULL = [
+    Entry("learn_full_forest_series", cross_validated("random_forest", hourly, ["rmse"], "temporal", FOLDS, {})),
+    Entry("learn_full_forest_entity", cross_validated("random_forest", delayed, ["f1_weighted"], "stratified", FOLDS, {})),
+    Entry("learn_full_boosting_series", cross_validated("gbt", hourly, ["rmse"], "temporal", FOLDS, {})),
+    Entry("learn_full_boosting_binary", cross_validated("gbt", breached, ["auc_roc"], "stratified", FOLDS, {})),
+    Entry("learn_full_search", searched_fully),
+]
+
 ENTRIES = [
     Entry("learn_ridge", ridge, RIDGE),
     Entry("learn_saved_ridge", saved_ridge, RIDGE),
@@ -175,4 +193,5 @@ ENTRIES = [
     Entry("learn_ranking", ranked),
     Entry("learn_search", searched),
     Entry("learn_experiment", experiment),
+    *FULL,
 ]
