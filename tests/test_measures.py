@@ -215,3 +215,13 @@ def test_high_priority_wins(spark):
     pair = spark.createDataFrame([(0, 0.01), (1, 100.0)], "id int, p double").cache()
     wins = sum(prioritised_sample(pair, 1, F.col("p"), F.col("id"), seed, 1.0).first()["id"] for seed in range(15))
     assert wins == 15
+
+
+def test_all_steps_sees_every_event(spark, tiny):
+    from wayfold.catalog.trajectories import all_steps
+
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    rows = all_steps(spark, tiny).collect()
+    assert len(rows) == events.count() > 900
+    assert sum(r.step is None for r in rows) == len({r.eid for r in rows}) > 2
+    assert sum(r.step is not None and r.step < 0 for r in rows) > len(rows) / 3

@@ -143,6 +143,23 @@ def odd_advantages(spark, folder):
     return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
 
 
+def all_steps(spark, folder):
+    """Every event: a long episode and one for each other user, half of the steps negative, the last event of each episode without a step."""
+    events = table(spark, folder, "events").withColumn("eid", F.when(F.col("user_id") % 7 == 0, "long").otherwise(F.col("user_id").cast("string")))
+    last = events.groupBy("eid").agg(F.max("event_id").alias("event_id")).withColumn("last", F.lit(True))
+    signed = F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(-F.col("event_id"))
+    # Both columns are the key, so that the long episode spreads.
+    return events.join(last, ["eid", "event_id"], "left").select(
+        "eid", F.when(F.col("last").isNull(), signed).alias("step"),
+        (F.col("value") / 100).alias("reward"), (F.col("event_id") % 5 / 10).alias("value"), (F.col("event_id") % 97 == 0).alias("done"),
+    )
+
+
+def all_advantages(spark, folder):
+    found = advantages(all_steps(spark, folder))
+    return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
+
+
 def tied(spark, folder):
     """The cut falls inside many equal quantities; the tie rule decides."""
     line = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"))
@@ -192,6 +209,9 @@ LONG = """ro AS (SELECT CAST(user_id % 3 AS VARCHAR) AS eid, event_id AS step, v
 # The step that stands for none comes before all others.
 ODD = """ro AS (SELECT CASE WHEN event_id < 20 THEN 'short' ELSE 'long' END AS eid, CASE WHEN event_id IN (7, 500) THEN -100000 ELSE event_id - 300 END AS step,
         value / 100 AS reward, event_id % 5 / 10e0 AS value, event_id % 97 = 0 AS done FROM events WHERE event_id < 900)"""
+ALL_STEPS = """ev AS (SELECT *, CASE WHEN user_id % 7 = 0 THEN 'long' ELSE CAST(user_id AS VARCHAR) END AS eid FROM events),
+    ro AS (SELECT eid, CASE WHEN event_id = max(event_id) OVER (PARTITION BY eid) THEN -1000000000000 WHEN event_id % 2 = 0 THEN event_id ELSE -event_id END AS step,
+        value / 100 AS reward, event_id % 5 / 10e0 AS value, event_id % 97 = 0 AS done FROM ev)"""
 ADVANTAGE_COLUMNS = f"round(advantage + {OFF_TIES}, 6) AS advantage, round(advantage + value + {OFF_TIES}, 6) AS ret"
 UNIFORM = "((CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|7'), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0)"
 
@@ -215,6 +235,9 @@ ENTRIES = [
     Entry("trajectory_advantages_odd_steps", odd_advantages, advantage_sql(ODD) + """
         SELECT ro.eid, CASE WHEN ro.step > -1000 THEN ro.step END AS step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
         FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
+    Entry("trajectory_advantages_all_steps", all_advantages, advantage_sql(ALL_STEPS) + """
+        SELECT ro.eid, CASE WHEN ro.step > -1000000000000 THEN ro.step END AS step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
+        FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
     Entry("trajectory_advantages", advanced, advantage_sql(ROLLOUT) + """
         SELECT ro.eid, ro.step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
         FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
