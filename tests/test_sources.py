@@ -217,3 +217,12 @@ def test_scratch_is_removed_on_request(spark):
     kept = cut_lineage(spark.range(3).toDF("x"), "kept")
     path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
     assert path.exists() and remove_scratch(spark, mark) == 1 and not path.exists()
+
+
+def test_documents_hold_whole_tables(spark, tiny):
+    from wayfold.catalog.entry import plain_journeys
+    from wayfold.catalog.sources import many_documents
+    from wayfold.sources.event_tables import snapshots
+
+    assert many_documents("snapshots")(spark, tiny).count() == snapshots(spark, tiny).count()
+    assert many_documents("trajectories")(spark, tiny).count() == plain_journeys(spark, tiny).count()

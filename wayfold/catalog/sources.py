@@ -163,6 +163,25 @@ def one_document(layer):
     return run
 
 
+def many_documents(layer):
+    """Both layers of the whole tables: a document for each run of buckets and for each slice of entities and time, so that Spark spreads them."""
+    def run(spark, folder):
+        state = F.struct(
+            F.col("ts").alias("timestamp"), F.col("bucket_idx").alias("bucket_index"), F.col("arrivals").alias("sys_cumulative_arrivals"),
+            F.col("n_view_queue").alias("node_front_desk_queue"), F.lit("x").alias("colour"),
+        )
+        step = F.struct(F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"), F.col("done").alias("episode_done"))
+        states = snapshots(spark, folder).groupBy(F.floor(F.col("bucket_idx") / 64).alias("part")).agg(F.collect_list(state).alias("state_snapshots"))
+        journeys = plain_journeys(spark, folder).groupBy(
+            F.pmod(F.hash("eid"), F.lit(64)).alias("part"), F.floor(F.col("t_enter") / 40).alias("stretch")
+        ).agg(F.collect_list(step).alias("trajectories"))
+        documents = states.select("state_snapshots").unionByName(journeys.select("trajectories"), allowMissingColumns=True)
+        path = fresh_path(spark, "documents") + ".json"
+        documents.withColumn("metadata", F.struct(F.lit("2.0").alias("version"))).write.json(path)
+        return load(spark, path, document_per_line=True).layers()[layer]
+    return run
+
+
 def stored_categories(spark, folder):
     """Customers' names: one category each, far more than a profile row lists."""
     store = DatasetStore(spark, fresh_path(spark, "store"))
@@ -210,4 +229,8 @@ ENTRIES = [
         SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn WHERE bucket_idx % 6 = 0"""),
     Entry("source_one_document_trajectories", one_document("trajectories"), f"""WITH {JOURNEYS}
         SELECT eid, step, node, done FROM tr WHERE step < 2 AND s_node_avg_queue = 3"""),
+    Entry("source_documents_snapshots", many_documents("snapshots"), f"""WITH {SNAPSHOTS}
+        SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn"""),
+    Entry("source_documents_trajectories", many_documents("trajectories"), f"""WITH {JOURNEYS}
+        SELECT eid, step, node, done FROM tr"""),
 ]
