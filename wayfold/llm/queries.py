@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, quality, token_counts, toxicity
+from wayfold.llm import (
+    chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, quality, quality_rules, token_counts, toxicity,
+)
 from wayfold.llm.common import crc_fold, documents
 
 
@@ -126,6 +128,37 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, folder)).withColumn("failed", F.array_join("failed", ","))
+
+
+def _rule_sql(rule: quality_rules.Rule) -> str:
+    low = "" if rule.least is None else f"100 * {rule.top} < {rule.least} * {rule.bottom}"
+    high = "" if rule.most is None else f"100 * {rule.top} > {rule.most} * {rule.bottom}"
+    return f"CASE WHEN {' OR '.join(filter(None, (low, high)))} THEN '{rule.name}' END"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x : regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+v AS (SELECT r, p, array_to_string(words[p : p + 7], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS p FROM w WHERE len(words) > 7)),
+c AS (
+  SELECT r, count(DISTINCT p + k) AS n FROM (SELECT r, p, count(*) OVER (PARTITION BY r, win) AS times FROM v) CROSS JOIN range(8) AS t(k)
+  WHERE times > 1 GROUP BY r),
+f AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+    len(list_filter(words, lambda x : lower(x) IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x : starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '•'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x : ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis_lines, 1 AS one
+  FROM w LEFT JOIN c USING (r)),
+j AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {", ".join(map(_rule_sql, quality_rules.RULES))}) AS failed FROM f)
+SELECT * EXCLUDE (one), NOT base_failed AND failed = '' AS kept FROM j
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -137,5 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_rules": op11_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op11_quality_rules": OP11_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL}
