@@ -57,7 +57,7 @@ class Rule:
 # Ratios in percent. ``one`` is the number 1, for bounds of a count itself.
 RULES = (
     Rule("length", "n_words", "one", most=100 * 1_000_000),
-    Rule("word_length", "word_chars", "n_words", least=300, most=1_200),
+    Rule("word_length", "word_chars", "n_words", least=200, most=1_200),
     Rule("symbols", "n_symbols", "n_words", most=10),
     Rule("stop_words", "n_stop_words", "n_words", least=2),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=50),
