@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import (
-    chat, decontaminate, exact_dedup, language, lm_score, near_dedup, packing, quality, quality_rules, token_counts, toxicity,
+    chat, decontaminate, exact_dedup, language, lm_score, merkle, near_dedup, packing, quality, quality_rules, token_counts, toxicity,
 )
 from wayfold.llm.common import crc_fold, documents
 
@@ -159,6 +159,75 @@ SELECT * EXCLUDE (one), NOT base_failed AND failed = '' AS kept FROM j
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.documents_manifest(documents(spark, folder), crc_fold("doc_id", 3) == 0)
+
+
+# crc32 of a short ASCII text, byte by byte over the polynomial's table.
+_CRC_TABLE = "crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, " + "{x} AS v FROM range(256) AS r(i)))"
+for _ in range(8):
+    _CRC_TABLE = _CRC_TABLE.replace("{x}", "list_transform([{x}], lambda c : xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))[1]")
+_CRC_TABLE = _CRC_TABLE.replace("{x}", "i")
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's ASCII characters, with ``crc_table`` in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch : CAST(ord(ch) AS BIGINT))"
+    step = "lambda c, b : xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)"
+    return f"xor(list_reduce({codes}, {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _field_sql(name: str, value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _levels_sql(first: str, key: str, name: str, levels: int) -> str:
+    """Tables name0 .. nameN (key, i, h, pre, post): nodes with their digest and the digests of their run before and after; none beyond a root."""
+    around = f"OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN "
+    tables = []
+    for j in range(levels + 1):
+        source = first if j == 0 else (
+            f"SELECT {key}, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{j - 1} "
+            f"WHERE n > 1 GROUP BY {key}, i // 8"
+        )
+        tables.append(
+            f"{name}{j} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS n, "
+            f"coalesce(string_agg(h, '') {around}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, "
+            f"coalesce(string_agg(h, '') {around}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM ({source}))"
+        )
+    return ",\n".join(tables)
+
+
+_LEVELS = 8  # 8 ** 8 leaves of a language, and as many languages
+_FIELDS_SQL = " || ".join(_field_sql(f, "{text}" if f == "text" else f"CAST({f} AS VARCHAR)") for f in merkle.FIELDS)
+_UP = " ".join(f"LEFT JOIN a{j} ON a{j}.k = d.k AND a{j}.i = d.i // {8**j} AND a{j}.n > 1" for j in range(_LEVELS))
+_UP += " " + " ".join(f"LEFT JOIN b{j} ON b{j}.i = s.i // {8**j} AND b{j}.n > 1" for j in range(_LEVELS))
+_RUNS = [f"a{j}" for j in range(_LEVELS)] + [f"b{j}" for j in range(_LEVELS)]
+_FOLDS = "".join(
+    f"f{j + 1} AS (SELECT * EXCLUDE (x), CASE WHEN {r}_pre IS NULL THEN x ELSE sha256({r}_pre || x || {r}_post) END AS x FROM f{j}),\n"
+    for j, r in enumerate(_RUNS)
+)
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, h, CASE WHEN m THEN g END AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i
+  FROM (
+    SELECT doc_id, lang, sha256({_FIELDS_SQL.replace("{text}", "text")}) AS h,
+      sha256({_FIELDS_SQL.replace("{text}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS g,
+      coalesce({_crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0, false) AS m
+    FROM documents CROSS JOIN crc_table)),
+{_levels_sql("SELECT k, i, h FROM d", "k", "a", _LEVELS)},
+s AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, h FROM ({" UNION ALL ".join(f"SELECT k, h FROM a{j} WHERE n = 1" for j in range(_LEVELS + 1))})),
+{_levels_sql("SELECT 0 AS z, i, h FROM s", "z", "b", _LEVELS)},
+top AS ({" UNION ALL ".join(f"SELECT h AS root FROM b{j} WHERE n = 1" for j in range(_LEVELS + 1))}),
+f0 AS (
+  SELECT d.doc_id, d.h AS leaf, s.h AS subroot, root, coalesce(d.g, d.h) AS x, {", ".join(f"{r}.pre AS {r}_pre, {r}.post AS {r}_post" for r in _RUNS)}
+  FROM d JOIN s ON s.k = d.k CROSS JOIN top {_UP}),
+{_FOLDS}e AS (SELECT *, sha256(concat({", ".join(f"{r}_pre, {r}_post" for r in _RUNS)})) AS proof_sha256 FROM f{len(_RUNS)})
+SELECT doc_id, leaf, subroot, root, proof_sha256, x AS folded_root, x = root AS verified FROM e
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -171,7 +240,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
     "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op11_quality_rules": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
