@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.blocks import blocked, positions_by_block
+
 # Python works on this many bytes of text at once, however many rows an Arrow batch has.
 SLICE_BYTES = 4 << 20
 # A task hands its counts on when it holds so many distinct units.
@@ -139,3 +141,11 @@ def sized(ids: DataFrame) -> DataFrame:
 def having(docs: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
     """``docs`` with a flag: is the row's id among the distinct ``ids``?"""
     return docs.join(sized(ids.select(id_col, F.lit(True).alias(flag))), id_col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], rows_per_block: int, out: str = "rank") -> DataFrame:
+    """``rows`` with their 0-based rank within the keys; a key's run is split by blocks of values, which lead with a number that is never null."""
+    cut = blocked(rows, order, rows.count(), rows_per_block)
+    if cut is None:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
+    return positions_by_block(cut, keys, [F.col(c) for c in order], "_block", out).drop("_block")

@@ -16,16 +16,16 @@ hashed whole; an empty table gives an empty table; only named columns are read,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import col
-from wayfold.operators.blocks import blocked, in_number_order, positions_by_block
+from wayfold.llm.common import col, ranked
+from wayfold.operators.blocks import in_number_order
 from wayfold.session import cut_lineage
 
 BITS = 3  # a run has eight nodes
 DIGITS = 4  # digits that are grouped away within a block
-ROWS_PER_BLOCK = 100_000
+ROWS_PER_BLOCK = 10_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _LEAST = -(1 << 63)
 
@@ -44,14 +44,6 @@ def _joined_digest(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, "").cast("binary"), 256)
 
 
-def _ranked(rows: DataFrame, keys: list[str], order: list[str], rows_per_block: int) -> DataFrame:
-    """``rows`` with their 0-based ``rank`` within the keys."""
-    cut = blocked(rows, order, rows.count(), rows_per_block)
-    if cut is None:
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
-    return positions_by_block(cut, keys, [F.col(c) for c in order], "_block", "rank").drop("_block")
-
-
 def _rolled(nodes: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """A row for each block of ranks: keys, rank of the block, digest, and ``kids``, the nested structs of its subtree."""
     digits = [F.shiftright("rank", BITS * j).bitwiseAND(F.lit((1 << BITS) - 1)).cast("tinyint").alias(f"d{j}") for j in range(DIGITS)]
@@ -128,11 +120,11 @@ def manifest(
         *[c.alias(f"c_{n}") for n, c in extra.items()],
     )
     payload = ["id", *[f"c_{n}" for n in extra]]
-    leaves = _ranked(rows, ["group"], ["order", "digest"], rows_per_block)
+    leaves = ranked(rows, ["group"], ["order", "digest"], rows_per_block)
     storeys = _tree(leaves, ["group"], payload)
     subroots = storeys[-1].select(F.lit(0).alias("all"), "group", "digest")
     named = subroots.withColumn("lead", F.coalesce(in_number_order(subroots.withColumn("group", F.col("group").cast("string")), "group"), F.lit(-1.0)))
-    top = _tree(_ranked(named, ["all"], ["lead", "group"], rows_per_block), ["all"], ["group"])
+    top = _tree(ranked(named, ["all"], ["lead", "group"], rows_per_block), ["all"], ["group"])
     nothing = F.array().cast("array<struct<before:string,after:string>>")
     roots = top[-1].select("all", F.lit(0).cast("bigint").alias("rank"), nothing.alias("path"), F.col("digest").alias("root"))
     groups = _proved(top, roots, ["all"], ["root"], ["group"])

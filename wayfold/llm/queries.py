@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import (
-    chat, decontaminate, exact_dedup, language, lm_score, merkle, near_dedup, packing, quality, quality_rules, token_counts, toxicity,
+    chat, decontaminate, exact_dedup, language, lm_score, merkle, near_dedup, packing, quality, quality_rules, repair, token_counts, toxicity,
 )
 from wayfold.llm.common import crc_fold, documents
+from wayfold.operators.blocks import never_null
 
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -228,6 +229,95 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, x AS folded_root, x = root AS
 """
 
 
+def _damaged(talks: DataFrame) -> DataFrame:
+    """One row in four or so is dropped, emptied, cut, repeated or given to the user, by its number."""
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = talks.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(named.cast("binary")) % 20).alias("kind"),
+    ).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.struct(role.alias("role"), text.alias("text")), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", copies.alias("c")).select("conv_id", "turn", "c.role", "c.text")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    talks = documents(spark, folder, "conversations")
+    fixed = repair.repair(_damaged(talks))
+    key = never_null(F.col("conv_id")).alias("key")
+    every = talks.select("conv_id").distinct().select(key, "conv_id")
+    report = fixed.report.withColumnRenamed("conv", "conv_id").select(key, "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    told = every.join(report, "key", "left").join(repair.digests(repair.repaired_turns(fixed)), "key", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return told.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def _edits_sql() -> str:
+    """(letter, p, q, cost, audit, pieces): what a row may come to between two states; {r} and {t} stand for its role and text."""
+    after = {"n": "u", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+    found = []
+    for letter in "suaoSUAOx":
+        close = 3 * letter.isupper()
+        for p in after:
+            state, out = p, ""
+            for k in range(3):
+                found.append((letter, p, state, 4 + 3 * k, "I" * k + "D", out, ""))
+                if letter != "x":
+                    found.append((letter, p, after[state], 3 + close + 3 * k, "I" * k + "R", out, names[after[state]]))
+                own = letter.lower()
+                if own == after[state] or own == "s" and state == "n":
+                    found.append((letter, p, own, close + 3 * k, "I" * k + "K", out, "{own}"))
+                state = after[state]
+                out += f"|{names[state]}:"
+    return ", ".join(f"('{a}', '{p}', '{q}', {c}, '{e}', '{o}', '{r}')" for a, p, q, c, e, o, r in found)
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+edits(letter, p, q, c, e, ins, own) AS (VALUES {_edits_sql()}),
+every AS (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS k FROM conversations),
+raw AS (
+  SELECT coalesce('=' || conv_id, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations CROSS JOIN crc_table),
+damaged AS (
+  SELECT k, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw CROSS JOIN range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+told AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN '' ELSE 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+rows AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(base) ELSE base END AS letter
+  FROM (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS base FROM told)),
+way(k, i, q, best) AS (
+  SELECT k, 0, 'n', {{'c': 0, 'e': '', 'o': ''}} FROM every
+  UNION ALL
+  SELECT k, i, q, min(step) FROM (
+    SELECT way.k AS k, rows.i AS i, edits.q AS q, {{'c': best.c + edits.c, 'e': best.e || edits.e, 'o': best.o || replace(ins, '|', chr(10))
+      || CASE own WHEN '' THEN '' WHEN '{{own}}' THEN chr(10) || role || ':' || text ELSE chr(10) || own || ':' || text END}} AS step
+    FROM way JOIN rows ON rows.k = way.k AND rows.i = way.i + 1 JOIN edits ON edits.letter = rows.letter AND edits.p = way.q) GROUP BY k, i, q),
+ends AS (
+  SELECT k, min({{'c': best.c + t.c, 'e': best.e || t.e, 'o': best.o || replace(t.o, '|', chr(10))}}) AS best
+  FROM way JOIN (VALUES ('n', 0, '', ''), ('s', 6, 'II', '|user:|assistant:'), ('u', 3, 'I', '|assistant:'), ('a', 0, '', '')) AS t(q, c, e, o) USING (q)
+  WHERE way.i = coalesce((SELECT max(i) FROM rows WHERE rows.k = way.k), 0) GROUP BY k),
+n AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.e AS audit, sha256(substr(best.o, 2)) AS repaired_sha256
+FROM every LEFT JOIN n USING (k) JOIN ends USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -241,8 +331,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_quality_rules": op11_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op11_quality_rules": OP11_SQL,
-    "op12_merkle_manifest": OP12_SQL,
+    "op12_merkle_manifest": OP12_SQL, "op13_conversation_repair": OP13_SQL,
 }
