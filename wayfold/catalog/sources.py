@@ -182,6 +182,48 @@ def many_documents(layer):
     return run
 
 
+def varying_state(tr):
+    """Journeys as raw records: the state's fields differ from row to row, and every third row has none of them."""
+    pairs = (
+        ("entity_elapsed_time", r6("s_elapsed"), F.col("step") % 3 == 0),
+        ("entity_cumulative_wait", r6("s_cum_wait"), F.col("step") % 3 == 1),
+        ("resource_desk_one_utilization", F.col("s_node_util").cast("double"), F.col("done")),
+        ("attr_size", F.col("s_node_avg_queue").cast("double"), F.col("step") % 2 == 0),
+        ("shape", F.lit(1.0), F.col("step") % 2 == 1),
+    )
+    entries = F.array_compact(F.array(*[F.when(has, F.struct(F.lit(n), v)) for n, v, has in pairs]))
+    return tr.select(
+        F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"),
+        F.map_from_entries(entries).alias("state"),
+        F.when(F.col("done"), F.create_map(F.lit("time_penalty"), r6(-F.col("wait")))).alias("reward"),
+    )
+
+
+def map_records(spark, folder):
+    """State and reward as maps whose keys vary by row."""
+    return trajectories_layer(varying_state(plain_journeys(spark, folder)))
+
+
+def variant_records(spark, folder):
+    """The same records as JSON documents, read as variants: no schema is given or inferred."""
+    rows = varying_state(plain_journeys(spark, folder))
+    documents = rows.groupBy(F.pmod(F.hash("entity_id"), F.lit(64)).alias("part"), F.floor(F.col("step_index") / 64).alias("stretch")).agg(
+        F.collect_list(F.struct(*rows.columns)).alias("trajectories")
+    )
+    path = fresh_path(spark, "varying") + ".json"
+    documents.select("trajectories").write.json(path)
+    return load(spark, path, document_per_line=True, varying=True).trajectories
+
+
+def map_fingerprint(spark, folder):
+    """Maps with the same entries in another order are the same rows; another value makes others."""
+    maps = table(spark, folder, "events").select("event_id", F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")).alias("m"))
+    turned = maps.select("event_id", F.map_from_entries(F.reverse(F.map_entries("m"))).alias("m"))
+    changed = maps.select("event_id", F.map_filter("m", lambda k, v: ~((k == "user") & (v == "7"))).alias("m"))
+    own = content_hash(maps)
+    return spark.createDataFrame([(own == content_hash(turned), own == content_hash(changed))], "same_in_any_order boolean, same_without_an_entry boolean")
+
+
 def stored_categories(spark, folder):
     """Customers' names: one category each, far more than a profile row lists."""
     store = DatasetStore(spark, fresh_path(spark, "store"))
@@ -190,7 +232,16 @@ def stored_categories(spark, folder):
     return targets_from_categories(store.categories(dataset_id, "trajectories"))
 
 
+VARYING = f"""WITH {JOURNEYS}
+        SELECT eid, step, node, CASE WHEN step % 3 = 0 THEN round(s_elapsed, 6) END AS s_elapsed, CASE WHEN step % 3 = 1 THEN round(s_cum_wait, 6) END AS s_cum_wait,
+          CASE WHEN done THEN CAST(s_node_util AS DOUBLE) END AS s_r_desk_one_util, CASE WHEN step % 2 = 0 THEN CAST(s_node_avg_queue AS DOUBLE) END AS s_attr_size,
+          CASE WHEN done THEN round(-wait, 6) END AS rw_time_penalty FROM tr"""
+
 ENTRIES = [
+    Entry("source_map_records", map_records, VARYING),
+    Entry("source_variant_records", variant_records, VARYING),
+    Entry("store_map_fingerprint", map_fingerprint, """
+        SELECT true AS same_in_any_order, count(*) FILTER (user_id = 7) = 0 AS same_without_an_entry FROM events"""),
     Entry("source_csv", csv_round, """
         SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""),
     Entry("source_parquet_layers", parquet_layers, " UNION ALL ".join(

@@ -1,7 +1,8 @@
 """Layered JSON exports: one document with an array of snapshots and one of trajectories.
 
 Field names are turned into column names on the driver from the schema alone; the
-rows see one ``explode`` and one projection.
+rows see one ``explode`` and one projection. Where fields vary by row (maps, variants),
+one aggregation over the rows finds the names first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.model import Dataset
+from wayfold.sources.open_records import as_map, field, is_open, open_projection, spread
 
 # Names in the export and the column names they get.
 SNAPSHOT_LAYERS = ("state_snapshots", "snapshots")
@@ -104,6 +106,7 @@ REWARD_NAMES = (
     "time_penalty", "cost_penalty", "transport_cost_penalty", "step_completion", "sla_penalty",
     "processing_efficiency", "sla_budget_remaining", "episode_completion",
 )
+NESTED = ("state", "reward", "next_state")
 STATE_RESOURCE_FORM = r"resource_([a-zA-Z0-9_]+?)_(utilization|capacity)"
 
 
@@ -160,7 +163,7 @@ def snapshots_layer(raw: DataFrame) -> DataFrame:
 
 
 def trajectories_layer(raw: DataFrame) -> DataFrame:
-    """Rename known fields and flatten the nested state, reward and next state."""
+    """Rename known fields and flatten the nested state, reward and next state, be they structs, maps or variants."""
     columns = _projection(raw.columns, trajectory_name)
     nested = {
         "state": lambda n: state_name(n, "s"),
@@ -170,6 +173,12 @@ def trajectories_layer(raw: DataFrame) -> DataFrame:
     for parent, rename in nested.items():
         if parent in raw.columns and isinstance(raw.schema[parent].dataType, T.StructType):
             columns += _projection(raw.schema[parent].dataType.fieldNames(), rename, parent)
+    varying = open_projection(raw, nested)
+    if varying:
+        # The map of a variant is made once and then read for each of its fields.
+        parents = {p: f"{p}.fields" for p in dict.fromkeys(p for p, *_ in varying)}
+        raw = raw.select("*", *[as_map(p, raw.schema[p].dataType).alias(m) for p, m in parents.items()])
+        columns += [field(F.col(f"`{parents[p]}`"), n, dtype).alias(new) for p, n, new, dtype in varying]
     if not columns:
         raise ValueError("no known trajectory field")
     return raw.select(*columns)
@@ -179,20 +188,28 @@ def unknown_fields(raw: DataFrame, layer: str) -> list[str]:
     """Top-level fields of a raw layer that no column is made of."""
     if layer == "snapshots":
         return [n for n in raw.columns if snapshot_name(n) is None]
-    return [n for n in raw.columns if trajectory_name(n) is None and n not in ("state", "reward", "next_state")]
+    return [n for n in raw.columns if trajectory_name(n) is None and n not in NESTED]
 
 
 def _layer(document: DataFrame, name: str) -> DataFrame | None:
     if name not in document.columns:
         return None
     dtype = document.schema[name].dataType
-    if not (isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)):
+    if not isinstance(dtype, T.ArrayType):
         return None
-    return document.select(F.inline(F.col(name)))
+    if is_open(dtype.elementType):
+        return spread(document.select(F.explode(name).alias("record")), "record", NESTED)
+    return document.select(F.inline(F.col(name))) if isinstance(dtype.elementType, T.StructType) else None
+
+
+# Every record as it comes, whatever its fields.
+VARYING_RECORDS = ", ".join(
+    ["metadata variant", "summary variant", *[f"{n} array<variant>" for n in (*SNAPSHOT_LAYERS, "trajectories")]]
+)
 
 
 def load_layered_json(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, document_per_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, document_per_line: bool = False, varying: bool = False
 ) -> Dataset:
     """Read one export, or a folder of them.
 
@@ -206,11 +223,11 @@ def load_layered_json(
     raw_trajectories = _layer(document, "trajectories")
     if raw_snapshots is None and raw_trajectories is None:
         raise ValueError(f"neither snapshots nor trajectories in {path}")
-    told = [n for n in ("metadata", "summary") if n in document.columns and isinstance(document.schema[n].dataType, T.StructType)]
+    told = [n for n in ("metadata", "summary") if n in document.columns and isinstance(document.schema[n].dataType, (T.StructType, T.VariantType))]
     # A row for each document with the file it comes from; the first by file name stands in the dataset's record.
-    documents = document.select(F.input_file_name().alias("file"), *[F.to_json(n).alias(n) for n in told])
+    documents = document.select(F.input_file_name().alias("file"), *[F.to_json(F.col(n)).alias(n) for n in told])
     first = documents.orderBy("file", *told).first() if told else None
-    extras = {n: first[n] for n in told} if first else {}
+    extras = {n: first[n] for n in told if first[n] is not None} if first else {}
     if raw_snapshots is not None:
         extras["unknown_snapshot_fields"] = json.dumps(unknown_fields(raw_snapshots, "snapshots"))
     if raw_trajectories is not None:

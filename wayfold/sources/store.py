@@ -11,8 +11,9 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.model import Dataset, text_columns
 from wayfold.operators.profile import category_counts, full_profile
@@ -41,9 +42,36 @@ def content_hash(df: DataFrame) -> str:
     return count_and_hash(df)[1]
 
 
+def _has_open_parts(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _has_open_parts(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_has_open_parts(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def canonical(value: Column, dtype: T.DataType) -> Column:
+    """One form for equal values: maps as entries sorted by key, at any depth, and variants as their text. Other values stay as they are."""
+    if not _has_open_parts(dtype):
+        return value
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(value),
+        lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], dtype.valueType).alias("value")),
+    )
+    # A null map and an empty one differ.
+    return F.struct(value.isNull().alias("missing"), F.sort_array(entries).alias("entries"))
+
+
 def count_and_hash(df: DataFrame) -> tuple[int, str]:
     """Row count, and the digest of schema, count, hash sum and hash xor, from one aggregation."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    row_hash = F.xxhash64(*[canonical(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
     parts = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(row_hash.cast("decimal(38,0)")).alias("total"),
