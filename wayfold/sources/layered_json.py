@@ -215,8 +215,12 @@ def load_layered_json(
 
     A file is one document, parsed by one task, or with ``document_per_line`` many of
     them, which lets Spark split the file. With a ``schema`` nothing is inferred and
-    only the layers asked for are parsed.
+    only the layers asked for are parsed. ``varying`` reads records as variants: fields that
+    differ from record to record become columns of a type that holds all their values,
+    and no struct of all fields is inferred. A schema may also have maps or variants.
     """
+    if varying and schema is None:
+        schema = VARYING_RECORDS
     reader = spark.read.option("multiLine", not document_per_line)
     document = (reader.schema(schema) if schema else reader).json(path)
     raw_snapshots = next((d for n in SNAPSHOT_LAYERS if (d := _layer(document, n)) is not None), None)
