@@ -11,7 +11,7 @@ from wayfold.functions.features import FeatureDefinition, FeatureStore
 from wayfold.operators.series import bucket_interval
 from wayfold.plans.entity import FeatureTable
 from wayfold.plans.experiment import Experiment, run_experiment
-from wayfold.plans.learners import SPACES, Learner, default_learners, sample_settings
+from wayfold.plans.learners import SPACES, Facts, Learner, Learners, default_learners, sample_settings
 from wayfold.plans.models import ModelStore
 from wayfold.plans.series import series_table
 from wayfold.plans.training import Trainer, predict
@@ -193,31 +193,72 @@ def test_stream_and_batch_score_alike(spark, cloud, tmp_path):
     assert streamed.count() == 200 and streamed.exceptAll(batch).isEmpty()
 
 
-@pytest.mark.parametrize("name, learner", [("learn_full_forest_series", "random_forest"), ("learn_full_boosting_series", "gbt"), ("learn_full_boosting_binary", "gbt")])
-def test_learners_run_with_their_defaults(spark, tiny, monkeypatch, name, learner):
-    """What each fold is asked to fit; the fits themselves take minutes."""
-    from wayfold.catalog import learning
-
-    asked = []
-
-    def seen(self, name, settings=None):
-        asked.append((name, self.settings.get(name, {}) if settings is None else settings, self.folds))
-        return [(name, 0, "rmse", 1.0)]
-
-    monkeypatch.setattr(learning.Trainer, "cross_validate", seen)
-    {e.name: e for e in learning.FULL}[name].run(spark, tiny).collect()
-    assert asked == [(learner, {}, 5)]
-
-
-def test_full_search_draws_the_default_trials_of_forest_and_boosting(spark, tiny, monkeypatch):
-    from wayfold.catalog import learning
-
-    asked = []
-
-    def seen(self, name, trials):
-        asked.append((name, trials, self.folds))
-        return {"maxDepth": 4}
-
-    monkeypatch.setattr(learning.Trainer, "search", seen)
-    assert len({e.name: e for e in learning.FULL}["learn_full_search"].run(spark, tiny).collect()) == 2
-    assert asked == [("random_forest", 20, 5), ("gbt", 20, 5)]
+def test_defaults_reach_the_estimators():
+    """What the full queries fit: nothing is set but the defaults."""
+    learners, facts = default_learners(), Facts(1_000, 1.0, 2)
+    for task in ("regression", "classification"):
+        boosting = learners.get("lightgbm").build(task, facts, 7, {}, None)
+        assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getStepSize(), boosting.getCheckpointInterval()) == (500, 6, 0.05, 10)
+        assert not boosting.isSet("validationIndicatorCol")
+        forest = learners.get("random_forest").build(task, facts, 7, {}, None)
+        assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 12)
+    many = learners.get("gbt").build("classification", Facts(1_000, 1.0, 3), 7, {}, "held")
+    assert many.getClassifier().getMaxIter() == 500 and not many.getClassifier().isSet("validationIndicatorCol")
+
+
+SMALL = {"gbt": {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 1}, "random_forest": {"numTrees": 3}}
+
+
+@pytest.mark.parametrize("name", ["gbt", "random_forest"])
+def test_trials_and_folds_are_one_queue(spark, cloud, name):
+    """Many at a time or one by one: the same values and the same winner, which is what cross-validation of each draw says."""
+    def trainer(parallel):
+        return Trainer(regression(spark, cloud), ["rmse"], "shuffled", 3, settings=SMALL, parallel=parallel)
+
+    many = trainer(6)
+    found = many.trials(name, 4)
+    assert len(found) == 4 and found == trainer(1).trials(name, 4)
+    best = min(found, key=lambda t: t[1])[0]
+    assert many.search(name, 4) == best
+    values = [v for *_, v in many.cross_validate(name, best)]
+    assert sum(values) / 3 == pytest.approx(min(v for _, v in found))
+
+
+def test_a_failing_trial_leaves_the_others(spark, cloud):
+    def build(task, facts, seed, settings, held=None):
+        if settings["alpha"] > 1.0:
+            raise RuntimeError("no such fit")
+        return default_learners().get("linear").build(task, facts, seed, settings)
+
+    learners = Learners()
+    learners.register(Learner("fragile", build, space=lambda task: {"alpha": ("log", 1e-4, 1e4)}))
+    learners.register(Learner("broken", build, space=lambda task: {"alpha": ("float", 2.0, 3.0)}))
+    trainer = Trainer(regression(spark, cloud), ["rmse"], "shuffled", 2, learners=learners)
+    found = trainer.trials("fragile", 8)
+    assert {m is None for _, m in found} == {True, False}
+    assert all((m is None) == (s["alpha"] > 1.0) for s, m in found)
+    assert trainer.search("fragile", 8)["alpha"] <= 1.0
+    with pytest.raises(RuntimeError, match="no such fit"):
+        trainer.search("broken", 2)
+    outcome = trainer.run(["broken", "fragile"], trials=8)
+    assert outcome.best.learner == "fragile" and list(outcome.skipped) == ["broken"]
+
+
+def test_boosting_can_stop_early_and_checkpoints(spark, cloud):
+    trainer = Trainer(regression(spark, cloud), ["rmse"], "shuffled", 2)
+    boosting = trainer.learners.get("gbt")
+    settings = {"maxIter": 30, "maxDepth": 2, "stepSize": 0.5, "subsamplingRate": 1.0}
+    every = trainer.fit(boosting, trainer.rows, settings)
+    stopped = trainer.fit(boosting, trainer.rows, {**settings, "early_stop": 0.3})
+    assert every.model.getNumTrees == 30 and stopped.model.getNumTrees < 30
+    assert spark.sparkContext.getCheckpointDir()
+
+
+def test_out_of_fold_rows_are_scored_once(spark, cloud):
+    trainer = Trainer(regression(spark, cloud), ["rmse"], "shuffled", 3)
+    scores = {f: v for _, f, _, v in trainer.cross_validate("linear")}
+    kept = trainer.out_of_fold("linear")
+    assert kept.count() == trainer.rows.count()
+    for r in kept.groupBy("fold").agg(F.sqrt(F.avg((F.col("y") - F.col("y_pred")) ** 2)).alias("rmse")).collect():
+        assert r.rmse == pytest.approx(scores[r.fold])
+    assert "Arrow" not in kept._jdf.queryExecution().executedPlan().toString() and "UDF" not in kept._jdf.queryExecution().executedPlan().toString()

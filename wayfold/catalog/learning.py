@@ -22,6 +22,8 @@ LIGHT = {
 }
 # Of the default settings.
 FOLDS, TRIALS = 5, 20
+# Fits side by side; a fit of a small table leaves most cores idle.
+PARALLEL = 8
 ENTITY_COLUMNS = ["s_cum_wait", "s_cum_cost", "s_node_util", "s_node_avg_queue", "s_sys_util"]
 
 
@@ -104,7 +106,7 @@ def breached(spark, folder):
 
 def cross_validated(name, make, metrics, strategy, folds=2, settings=LIGHT):
     def run(spark, folder):
-        trainer = Trainer(make(spark, folder), metrics, strategy, folds, settings=settings, parallel=2)
+        trainer = Trainer(make(spark, folder), metrics, strategy, folds, settings=settings, parallel=PARALLEL)
         scores = spark.createDataFrame(trainer.cross_validate(name), "algorithm string, fold int, metric string, value double")
         return scores
     return run

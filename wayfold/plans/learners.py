@@ -36,6 +36,10 @@ SPACES = {
 }
 
 
+# Boosting writes its state to the checkpoint folder so often.
+CHECKPOINT_ROUNDS = 10
+
+
 @dataclass(frozen=True)
 class Facts:
     """What a learner may need to know of its training rows: their number, and the target's spread."""
@@ -47,10 +51,13 @@ class Facts:
 
 @dataclass(frozen=True)
 class Learner:
-    """Builds an estimator for a task; ``weighted`` learners balance classes whatever the caller asks."""
+    """Builds an estimator for a task; ``weighted`` learners balance classes whatever the caller asks.
+
+    The last argument names a boolean column of rows that iterative learners watch to stop early, or is None.
+    """
 
     name: str
-    build: Callable[[str, Facts, int, dict], Estimator]
+    build: Callable[[str, Facts, int, dict, str | None], Estimator]
     tasks: tuple[str, ...] = (REGRESSION, CLASSIFICATION)
     always_balanced: bool = True
     space: Callable[[str], dict] = field(default=lambda task: {})
@@ -60,7 +67,7 @@ def _common(weighted: bool) -> dict:
     return {"featuresCol": "features", "labelCol": "label", **({"weightCol": "weight"} if weighted else {})}
 
 
-def _linear(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
+def _linear(task: str, facts: Facts, seed: int, settings: dict, held: str | None = None) -> Estimator:
     if task == REGRESSION:
         alpha = settings.get("alpha", RIDGE_ALPHA)
         # This scaling of the penalty makes the fit equal to ridge regression with ``alpha``.
@@ -74,15 +81,17 @@ def _linear(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
     return LogisticRegression(**_common(True), standardization=False, regParam=1.0 / (strength * max(facts.rows, 1)), **chosen)
 
 
-def _forest(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
+def _forest(task: str, facts: Facts, seed: int, settings: dict, held: str | None = None) -> Estimator:
     chosen = {**FOREST, **settings, "seed": seed}
     if task == REGRESSION:
         return RandomForestRegressor(**_common(False), **chosen)
     return RandomForestClassifier(**_common(True), **chosen)
 
 
-def _boosting(task: str, facts: Facts, seed: int, settings: dict) -> Estimator:
-    chosen = {**BOOSTING, **settings, "seed": seed}
+def _boosting(task: str, facts: Facts, seed: int, settings: dict, held: str | None = None) -> Estimator:
+    # One against the rest does not hand the column on, so with more classes all rounds are run.
+    stop = {"validationIndicatorCol": held} if held and facts.classes <= 2 else {}
+    chosen = {**BOOSTING, **settings, **stop, "seed": seed, "checkpointInterval": CHECKPOINT_ROUNDS}
     if task == REGRESSION:
         return GBTRegressor(**_common(False), **chosen)
     binary = GBTClassifier(**_common(True), **chosen)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import math
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
@@ -27,11 +31,15 @@ from wayfold.operators.folds import (
 from wayfold.operators.metrics import LOWER_IS_BETTER, evaluate
 from wayfold.plans.entity import FeatureTable
 from wayfold.plans.learners import CLASSIFICATION, Facts, Learner, Learners, default_learners, sample_settings
-from wayfold.session import cut_lineage
+from wayfold.session import cut_lineage, shared_folder
 
 log = logging.getLogger(__name__)
 
 STRATEGIES = ("temporal", "stratified", "shuffled")
+# Each round of an iterative fit runs a task per partition, so small tables are read by few tasks. Larger ones stay as they are.
+ROWS_PER_TASK = 20_000
+# A setting of iterative learners: the share of rows that tells when more rounds no longer help.
+EARLY_STOP = "early_stop"
 
 
 @dataclass
@@ -147,7 +155,12 @@ class Trainer:
             slim = cut_lineage(slim, "features")  # numbering the rows reads them several times
         folded, self.bounds = with_folds(table, slim, strategy, folds, seed, group)
         self.rows = cut_lineage(folded, "folds")
-        self._fitted: dict[tuple[str, int], FittedModel] = {}
+        context = self.rows.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            # Boosting cuts its lineage there every few rounds; without a folder hundreds of rounds would carry all earlier ones.
+            context.setCheckpointDir(shared_folder(self.rows.sparkSession))
+        # Written predictions of each learner's folds by the model that has not seen them.
+        self._held_out: dict[tuple[str, int], DataFrame] = {}
         self._groups: list[Row] | None = None
 
     def _fold_groups(self) -> list[Row]:
@@ -185,8 +198,16 @@ class Trainer:
         if self.task == CLASSIFICATION:
             balanced = self.balance or learner.always_balanced
             train = weigh(train, "label", balanced_class_weights(counts) if balanced else {})
-        estimator = learner.build(self.task, facts, named_seed(learner.name, self.seed), settings)
-        model = estimator.fit(assembled(train, self.table.features))
+        share = settings.get(EARLY_STOP)
+        held = None if share is None else "held_for_stop"
+        estimator = learner.build(self.task, facts, named_seed(learner.name, self.seed), {k: v for k, v in settings.items() if k != EARLY_STOP}, held)
+        few = max(1, math.ceil(facts.rows / ROWS_PER_TASK))
+        columns = ["features", "label", *[c for c in ("weight",) if c in train.columns]]
+        ready = assembled(train, self.table.features)
+        if held:
+            key = F.xxhash64(F.lit(self.seed), *[F.col(k).cast("string") for k in self.table.keys])
+            ready, columns = ready.withColumn(held, F.pmod(key, F.lit(10_000)) < F.lit(share * 10_000)), [*columns, held]
+        model = estimator.fit(ready.select(*columns).coalesce(few))
         names = self.table.encoding.names
         return FittedModel(model, learner.name, self.task, self.table.features, tuple(names) if names else None, settings)
 
@@ -196,9 +217,11 @@ class Trainer:
         y = F.col("label").cast("int") if self.task == CLASSIFICATION else F.col("label")
         return scored.select(*self.table.keys, y.alias("y"), "y_pred", *extra)
 
-    def measure(self, predictions: DataFrame) -> dict[str, float | None]:
+    def measure(self, predictions: DataFrame, written: bool = False) -> dict[str, float | None]:
         if self.task != CLASSIFICATION:
             return evaluate(predictions, self.metrics, self.task)
+        if written:
+            return evaluate(predictions, self.metrics, self.task, self.classes, "proba")
         # Counting and ranking measures each read the predictions; they are dropped again right after.
         kept = predictions.drop(*self.table.keys).persist()
         try:
@@ -206,37 +229,90 @@ class Trainer:
         finally:
             kept.unpersist()
 
+    def _one_fold(self, learner: Learner, settings: dict, fold: int, keep: bool) -> tuple[DataFrame, dict[str, float | None]]:
+        """Predictions for the rows of a fold, written if they are to be kept, and their metrics."""
+        train, test = split(self.rows, fold, self.bounds, self.gap)
+        predictions = self._predictions(test, self.fit(learner, train, settings, fold))
+        if keep:
+            predictions = cut_lineage(predictions.withColumn("fold", F.lit(fold)), "held_out")
+        return predictions, self.measure(predictions, written=keep)
+
+    def _side_by_side(self, jobs: list[tuple[int, Callable[[], object]]]) -> list[object]:
+        """Results of jobs, ``parallel`` at a time; each is (group, what to do).
+
+        A group is a Spark job group with a scheduler pool of its own, so that a fair scheduler shares the cluster between groups. When one
+        of its jobs fails, what else runs for the group is cancelled and what waits is not begun; their results are that exception.
+        """
+        context = self.rows.sparkSession.sparkContext
+        batch, failed = uuid.uuid4().hex, {}
+
+        def work(job: tuple[int, Callable[[], object]]) -> object:
+            group, run = job
+            if group in failed:
+                return failed[group]
+            context.setJobGroup(f"{batch}-{group}", f"fits of group {group}", True)
+            context.setLocalProperty("spark.scheduler.pool", f"fits-{group}")
+            try:
+                return run()
+            except Exception as error:
+                failed.setdefault(group, error)
+                context.cancelJobGroup(f"{batch}-{group}")
+                return failed[group]
+
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return list(pool.map(inheritable_thread_target(self.rows.sparkSession)(work), jobs))
+
     def cross_validate(self, name: str, settings: dict | None = None) -> list[tuple[str, int, str, float | None]]:
         """(algorithm, fold, metric, value) of one learner; folds run side by side."""
+        learner = self._able(name)
+        chosen = self.settings.get(name, {}) if settings is None else settings
+        folds = range(self.folds)
+        results = self._side_by_side([(0, lambda fold=fold: self._one_fold(learner, chosen, fold, True)) for fold in folds])
+        rows = []
+        for fold, result in zip(folds, results):
+            if isinstance(result, Exception):
+                raise result
+            self._held_out[name, fold], values = result
+            rows += [(name, fold, m, v) for m, v in values.items()]
+        return rows
+
+    def _able(self, name: str) -> Learner:
         learner = self.learners.get(name)
         if self.task not in learner.tasks:
             raise ValueError(f"learner {name!r} does not support {self.task}")
-        chosen = self.settings.get(name, {}) if settings is None else settings
+        return learner
 
-        def one(fold: int) -> list[tuple[str, int, str, float | None]]:
-            train, test = split(self.rows, fold, self.bounds, self.gap)
-            fitted = self.fit(learner, train, chosen, fold)
-            self._fitted[name, fold] = fitted
-            values = self.measure(self._predictions(test, fitted))
-            return [(name, fold, m, v) for m, v in values.items()]
+    def trials(self, name: str, trials: int) -> list[tuple[dict, float | None]]:
+        """(settings, mean of the first metric) of seeded random draws; the fits of all trials and folds are one queue.
 
-        with ThreadPoolExecutor(self.parallel) as pool:
-            return [row for part in pool.map(one, range(self.folds)) for row in part]
+        A trial with a failing fold has no value; its other folds are cancelled.
+        """
+        learner, fixed = self._able(name), self.settings.get(name, {})
+        drawn = [{**s, **fixed} for s in sample_settings(learner.space(self.task), trials, named_seed(f"search:{name}", self.seed))]
+        jobs = [
+            (trial, lambda settings=settings, fold=fold: self._one_fold(learner, settings, fold, False)[1].get(self.metrics[0]))
+            for trial, settings in enumerate(drawn) for fold in range(self.folds)
+        ]
+        results = self._side_by_side(jobs)
+        out = []
+        for trial, settings in enumerate(drawn):
+            own = results[trial * self.folds : (trial + 1) * self.folds]
+            errors = [r for r in own if isinstance(r, Exception)]
+            if errors:
+                log.warning("trial %s of learner %s failed: %s", trial, name, errors[0])
+            values = [] if errors else [v for v in own if v is not None]
+            out.append((settings, sum(values) / len(values) if values else None))
+        if jobs and all(isinstance(r, Exception) for r in results):
+            raise results[0]
+        return out
 
     def search(self, name: str, trials: int) -> dict:
-        """Settings with the best mean of the first metric among seeded random draws."""
-        space = self.learners.get(name).space(self.task)
-        fixed = self.settings.get(name, {})
-        primary, best, best_value = self.metrics[0], fixed, None
-        for settings in sample_settings(space, trials, named_seed(f"search:{name}", self.seed)):
-            candidate = {**settings, **fixed}
-            values = [v for _, _, m, v in self.cross_validate(name, candidate) if m == primary and v is not None]
-            mean = sum(values) / len(values) if values else None
-            if mean is None:
-                continue
-            signed = -mean if primary in LOWER_IS_BETTER else mean
-            if best_value is None or signed > best_value:
-                best, best_value = candidate, signed
+        """Settings with the best mean of the first metric among seeded random draws; of equal ones, the first drawn."""
+        lower = self.metrics[0] in LOWER_IS_BETTER
+        best, best_value = self.settings.get(name, {}), None
+        for settings, mean in self.trials(name, trials):
+            if mean is not None and (best_value is None or (mean < best_value if lower else mean > best_value)):
+                best, best_value = settings, mean
         return best
 
     def run(self, names: list[str], trials: int = 0) -> Outcome:
@@ -264,17 +340,13 @@ class Trainer:
         return Outcome(
             best, score_rows, summary, ranking, importance(spark, best),
             evaluate(predictions, self.metrics, self.task, self.classes, has_proba),
-            predictions, cut_lineage(self.out_of_fold(winner), "out_of_fold"), skipped,
+            predictions, self.out_of_fold(winner), skipped,
         )
 
     def out_of_fold(self, name: str) -> DataFrame:
-        """Predictions for each tested row by the cross-validated model that has not seen it, with its ``fold``."""
-        parts = None
-        for fold in range(self.folds):
-            _, test = split(self.rows, fold, self.bounds, self.gap)
-            part = self._predictions(test, self._fitted[name, fold]).withColumn("fold", F.lit(fold))
-            parts = part if parts is None else parts.unionByName(part)
-        return parts
+        """Predictions for each tested row by the cross-validated model that has not seen it, with its ``fold``; scored and written once."""
+        parts = [self._held_out[name, fold] for fold in range(self.folds)]
+        return functools.reduce(DataFrame.unionByName, parts)
 
 
 def raw_importance(fitted: FittedModel) -> list[tuple[str, float]]:
