@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, plain_journeys, r6, rounded
@@ -143,23 +144,35 @@ def fingerprint_rules(spark, folder):
     return spark.createDataFrame([told], "same_in_any_order boolean, changes_with_a_value boolean")
 
 
+def as_one_document(path, layers):
+    """Writes a single document over many lines: one task passes the rows on, line by line, and holds none of them."""
+    line = None
+    for part, (name, rows) in enumerate(layers.items()):
+        last = part == len(layers) - 1
+        lines = rows.select(F.lit(3 * part + 1).alias("part"), F.to_json(F.struct(*rows.columns)).alias("value"))
+        edge = rows.sparkSession.createDataFrame([
+            (3 * part, ('{"metadata": {"version": "2.0"}, ' if part == 0 else "") + f'"{name}": ['), (3 * part + 2, "]}" if last else "],"),
+        ], "part int, value string")
+        both = lines.unionByName(edge)
+        line = both if line is None else line.unionByName(both)
+    before = F.lag("part").over(Window.orderBy("part"))
+    text = F.when((before == F.col("part")) & (F.col("part") % 3 == 1), F.concat(F.lit(", "), "value")).otherwise(F.col("value"))
+    line.select(text.alias("value")).write.text(path)
+
+
 def one_document(layer):
-    """Both layers in one document over many lines, nodes with underscores in their names."""
+    """Whole layers in one document, nodes with underscores in their names, read by many tasks."""
     def run(spark, folder):
-        sn = snapshots(spark, folder)
-        states = sn.where("bucket_idx % 6 = 0").select(F.struct(
+        states = snapshots(spark, folder).select(
             F.col("ts").alias("timestamp"), F.col("bucket_idx").alias("bucket_index"), F.col("arrivals").alias("sys_cumulative_arrivals"),
-            F.col("n_view_queue").alias("node_front_desk_queue"), F.lit("x").alias("colour"),
-        ).alias("s"))
-        journeys = plain_journeys(spark, folder).where("step < 2 AND s_node_avg_queue = 3").select(
-            F.struct(F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"), F.col("done").alias("episode_done")).alias("t")
+            F.col("n_view_queue").alias("node_front_desk_queue"), F.lit("}x{").alias("colour"),
+        )
+        journeys = plain_journeys(spark, folder).select(
+            F.col("eid").alias("entity_id"), F.col("step").alias("step_index"), F.col("node").alias("node_name"), F.col("done").alias("episode_done"),
         )
-        document = states.agg(F.collect_list("s").alias("state_snapshots")).join(
-            journeys.agg(F.collect_list("t").alias("trajectories"), F.count(F.lit(1)).alias("n")), F.lit(True)
-        ).select(F.struct(F.lit("2.0").alias("version")).alias("metadata"), "state_snapshots", "trajectories")
         path = fresh_path(spark, "document") + ".json"
-        document.coalesce(1).write.json(path)
-        return load(spark, path).layers()[layer]
+        as_one_document(path, {"state_snapshots": states, "trajectories": journeys})
+        return load(spark, path, split=True).layers()[layer]
     return run
 
 
@@ -277,9 +290,9 @@ ENTRIES = [
     Entry("store_categories", stored_categories, """
         SELECT 'order ' || l_orderkey AS label, count(*) AS rows, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1"""),
     Entry("source_one_document_snapshots", one_document("snapshots"), f"""WITH {SNAPSHOTS}
-        SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn WHERE bucket_idx % 6 = 0"""),
+        SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn"""),
     Entry("source_one_document_trajectories", one_document("trajectories"), f"""WITH {JOURNEYS}
-        SELECT eid, step, node, done FROM tr WHERE step < 2 AND s_node_avg_queue = 3"""),
+        SELECT eid, step, node, done FROM tr"""),
     Entry("source_documents_snapshots", many_documents("snapshots"), f"""WITH {SNAPSHOTS}
         SELECT ts, bucket_idx, arrivals AS cum_arrivals, n_view_queue AS n_front_desk_queue FROM sn"""),
     Entry("source_documents_trajectories", many_documents("trajectories"), f"""WITH {JOURNEYS}

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.model import Dataset
+from wayfold.session import cut_lineage
 from wayfold.sources.open_records import as_map, field, is_open, open_projection, spread
+from wayfold.sources.split_json import split_records
 
 # Names in the export and the column names they get.
 SNAPSHOT_LAYERS = ("state_snapshots", "snapshots")
@@ -209,7 +211,8 @@ VARYING_RECORDS = ", ".join(
 
 
 def load_layered_json(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, document_per_line: bool = False, varying: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, document_per_line: bool = False, varying: bool = False,
+    split: bool = False,
 ) -> Dataset:
     """Read one export, or a folder of them.
 
@@ -218,20 +221,44 @@ def load_layered_json(
     only the layers asked for are parsed. ``varying`` reads records as variants: fields that
     differ from record to record become columns of a type that holds all their values,
     and no struct of all fields is inferred. A schema may also have maps or variants.
+    ``split`` lets many tasks read one document, whose records are variants then, too.
     """
+    if split:
+        return _load_split(spark, path)
     if varying and schema is None:
         schema = VARYING_RECORDS
     reader = spark.read.option("multiLine", not document_per_line)
     document = (reader.schema(schema) if schema else reader).json(path)
     raw_snapshots = next((d for n in SNAPSHOT_LAYERS if (d := _layer(document, n)) is not None), None)
     raw_trajectories = _layer(document, "trajectories")
-    if raw_snapshots is None and raw_trajectories is None:
-        raise ValueError(f"neither snapshots nor trajectories in {path}")
     told = [n for n in ("metadata", "summary") if n in document.columns and isinstance(document.schema[n].dataType, (T.StructType, T.VariantType))]
     # A row for each document with the file it comes from; the first by file name stands in the dataset's record.
     documents = document.select(F.input_file_name().alias("file"), *[F.to_json(F.col(n)).alias(n) for n in told])
     first = documents.orderBy("file", *told).first() if told else None
     extras = {n: first[n] for n in told if first[n] is not None} if first else {}
+    return _dataset(raw_snapshots, raw_trajectories, path, extras, documents)
+
+
+def _load_split(spark: SparkSession, path: str) -> Dataset:
+    # Written once: the names of the fields and the rows of both layers are read from it.
+    found = cut_lineage(split_records(spark, path), "records")
+
+    def layer(name: str) -> DataFrame | None:
+        rows = found.where((F.col("layer") == name) & F.col("in_array"))
+        return spread(rows.select(F.parse_json("record").alias("record")), "record", NESTED)
+
+    raw_snapshots = next((d for n in SNAPSHOT_LAYERS if (d := layer(n)) is not None), None)
+    told = ("metadata", "summary")
+    values = [F.max(F.when((F.col("layer") == n) & ~F.col("in_array"), F.col("record"))).alias(n) for n in told]
+    documents = found.groupBy("file").agg(*values)
+    first = documents.orderBy("file").first()
+    extras = {n: first[n] for n in told if first and first[n] is not None}
+    return _dataset(raw_snapshots, layer("trajectories"), path, extras, documents)
+
+
+def _dataset(raw_snapshots: DataFrame | None, raw_trajectories: DataFrame | None, path: str, extras: dict[str, str], documents: DataFrame) -> Dataset:
+    if raw_snapshots is None and raw_trajectories is None:
+        raise ValueError(f"neither snapshots nor trajectories in {path}")
     if raw_snapshots is not None:
         extras["unknown_snapshot_fields"] = json.dumps(unknown_fields(raw_snapshots, "snapshots"))
     if raw_trajectories is not None:
