@@ -9,6 +9,7 @@ from wayfold.catalog.learning import one_feature
 from wayfold.plans.training import Trainer
 from wayfold.session import fresh_path
 from wayfold.sources.event_tables import table
+from wayfold.streaming.closing import closable, run_to_end
 from wayfold.streaming.scoring import append_to, scored_stream
 from wayfold.streaming.snapshots import bucketed
 
@@ -26,8 +27,11 @@ def drained(spark, stream):
 
 
 def closed_buckets(spark, folder):
-    found = drained(spark, bucketed(file_stream(spark, folder, "events")))
-    return rounded(found, "avg_wait")
+    """All buckets of the events: the end of the stream is marked, so the last ones close as well."""
+    events, path = file_stream(spark, folder, "events"), fresh_path(spark, "stream")
+    stream = bucketed(closable(events, path + "-end"))
+    run_to_end(stream, events.schema, path + "-end", path, path + "-state")
+    return rounded(spark.read.schema(stream.schema).parquet(path), "avg_wait")
 
 
 def scored(spark, folder):
@@ -42,7 +46,7 @@ ENTRIES = [
     Entry("stream_snapshots", closed_buckets, f"""WITH {SNAPSHOTS}
         SELECT CAST(ts AS BIGINT) AS ts, arrivals, n_click_queue, n_error_queue, n_purchase_queue, n_signup_queue, n_view_queue,
           in_queue, busy, round(avg_wait, 6) AS avg_wait
-        FROM filled WHERE (ts + 3600) * 1000 <= (SELECT epoch_ms(max(e.ts)) FROM events e) - 3600000"""),
+        FROM filled"""),
     Entry("stream_scoring", scored, f"""WITH {SNAPSHOTS},
         mo AS (SELECT avg(arrivals) AS mx, avg(avg_wait) AS my, covar_pop(arrivals, avg_wait) * count(*) AS sxy,
                var_pop(arrivals) * count(*) AS sxx FROM sn)

@@ -128,21 +128,6 @@ def all_moves(spark, folder):
     return found.select("eid", "step", "action", "reward", "done")
 
 
-def odd_steps(spark, folder):
-    """Episodes on both sides of a group's width, with negative steps and one row without a step."""
-    events = table(spark, folder, "events").where("event_id < 900")
-    return events.select(
-        F.when(F.col("event_id") < 20, "short").otherwise("long").alias("eid"),
-        F.when(~F.col("event_id").isin(7, 500), F.col("event_id") - 300).alias("step"),
-        (F.col("value") / 100).alias("reward"), (F.col("event_id") % 5 / 10).alias("value"), (F.col("event_id") % 97 == 0).alias("done"),
-    )
-
-
-def odd_advantages(spark, folder):
-    found = advantages(odd_steps(spark, folder))
-    return rounded(found.withColumns({c: F.col(c) + OFF_TIES for c in ("advantage", "ret")}), "advantage", "ret")
-
-
 def all_steps(spark, folder):
     """Every event: a long episode and one for each other user, half of the steps negative, the last event of each episode without a step."""
     events = table(spark, folder, "events").withColumn("eid", F.when(F.col("user_id") % 7 == 0, "long").otherwise(F.col("user_id").cast("string")))
@@ -207,8 +192,6 @@ ROLLOUT = JOURNEYS + ", ro AS (SELECT eid, step, round(s_node_util, 6) AS reward
 LONG = """ro AS (SELECT CAST(user_id % 3 AS VARCHAR) AS eid, event_id AS step, value / 100 AS reward, event_id % 5 / 10e0 AS value,
         event_type = 'error' AND event_id % 2 = 0 AS done FROM events)"""
 # The step that stands for none comes before all others.
-ODD = """ro AS (SELECT CASE WHEN event_id < 20 THEN 'short' ELSE 'long' END AS eid, CASE WHEN event_id IN (7, 500) THEN -100000 ELSE event_id - 300 END AS step,
-        value / 100 AS reward, event_id % 5 / 10e0 AS value, event_id % 97 = 0 AS done FROM events WHERE event_id < 900)"""
 ALL_STEPS = """ev AS (SELECT *, CASE WHEN user_id % 7 = 0 THEN 'long' ELSE CAST(user_id AS VARCHAR) END AS eid FROM events),
     ro AS (SELECT eid, CASE WHEN event_id = max(event_id) OVER (PARTITION BY eid) THEN -1000000000000 WHEN event_id % 2 = 0 THEN event_id ELSE -event_id END AS step,
         value / 100 AS reward, event_id % 5 / 10e0 AS value, event_id % 97 = 0 AS done FROM ev)"""
@@ -232,9 +215,6 @@ ENTRIES = [
         le AS (SELECT eid, step, node AS action, lead(round(-wait, 6)) OVER w AS reward, lead(done) OVER w AS done, lead(step) OVER w AS ns
           FROM tr WINDOW w AS (PARTITION BY eid ORDER BY step))
         SELECT eid, step, action, reward, done FROM le WHERE ns IS NOT NULL"""),
-    Entry("trajectory_advantages_odd_steps", odd_advantages, advantage_sql(ODD) + """
-        SELECT ro.eid, CASE WHEN ro.step > -1000 THEN ro.step END AS step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
-        FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),
     Entry("trajectory_advantages_all_steps", all_advantages, advantage_sql(ALL_STEPS) + """
         SELECT ro.eid, CASE WHEN ro.step > -1000000000000 THEN ro.step END AS step, reward, value, done, """ + ADVANTAGE_COLUMNS + """
         FROM ro JOIN ga ON ro.eid = ga.eid AND ro.step = ga.step"""),

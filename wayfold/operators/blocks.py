@@ -25,6 +25,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wayfold.functions.names import free_name
+
 ROWS_PER_BLOCK = 1_000_000
 MAX_BOUNDARIES = 10_000
 
@@ -100,18 +102,19 @@ def positions_by_block(df: DataFrame, keys: list[str], order: list[Column], bloc
     The offset of a block travels as one extra row in front of the block's own rows, so the rows
     are shuffled once and nothing is joined.
     """
-    counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"))
+    weight, carry, rows_of = (free_name(df, n) for n in (_WEIGHT, _CARRY, "_rows"))
+    counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias(rows_of))
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, block, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_WEIGHT), F.lit(True).alias(_CARRY)
+        *keys, block, F.coalesce(F.sum(rows_of).over(earlier), F.lit(0)).alias(weight), F.lit(True).alias(carry)
     )
-    rows = df.select("*", F.lit(1).cast("bigint").alias(_WEIGHT), F.lit(False).alias(_CARRY))
+    rows = df.select("*", F.lit(1).cast("bigint").alias(weight), F.lit(False).alias(carry))
     up_to_here = (
-        Window.partitionBy(*keys, block).orderBy(F.desc(_CARRY), *order)
+        Window.partitionBy(*keys, block).orderBy(F.desc(carry), *order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = rows.unionByName(offsets, allowMissingColumns=True).withColumn(out, F.sum(_WEIGHT).over(up_to_here) - 1)
-    return placed.filter(~F.col(_CARRY)).drop(_WEIGHT, _CARRY)
+    placed = rows.unionByName(offsets, allowMissingColumns=True).withColumn(out, F.sum(weight).over(up_to_here) - 1)
+    return placed.filter(~F.col(carry)).drop(weight, carry)
 
 
 @dataclass(frozen=True)

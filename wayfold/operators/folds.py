@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.hashing import shuffle_key
+from wayfold.functions.names import free_name
 from wayfold.operators.blocks import ROWS_PER_BLOCK, ordered_rows, positions_by_block
 
 
@@ -68,9 +69,10 @@ def shuffled_folds(
     rows = df.count() if rows is None else rows
     digits = max(0, math.ceil(math.log(max(rows / rows_per_block, 1), 16)))
     keys = [strata] if strata else []
-    shuffled = df.withColumn("_key", shuffle_key(key, seed)).withColumn("_block", F.substring("_key", 1, digits))
-    placed = positions_by_block(shuffled, keys, [F.col("_key")], "_block", "_place")
-    return placed.withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_key", "_block", "_place")
+    own, block, place = (free_name(df, n) for n in ("_key", "_block", "_place"))
+    shuffled = df.withColumn(own, shuffle_key(key, seed)).withColumn(block, F.substring(own, 1, digits))
+    placed = positions_by_block(shuffled, keys, [F.col(own)], block, place)
+    return placed.withColumn("fold", (F.col(place) % folds).cast("int")).drop(own, block, place)
 
 
 def _hashed_fold(key: Column, folds: int, seed: int) -> Column:

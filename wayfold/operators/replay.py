@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.hashing import uniform
+from wayfold.functions.names import free_name
 from wayfold.operators.quantile import BRACKET_LIMIT, values_at_ranks
 
 # A result up to this many rows is merged from each task's best; both ways give the same rows.
@@ -25,38 +26,40 @@ def largest(df: DataFrame, n: int, key: Column, ties: Column, small: int = SMALL
     """
     if n <= 0:
         return df.limit(0)
-    keyed = df.withColumn("_key", key.cast("double"))
+    own = free_name(df, "_key")
+    keyed = df.withColumn(own, key.cast("double"))
     if n <= small:
-        return keyed.orderBy(F.desc_nulls_last("_key"), ties).limit(n).drop("_key")
-    facts = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("known")).first()
+        return keyed.orderBy(F.desc_nulls_last(own), ties).limit(n).drop(own)
+    facts = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count(own).alias("known")).first()
     rows, known = facts["rows"], facts["known"]
     if rows <= n:
         return df
     if known <= n:
-        above, level, missing = keyed.where(F.col("_key").isNotNull()), keyed.where(F.col("_key").isNull()), n - known
+        above, level, missing = keyed.where(F.col(own).isNotNull()), keyed.where(F.col(own).isNull()), n - known
     else:
-        values = keyed.select(F.col("_key").alias("x")).where(F.col("x").isNotNull())
+        values = keyed.select(F.col(own).alias("x")).where(F.col("x").isNotNull())
         rank = known - n
         cut = values_at_ranks(values, known, [rank], bracket_limit)[rank]
-        above, level = keyed.where(F.col("_key") > cut), keyed.where(F.col("_key") == cut)
+        above, level = keyed.where(F.col(own) > cut), keyed.where(F.col(own) == cut)
         missing = n - above.count()
-    return above.drop("_key").unionByName(_first(level, ties, missing, bracket_limit).drop("_key"))
+    return above.drop(own).unionByName(_first(level, ties, missing, bracket_limit).drop(own))
 
 
 def _first(level: DataFrame, ties: Column, missing: int, bracket_limit: int) -> DataFrame:
     """The first ``missing`` rows by ``ties`` (null first), found by exact cut values and not in one task."""
     if missing <= 0:
         return level.limit(0)
-    tied = level.withColumn("_tie", ties)
-    text = dict(tied.dtypes)["_tie"] == "string"
+    own = free_name(level, "_tie")
+    tied = level.withColumn(own, ties)
+    text = dict(tied.dtypes)[own] == "string"
     taken: DataFrame | None = None
     step = 0
     while True:
         if text:
-            part = F.substring(F.col("_tie").cast("binary"), step * _TEXT_STEP + 1, _TEXT_STEP)
+            part = F.substring(F.col(own).cast("binary"), step * _TEXT_STEP + 1, _TEXT_STEP)
             number = F.conv(F.rpad(F.hex(part), 2 * _TEXT_STEP, "0"), 16, 10).cast("double")
         else:
-            number = F.col("_tie").cast("double")
+            number = F.col(own).cast("double")
         spot = F.coalesce(number, F.lit(float("-inf")))
         rows = tied.count()
         if rows <= missing:
@@ -68,11 +71,11 @@ def _first(level: DataFrame, ties: Column, missing: int, bracket_limit: int) ->
         missing -= under.count()
         tied = tied.where(spot == cut)
         step += 1
-        if not text or tied.where(F.octet_length("_tie") > step * _TEXT_STEP).isEmpty():
+        if not text or tied.where(F.octet_length(own) > step * _TEXT_STEP).isEmpty():
             # What is left is equal in key and tie: any of the rows will do.
             found = tied.limit(missing)
             break
-    return (found if taken is None else taken.unionByName(found)).drop("_tie")
+    return (found if taken is None else taken.unionByName(found)).drop(own)
 
 
 def newest(df: DataFrame, capacity: int, sequence: str) -> DataFrame:

@@ -57,33 +57,43 @@ def lag(column: str, w: WindowSpec, k: int) -> Column:
     return F.lag(column, k).over(w)
 
 
+def finite(column: str) -> Column:
+    """True for a value that is neither null, infinite nor not a number."""
+    return F.coalesce(F.abs(F.col(column).cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
 # From frames of so many rows on, rolling statistics are differences of running sums.
 LONG_FRAME = 32
 
 
 def with_running_sums(rows: OrderedRows, frames: dict[str, int]) -> OrderedRows:
-    """Adds what long frames need: per column the running count and sums of x, x^2 and i x, for finite values.
+    """Adds what long frames need: per column running counts, of values and of those that are not finite, and sums of x, x^2 and i x.
 
     A moving frame looks at all its rows again for each row, so its cost is rows x frame; a difference of two running
     sums costs the same for any frame. Values are centred on the mean of the rows a window sees, which keeps the differences exact
-    to rounding. ``frames`` gives the longest frame of each column; short ones need nothing.
+    to rounding; values that are not finite are counted and left out of the sums. Rows are numbered from the first that a window sees, so that
+    the sums stay small however far down a run it lies. ``frames`` gives the longest frame of each column; short ones need nothing.
     """
     long = [c for c, k in frames.items() if k >= LONG_FRAME]
     if not long:
         return rows
-    centred = rows.select(*[F.coalesce(F.avg(c).over(rows.whole), F.lit(0.0)).alias(f"_mid_{c}") for c in long])
+    centred = rows.select(
+        (F.col("_row") - F.min("_row").over(rows.whole)).alias("_near"),
+        *[F.coalesce(F.avg(F.when(finite(c), F.col(c).cast("double"))).over(rows.whole), F.lit(0.0)).alias(f"_mid_{c}") for c in long],
+    )
     running = rows.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = []
     for c in long:
-        x = F.col(c).cast("double") - F.col(f"_mid_{c}")
+        x = F.when(finite(c), F.col(c).cast("double") - F.col(f"_mid_{c}"))
         sums.append(F.count(c).over(running).alias(f"_count_{c}"))
-        for name, term in (("sum", x), ("square", x * x), ("moment", x * F.col("_row"))):
+        sums.append(F.count_if(F.col(c).isNotNull() & ~finite(c)).over(running).alias(f"_odd_{c}"))
+        for name, term in (("sum", x), ("square", x * x), ("moment", x * F.col("_near"))):
             sums.append(F.coalesce(F.sum(term).over(running), F.lit(0.0)).alias(f"_{name}_{c}"))
     return centred.select(*sums)
 
 
 def running_helpers(frames: dict[str, int]) -> list[str]:
-    return [f"_{n}_{c}" for c, k in frames.items() if k >= LONG_FRAME for n in ("mid", "count", "sum", "square", "moment")]
+    return ["_near", *[f"_{n}_{c}" for c, k in frames.items() if k >= LONG_FRAME for n in ("mid", "count", "odd", "sum", "square", "moment")]]
 
 
 def _over_frame(name: str, column: str, w: WindowSpec, k: int) -> Column:
@@ -92,8 +102,12 @@ def _over_frame(name: str, column: str, w: WindowSpec, k: int) -> Column:
 
 
 def _full(value: Column, column: str, w: WindowSpec, k: int) -> Column:
-    n = _over_frame("count", column, w, k) if k >= LONG_FRAME else F.count(column).over(w.rowsBetween(1 - k, 0))
-    return F.when(n == k, value)
+    """``value`` where the frame is full; not a number where it holds a value that is not finite."""
+    if k >= LONG_FRAME:
+        n, odd = _over_frame("count", column, w, k), _over_frame("odd", column, w, k) > 0
+    else:
+        n, odd = F.count(column).over(w.rowsBetween(1 - k, 0)), F.abs(value) == F.lit(float("inf"))
+    return F.when(n == k, F.when(odd, F.lit(float("nan"))).otherwise(value))
 
 
 def rolling_mean(column: str, w: WindowSpec, k: int) -> Column:
@@ -115,12 +129,12 @@ def rolling_std(column: str, w: WindowSpec, k: int) -> Column:
 def trend(column: str, w: WindowSpec, k: int) -> Column:
     """Least-squares slope per step over the last ``k`` rows, null until there are ``k`` values.
 
-    ``_row`` numbers the rows of the window; only its differences matter.
+    ``_row`` numbers the rows of the window and ``_near`` those that one task sees; only differences matter.
     """
     if k < 2:
         return F.lit(None).cast("double")
     if k >= LONG_FRAME:
-        middle = F.col("_row") - (k - 1) / 2
+        middle = F.col("_near") - (k - 1) / 2
         slope = (_over_frame("moment", column, w, k) - middle * _over_frame("sum", column, w, k)) / (k * (k * k - 1) / 12)
         return _full(slope, column, w, k)
     return _full(F.regr_slope(F.col(column).cast("double"), F.col("_row")).over(w.rowsBetween(1 - k, 0)), column, w, k)

@@ -113,7 +113,7 @@ def one_step_target(reward: Column, done: Column, next_values: Column, gamma: fl
 def advantages(
     df: DataFrame, gamma: float = GAMMA, lam: float = LAMBDA, last_value: float = 0.0, fan_in: int = FAN_IN
 ) -> DataFrame:
-    """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done).
+    """Adds ``advantage`` and ``ret`` (advantage + value) to (eid, step, reward, value, done), in place of columns of these names.
 
     The recursion A(t) = r - v + gamma v(t+1) + gamma lam A(t+1) starts at the last step,
     where ``last_value`` follows, and is cut where an episode is done. Steps may be negative; rows without a step stand
@@ -132,8 +132,8 @@ def advantages(
         F.struct(*df.columns).alias("payload"),
     )
     scanned = backward_scan(terms, high - low + 1, fan_in, float(last_value))
-    rows = scanned.select("payload.*", F.col("a").alias("advantage"))
-    return rows.select("*", (F.col("advantage") + F.col("value")).alias("ret"))
+    kept = [F.col("payload")[c].alias(c) for c in df.columns if c.lower() not in ("advantage", "ret")]
+    return scanned.select(*kept, F.col("a").alias("advantage"), (F.col("a") + F.col("payload")["value"]).alias("ret"))
 
 
 def backward_scan(rows: DataFrame, last: int, fan_in: int, last_value: float) -> DataFrame:
