@@ -25,6 +25,15 @@ def window_gate(spark, folder):
     return gate(snapshots(spark, folder), WINDOW_PLAN).select("code", "field", "message")
 
 
+def target_gate(spark, folder):
+    """No such target and no time column; then a target that is no number."""
+    sn = snapshots(spark, folder)
+    missing = gate(sn.drop("ts"), Plan("no_such_column", lookback="1h", horizon="1h", lags=("1h",)))
+    worded = gate(sn.withColumn("shift", F.lit("day")), Plan("shift", lookback="1h", horizon="1h", lags=("1h",)))
+    found = missing.select(F.lit("missing").alias("plan"), "code", "field").unionByName(worded.select(F.lit("worded").alias("plan"), "code", "field"))
+    return found.where("code <> 'V-02'")
+
+
 def entity_gate(spark, folder):
     return gate(plain_journeys(spark, folder), ENTITY_PLAN).select("code", "field", "message")
 
@@ -52,6 +61,9 @@ SERIES_SQL = fixed([
 
 ENTRIES = [
     Entry("gate_series", series_gate, f"WITH {SNAPSHOTS} {SERIES_SQL}"),
+    Entry("gate_targets", target_gate, """
+        SELECT 'missing' AS plan, 'V-03' AS code, 'features.target' AS field UNION ALL SELECT 'missing', 'VT-01', 'dataset'
+        UNION ALL SELECT 'worded', 'VT-04', 'features.target'"""),
     Entry("gate_windows", window_gate, f"""WITH {SNAPSHOTS},
         fa AS (SELECT count(*) AS n, max(ts) - min(ts) AS span FROM sn),
         us AS (SELECT *, span - 28 * 86400 - 3600 AS usable, (span - 28 * 86400 - 3600) / (span / CAST(n - 1 AS DOUBLE)) AS windows FROM fa)

@@ -66,6 +66,24 @@ def group_means(name, settings):
     return run
 
 
+def class_rates(name, settings):
+    """A classifying tree of depth 1 on all rows, alone or as the first of a boosting: what it says of both groups."""
+    def run(spark, folder):
+        trainer = Trainer(two_valued(spark, folder, (F.col("value") > 60).cast("int"), Encoding("classification", ("low", "high"))), ["accuracy"], "stratified", 2)
+        fitted = trainer.fit(trainer.learners.get(name), trainer.rows, settings)
+        return said(spark, fitted).select("clicked", F.round(F.col("probabilities")["high"], 4).alias("high"), "predicted")
+    return run
+
+
+def refitted(spark, folder):
+    """Of two learners one does not exist: it is skipped, and the other is refitted on all rows."""
+    trainer = Trainer(one_feature(spark, folder), ["rmse"], "temporal", 3, settings={"linear": {"alpha": 50.0}})
+    outcome = trainer.run(["unknown_learner", "linear"])
+    scored = predict(snapshots(spark, folder), outcome.best)
+    told = [F.lit(v).alias(n) for n, v in (("learner", outcome.best.learner), ("skipped", ",".join(outcome.skipped)))]
+    return scored.select("ts", F.round("predicted", 4).alias("predicted"), *told)
+
+
 def ridge_by_fold(spark, folder):
     trainer = Trainer(one_feature(spark, folder), ["rmse"], "temporal", 5)
     scores = spark.createDataFrame(trainer.cross_validate("linear", {"alpha": 50.0}), "algorithm string, fold int, metric string, value double")
@@ -152,6 +170,8 @@ def experiment(spark, folder):
 
 
 MEANS = """SELECT CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END AS clicked, round(avg(value), 4) AS predicted FROM events GROUP BY 1"""
+RATES = """WITH g AS (SELECT CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END AS clicked, count(*) FILTER (value > 60) AS a, count(*) FILTER (NOT value > 60) AS b FROM events GROUP BY 1),
+        p AS (SELECT clicked, (a / sum(a) OVER ()) / (a / sum(a) OVER () + b / sum(b) OVER ()) AS high FROM g)"""
 RIDGE = f"""WITH {SNAPSHOTS},
         mo AS (SELECT avg(arrivals) AS mx, avg(avg_wait) AS my, covar_pop(arrivals, avg_wait) * count(*) AS sxy,
                var_pop(arrivals) * count(*) AS sxx FROM sn)
@@ -175,6 +195,12 @@ ENTRIES = [
         SELECT clicked, round(high, 3) AS high, CASE WHEN high > 0.5 THEN 'high' ELSE 'low' END AS predicted FROM p"""),
     Entry("learn_forest_stump", group_means("random_forest", {"numTrees": 1, "maxDepth": 1, "bootstrap": False}), MEANS),
     Entry("learn_boosting_stump", group_means("gbt", {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0}), MEANS),
+    Entry("learn_forest_class_stump", class_rates("random_forest", {"numTrees": 1, "maxDepth": 1, "bootstrap": False}), RATES + """
+        SELECT clicked, round(high, 4) AS high, CASE WHEN high > 0.5 THEN 'high' ELSE 'low' END AS predicted FROM p"""),
+    # The first tree fits labels of -1 and 1, and the probability is the logistic function of twice its value.
+    Entry("learn_boosting_class_stump", class_rates("gbt", {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0}), RATES + """
+        SELECT clicked, round(1 / (1 + exp(-2 * (2 * high - 1))), 4) AS high, CASE WHEN high > 0.5 THEN 'high' ELSE 'low' END AS predicted FROM p"""),
+    Entry("learn_refit_best", refitted, f"SELECT *, 'linear' AS learner, 'unknown_learner' AS skipped FROM ({RIDGE})"),
     Entry("learn_ridge_by_fold", ridge_by_fold, f"""WITH {SNAPSHOTS},
         nu AS (SELECT arrivals AS x, avg_wait AS y, row_number() OVER (ORDER BY ts) - 1 AS place, count(*) OVER () AS n FROM sn),
         fo AS (SELECT f AS fold, n - 5 * (n // 6) + f * (n // 6) AS lo, n - 5 * (n // 6) + (f + 1) * (n // 6) AS hi FROM (SELECT DISTINCT n FROM nu), range(5) r(f)),

@@ -105,6 +105,16 @@ def registered(spark, folder):
     return rounded(layer.select("eid", "step", "node", "done", "wait", "total_time"), "wait", "total_time")
 
 
+def sorted_files(spark, folder):
+    """Registered snapshots lie in files whose ranges of time do not overlap."""
+    store = DatasetStore(spark, fresh_path(spark, "store"))
+    layer = store.read(store.register(Dataset(snapshots(spark, folder), None), "series", exact=False), "snapshots")
+    rows = layer.select(F.col("_metadata.file_path").alias("file"), "ts")
+    files = rows.groupBy("file").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n"))
+    follows = F.lag("high").over(Window.orderBy("low")) < F.col("low")
+    return files.select("n", F.coalesce(follows, F.lit(True)).alias("apart")).agg(F.sum("n").alias("rows"), F.bool_and("apart").alias("apart"))
+
+
 def record_list(spark, folder):
     store = DatasetStore(spark, fresh_path(spark, "store"))
     for name in ("customer", "labels", "orders"):
@@ -275,6 +285,7 @@ ENTRIES = [
         SELECT s_suppkey AS eid, s_name, s_acctbal AS s_cum_cost, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"""),
     Entry("store_register_read", registered, f"""WITH {JOURNEYS}
         SELECT eid, step, node, done, round(wait, 6) AS wait, round(total_time, 6) AS total_time FROM tr"""),
+    Entry("store_sorted_files", sorted_files, f"WITH {SNAPSHOTS} SELECT count(*) AS rows, true AS apart FROM sn"),
     Entry("store_records", record_list, """
         SELECT 'customer' AS name, 'trajectories' AS layer, count(*) AS rows FROM customer
         UNION ALL SELECT 'orders', 'snapshots', count(*) FROM orders"""),
