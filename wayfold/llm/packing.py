@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -41,6 +43,7 @@ class UnitIds:
 
     def __init__(self, path: str, most_ids: int = HELD_IDS):
         self.pieces, self.split, self.most = Pieces(path), splitter(path), most_ids
+        self.by_space = self.split is bytes.split
         self._clear()
 
     def _clear(self) -> None:
@@ -61,27 +64,43 @@ class UnitIds:
             while n + len(part) > len(self.first):
                 self.first = np.concatenate([self.first, np.empty_like(self.first)])
                 self.size = np.concatenate([self.size, np.empty_like(self.size)])
-            self.flat[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.int32, more)
+            self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.int32, more)
             self.first[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(part)] = sizes
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
             self.used += more
             self.bytes += sum(map(len, part))
 
-    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        cut = [self.split(t) for t in texts]
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty."""
+        if self.by_space:
+            # Arrow cuts at ASCII white space and numbers the distinct units, so that only those become Python values.
+            cut = pc.ascii_split_whitespace(texts.fill_null("") if texts.type == pa.string() else texts.cast(pa.string()).fill_null(""))
+            counts = np.asarray(pc.list_value_length(cut), dtype=np.int64)
+            coded = cut.flatten().dictionary_encode()
+            units, places = [u.encode() for u in coded.dictionary.to_pylist()], np.asarray(coded.indices)
+        else:
+            cut = [self.split(t) for t in byte_lists(texts)]
+            counts = np.fromiter(map(len, cut), np.int64, len(cut))
+            numbers: dict[bytes, int] = {}
+            places = np.fromiter((numbers.setdefault(u, len(numbers)) for part in cut for u in part), np.int64, int(counts.sum()))
+            units = list(numbers)
         if max(self.used, self.bytes // 8) > self.most:
             self._clear()
-        new = set().union(*cut).difference(self.known) if cut else set()
+        # The empty units before leading and behind trailing white space have no ids.
+        new = [u for u in units if u not in self.known]
         if new:
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        for units in cut:
-            at = np.fromiter(map(get, units), np.int64, len(units))
-            size = self.size[at]
+            self._learn(new)
+        codes = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        at = codes[places]
+        stop = 0
+        for n in counts:
+            own = at[stop : stop + n]
+            stop += n
+            size = self.size[own]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.arange(total) + np.repeat(self.first[at] - (ends - size), size)]
+            yield self.flat[np.arange(total) + np.repeat(self.first[own] - (ends - size), size)]
 
 
 class SumOfSquares:
@@ -213,7 +232,7 @@ def pack(
             batch_type = batch.column(0).type
             for ids, texts in text_slices(batch.column(0), batch.column(1)):
                 windows: list[list[Piece]] = []
-                for name, tokens in zip(ids.to_pylist(), encoder.ids(byte_lists(texts)), strict=True):
+                for name, tokens in zip(ids.to_pylist(), encoder.ids(texts), strict=True):
                     tokens = np.append(tokens, np.int32(end_id))
                     names_of[rows], left[rows] = name, len(tokens)
                     for start in range(0, len(tokens), capacity):

@@ -75,6 +75,10 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _PLAIN_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+# Tokenized parts that a task holds on to.
+HELD_PARTS = 200_000
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -100,7 +104,9 @@ class Pieces:
             known = known and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex") and len(steps) == 2
             if known and (said.get("normalizer") or {}).get("normalizers") == _NORMAL and said.get("post_processor") is None:
                 self.model = self.loaded.model
-                self.added = [t["content"].lower() for t in said.get("added_tokens", ())]
+                added = [re.escape(t["content"].lower()) for t in said.get("added_tokens", ())]
+                self.holds_added = re.compile("|".join(added) or r"(?!)").search
+                self.parts: dict[str, list[int]] = {}
                 self.letters = str.maketrans(_byte_letters())
 
     def encode(self, units: list[bytes]) -> list[list[int]]:
@@ -109,10 +115,14 @@ class Pieces:
             return self.loaded.encode(texts, num_threads=1)
         out: list[list[int] | None] = [None] * len(texts)
         if self.model is not None:
-            known: dict[str, list[int]] = {}
+            # Parts come again with other punctuation around them, in later calls too.
+            known = self.parts
+            if len(known) > HELD_PARTS:
+                known.clear()
             for k, text in enumerate(texts):
-                if _PLAIN.match(text) and not any(a in text.lower() for a in self.added):
-                    parts = _PLAIN_CUT.findall(text.lower())
+                low = text.lower()
+                if _PLAIN.match(text) and not self.holds_added(low):
+                    parts = [low] if low.isalpha() else _PLAIN_CUT.findall(low)
                     ids: list[int] = []
                     for part in parts:
                         found = known.get(part)
