@@ -76,7 +76,7 @@ _PLAIN_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß
 
 
 # Tokenized parts that a task holds on to.
-HELD_PARTS = 200_000
+HELD_PARTS = 60_000
 
 
 def _byte_letters() -> dict[int, str]:
