@@ -8,6 +8,7 @@ from wayfold.catalog.entry import JOURNEYS, Entry, plain_journeys, rounded
 from wayfold.catalog.labelling import NEAREST_DELAY, WAIT_CLASS
 from wayfold.functions.durations import seconds_column
 from wayfold.functions.encode import encoding_of
+from wayfold.operators.classes import attach, class_table, with_weights
 from wayfold.operators.folds import balanced_weights
 from wayfold.functions.ratios import entity_ratios, observation_vector
 from wayfold.operators.observation import drop_unknown, observe
@@ -67,6 +68,16 @@ def many_classes(spark, folder):
     return weighed.groupBy("kind", "label").agg(F.round(F.first("weight"), 6).alias("weight"))
 
 
+def part_classes(spark, folder):
+    """Every part and supplier pair of the lines as a class of its own, by the table that large encodings use."""
+    lines = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("kind"), "l_quantity")
+    classes = with_weights(class_table(lines, "kind"))
+    # As if the table of classes were too large to be sent to all tasks.
+    coded = attach(lines, "kind", classes, {"label": "number", "weight": "weight"}, broadcast_classes=0)
+    return coded.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("rows"), F.round(F.first("weight"), 6).alias("weight"))
+
+
 def chosen(spark, folder):
     tr = plain_journeys(spark, folder).withColumn("s_attr_size", F.col("step") * 2).withColumn("sla_x", F.lit(1.0))
     columns = entity_features(tr, "status")
@@ -105,6 +116,9 @@ FEATURES = f"""WITH {JOURNEYS}, lb AS ({NEAREST_DELAY})
         FROM tr JOIN lb ON tr.eid = lb.eid AND tr.step = lb.step WHERE delay_severity <> 'unknown'"""
 
 ENTRIES = [
+    Entry("entity_class_table", part_classes, """
+        WITH g AS (SELECT l_partkey || '-' || l_suppkey AS kind, count(*) AS n FROM lineitem GROUP BY 1)
+        SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS label, n AS rows, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM g"""),
     Entry("entity_many_classes", many_classes, """
         WITH g AS (SELECT CAST(user_id % 25 AS VARCHAR) AS kind, count(*) AS n FROM events GROUP BY 1)
         SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS label, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM g"""),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.hashing import shuffle_key
 from wayfold.functions.names import free_name
 from wayfold.operators.blocks import ROWS_PER_BLOCK, ordered_rows, positions_by_block
+from wayfold.operators.classes import attach, class_table, with_weights
 
 
 def temporal_bounds(rows: int, folds: int) -> list[tuple[int, int]]:
@@ -98,11 +99,13 @@ def balanced_class_weights(counts: dict) -> dict:
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    return weigh(df, label, balanced_class_weights(class_counts(df, label)))
+    """Adds ``weight`` by class, from a table of classes that is joined back; 1 for a row without a class."""
+    weighed = attach(df, label, with_weights(class_table(df, label)), {"weight": "weight"})
+    return weighed.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight`` = negatives / positives for class 1 and 1 for class 0."""
-    counts = class_counts(df, label)
-    negatives, positives = counts.get(0, 0), counts.get(1, 0)
-    return weigh(df, label, {1: negatives / positives} if positives else {})
+    """Adds ``weight`` = negatives / positives for class 1 and 1 for any other."""
+    counts = df.agg(F.count_if(F.col(label) == 0).alias("negatives"), F.count_if(F.col(label) == 1).alias("positives")).first()
+    weight = counts["negatives"] / counts["positives"] if counts["positives"] else 1.0
+    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))

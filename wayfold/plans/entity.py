@@ -76,4 +76,4 @@ def entity_table(
         raise ValueError(f"no row is left after observing {point!r}")
     keys = tuple(c for c in ("eid", "step") if c in rows.columns) or (ROW_KEY,)
     features = tuple(c for c in rows.columns if c not in (*keys, target))
-    return FeatureTable(rows.withColumn("label", encoding.column(target)), keys, features, target, encoding)
+    return FeatureTable(encoding.add(rows, target, "label"), keys, features, target, encoding)
