@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, plain_journeys
+from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, nearest_sql, plain_journeys
 from wayfold.operators.discovery import class_balance, entity_targets, entity_targets_from_profile, series_targets
 from wayfold.operators.profile import category_counts, column_profile, full_profile
 from wayfold.operators.quality import constant_columns, duplicate_rows, missing_rates, quality_report, size_grade
+from wayfold.operators.sketches import column_sketches, joint_profile, joint_quantiles
+from wayfold.session import cut_lineage
 from wayfold.sources.event_tables import snapshots, table
 
 
@@ -56,6 +58,31 @@ def sketch_error(spark, folder):
     return exact.join(near, "name").select("name", (F.abs(F.col("e") - F.col("s")) <= 0.15 * F.col("e")).alias("within"))
 
 
+def versions(spark, folder):
+    """Lines of three return flags as three tables with a sketch each, as if registered one after another."""
+    line = table(spark, folder, "lineitem")
+    parts = [line.where(F.col("l_returnflag") == flag) for flag in "ANR"]
+    return [(part, cut_lineage(column_sketches(part), "sketches")) for part in parts]
+
+
+def joined_sketches(spark, folder):
+    """The profile of three tables from their sketches; is each distinct count within three standard errors (0.05)?"""
+    first, second, third = (s for _, s in versions(spark, folder))
+    merged = joint_profile(first.unionByName(second).unionByName(third))
+    exact = column_profile(table(spark, folder, "lineitem")).select("name", F.col("unique_count").alias("e"))
+    near = F.abs(F.col("unique_count") - F.col("e")) <= 0.05 * F.col("e")
+    return merged.join(exact, "name").select("name", "rows", "null_count", "is_numeric", "mean", "std", "min", "max", near.alias("within"))
+
+
+def joined_quantiles(spark, folder):
+    parts, rows = versions(spark, folder), []
+    for column in ("l_extendedprice", "l_quantity"):
+        for method in ("nearest", "linear"):
+            values = joint_quantiles(parts, column, SHARES, method, bracket_limit=500)
+            rows += [(column, method, q, round(v, 6)) for q, v in zip(SHARES, values, strict=True)]
+    return spark.createDataFrame(rows, "name string, method string, q double, value double")
+
+
 def categories(spark, folder):
     return category_counts(table(spark, folder, "documents"), ["lang", "source"]).unionByName(
         category_counts(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
@@ -81,6 +108,23 @@ def grades(spark, folder):
     return found
 
 
+SHARES = [0.33, 0.66, 0.75]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+JOINED_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS null_count, {'true' if c in LINE_NUMBERS else 'false'} AS is_numeric, "
+    + ", ".join(
+        f"round(CAST({fn}({c}) AS DOUBLE), 6) AS {a}" if c in LINE_NUMBERS else f"CAST(NULL AS DOUBLE) AS {a}"
+        for fn, a in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))
+    )
+    + ", true AS within FROM lineitem"
+    for c in [*LINE_NUMBERS, *LINE_TEXTS]
+)
+JOINED_QUANTILES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, 'nearest' AS method, {q}e0 AS q, round({nearest_sql(c, 'lineitem', f'{q}e0')}, 6) AS value "
+    f"UNION ALL SELECT '{c}', 'linear', {q}e0, round(quantile_cont({c}, {q}e0), 6) FROM lineitem"
+    for c in ("l_extendedprice", "l_quantity") for q in SHARES
+)
 GRADE = "CASE WHEN count(*) >= 1000 THEN 'excellent' WHEN count(*) >= 200 THEN 'good' WHEN count(*) >= 50 THEN 'minimal' ELSE 'insufficient' END"
 CHECKED = ["eid", "total_time", "status", "s_sys_node_count"]
 
@@ -147,6 +191,8 @@ ENTRIES = [
     Entry("profile_journeys", journeys_profile, f"WITH {JOURNEYS} " + profile_sql(
         "tr", ["step", "wait", "total_time", "s_node_avg_queue"], ["eid", "node", "status"])),
     Entry("profile_sketched", sketched),
+    Entry("profile_joined_sketches", joined_sketches, JOINED_SQL),
+    Entry("profile_joined_quantiles", joined_quantiles, JOINED_QUANTILES_SQL),
     Entry("profile_categories", categories, """
         SELECT 'lang' AS name, lang AS category, count(*) AS rows FROM documents WHERE lang IS NOT NULL GROUP BY lang
         UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source

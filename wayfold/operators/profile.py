@@ -63,12 +63,12 @@ def column_profile(df: DataFrame, exact: bool = True, columns: list[str] | None
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, _distinct) of non-null values: (column, value) pairs are combined map-side, then counted per column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), _as_text(df, c).alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), as_text(df, c).alias("value")) for c in columns])
     values = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
     return values.groupBy("name").agg(F.count(F.lit(1)).alias("_distinct"))
 
 
-def _as_text(df: DataFrame, name: str) -> Column:
+def as_text(df: DataFrame, name: str) -> Column:
     """Equal values, and only those, get equal texts."""
     c, dtype = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(dtype, (T.DoubleType, T.FloatType)):

@@ -34,11 +34,21 @@ def quantiles(
     if n > bracket_limit:
         # Several passes follow; the one column they need is computed and written once.
         values = cut_lineage(values, "values")
-    spots = [q * (n - 1) for q in fractions]
-    if method == "nearest":
-        spots = [float(math.floor(s + 0.5)) for s in spots]
+    spots = spots_of(n, fractions, method)
     ranks = sorted({int(r) for s in spots for r in (math.floor(s), math.ceil(s))})
-    found = values_at_ranks(values, n, ranks, bracket_limit)
+    return at_spots(values_at_ranks(values, n, ranks, bracket_limit), spots)
+
+
+def spots_of(n: int, fractions: list[float], method: str) -> list[float]:
+    """0-based positions of the quantiles in ``n`` sorted values; whole numbers for ``nearest``."""
+    if method not in ("nearest", "linear"):
+        raise ValueError(f"unknown quantile method: {method}")
+    spots = [q * (n - 1) for q in fractions]
+    return [float(math.floor(s + 0.5)) for s in spots] if method == "nearest" else spots
+
+
+def at_spots(found: dict[int, float], spots: list[float]) -> list[float]:
+    """Values at positions, between two ranks by interpolation."""
     out = []
     for s in spots:
         low, high = found[math.floor(s)], found[math.ceil(s)]

@@ -10,6 +10,7 @@ import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from wayfold.model import Dataset, text_columns
 from wayfold.operators.profile import category_counts, full_profile
+from wayfold.operators.sketches import SKETCHES, column_sketches, joint_profile, joint_quantiles
 
 LAYERS = ("snapshots", "trajectories")
 LAYER_ORDER = {"snapshots": ("ts",), "trajectories": ("eid", "step")}
@@ -117,11 +119,12 @@ class DatasetStore:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def register(self, dataset: Dataset, name: str = "", exact: bool = True) -> str:
+    def register(self, dataset: Dataset, name: str = "", exact: bool = True, sketches: bool = False) -> str:
         """Write the layers sorted and split by their order, then hash and profile what was written.
 
         ``exact=False`` takes distinct counts from sketches, which shuffles no values. Categories of text columns are stored
-        beside the profile, one row each, however many there are.
+        beside the profile, one row each, however many there are. ``sketches=True`` stores what :meth:`joint_profile` and
+        :meth:`joint_quantiles` merge.
         """
         location = f"{self.folder}/data-{uuid.uuid4().hex}"
         hashes: dict[str, str] = {}
@@ -137,6 +140,9 @@ class DatasetStore:
             counts[layer], hashes[layer] = count_and_hash(stored)
             profile = full_profile(stored, exact).withColumn("layer", F.lit(layer))
             profile.coalesce(1).write.mode("append").parquet(f"{location}/profile")
+            if sketches:
+                kept = column_sketches(stored).withColumn("layer", F.lit(layer))
+                kept.coalesce(1).write.mode("append").parquet(f"{location}/sketches")
             if text_columns(stored):
                 counted = category_counts(stored).withColumn("layer", F.lit(layer))
                 counted.write.mode("append").parquet(f"{location}/categories")
@@ -188,6 +194,21 @@ class DatasetStore:
         path = f"{self._require(dataset_id)['location']}/categories"
         return _records(self.spark, path, CATEGORY_RECORD).where(F.col("layer") == layer).drop("layer")
 
+    def sketches(self, dataset_id: str, layer: str) -> DataFrame:
+        """The layer's stored sketches, one row per column."""
+        path = f"{self._require(dataset_id)['location']}/sketches"
+        if not _exists(self.spark, path):
+            raise ValueError(f"dataset {dataset_id!r} was registered without sketches")
+        return self.spark.read.schema(f"{SKETCHES}, layer string").parquet(path).where(F.col("layer") == layer).drop("layer")
+
+    def joint_profile(self, dataset_ids: list[str], layer: str) -> DataFrame:
+        """The profile of several datasets' layers together, without reading their rows."""
+        return joint_profile(reduce(DataFrame.unionByName, [self.sketches(i, layer) for i in dataset_ids]))
+
+    def joint_quantiles(self, dataset_ids: list[str], layer: str, column: str, fractions: list[float], method: str = "nearest") -> list[float | None]:
+        """Exact quantiles over several datasets' layers; of each, only rows near the wanted ranks are read."""
+        return joint_quantiles([(self.read(i, layer), self.sketches(i, layer)) for i in dataset_ids], column, fractions, method)
+
     def delete(self, dataset_id: str) -> None:
         """Mark the record as deleted and remove the dataset's files."""
         location = self._require(dataset_id)["location"]
