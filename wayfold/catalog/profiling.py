@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, nearest_sql, plain_journeys
+from wayfold.catalog.entry import JOURNEYS, OFF_TIES, SNAPSHOTS, Entry, nearest_sql, plain_journeys
 from wayfold.operators.discovery import class_balance, entity_targets, entity_targets_from_profile, series_targets
 from wayfold.operators.profile import category_counts, column_profile, full_profile
 from wayfold.operators.quality import constant_columns, duplicate_rows, missing_rates, quality_report, size_grade
@@ -68,10 +68,10 @@ def versions(spark, folder):
 def joined_sketches(spark, folder):
     """The profile of three tables from their sketches; is each distinct count within three standard errors (0.05)?"""
     first, second, third = (s for _, s in versions(spark, folder))
-    merged = joint_profile(first.unionByName(second).unionByName(third))
+    merged = joint_profile(first.unionByName(second).unionByName(third), places=12)
     exact = column_profile(table(spark, folder, "lineitem")).select("name", F.col("unique_count").alias("e"))
     near = F.abs(F.col("unique_count") - F.col("e")) <= 0.05 * F.col("e")
-    return merged.join(exact, "name").select("name", "rows", "null_count", "is_numeric", "mean", "std", "min", "max", near.alias("within"))
+    return merged.join(exact, "name").select("name", "rows", "null_count", "is_numeric", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("mean", "std", "min", "max")], near.alias("within"))
 
 
 def joined_quantiles(spark, folder):
@@ -114,7 +114,7 @@ LINE_TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate"]
 JOINED_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS null_count, {'true' if c in LINE_NUMBERS else 'false'} AS is_numeric, "
     + ", ".join(
-        f"round(CAST({fn}({c}) AS DOUBLE), 6) AS {a}" if c in LINE_NUMBERS else f"CAST(NULL AS DOUBLE) AS {a}"
+        f"round(CAST({fn}({c}) AS DOUBLE) + {OFF_TIES}, 6) AS {a}" if c in LINE_NUMBERS else f"CAST(NULL AS DOUBLE) AS {a}"
         for fn, a in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))
     )
     + ", true AS within FROM lineitem"

@@ -92,7 +92,7 @@ def _rows_under(df: DataFrame, points: dict[int, tuple[str, list[float]]]) -> di
     return out
 
 
-def joint_profile(sketches: DataFrame) -> DataFrame:
+def joint_profile(sketches: DataFrame, places: int = 6) -> DataFrame:
     """The profile of several tables together, from their sketches alone: everything exact but ``unique_count`` (null counts as one)."""
     present = F.col("rows") - F.col("null_count")
     part = F.struct(present.alias("n"), "mean", "m2")
@@ -110,8 +110,8 @@ def joint_profile(sketches: DataFrame) -> DataFrame:
         "name", "rows", "null_count",
         F.coalesce(F.round(F.try_divide("null_count", "rows"), 6), F.lit(0.0)).alias("null_rate"),
         (F.col("distinct") + F.when(F.col("null_count") > 0, 1).otherwise(0)).alias("unique_count"), "is_numeric",
-        F.round("mean", 6).alias("mean"), F.round(F.when(F.col("is_numeric") & (n > 1), F.sqrt(spread / (n - 1))), 6).alias("std"),
-        F.round("min", 6).alias("min"), F.round("max", 6).alias("max"),
+        F.round("mean", places).alias("mean"), F.round(F.when(F.col("is_numeric") & (n > 1), F.sqrt(spread / (n - 1))), places).alias("std"),
+        F.round("min", places).alias("min"), F.round("max", places).alias("max"),
     )
 
 
