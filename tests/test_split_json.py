@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from wayfold.catalog.sources import as_one_document
 from wayfold.sources.files import load
 from wayfold.sources.split_json import key_before, scanned, split_records, starts
 
@@ -73,3 +75,24 @@ def test_pieces():
     assert scanned('still } in" , {', True) == ([14], False)
     assert scanned('"open \\" ', False) == ([], True)
     assert key_before('], "k" : [ {', 11, 0) == ("k", True) and key_before(", {", 2, 0) is None and key_before('"m":{', 4, 0) == ("m", False)
+
+
+def test_a_document_is_written_without_sorting_it(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.text
+
+    def watched(self, path, *rest, **named):
+        plans.append(self._df._jdf.queryExecution().toString())
+        return write(self, path, *rest, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "text", watched)
+    layers = {
+        "first": spark.range(5_000, numPartitions=7).select("id", F.lit('a } " {').alias("text")), "none": spark.range(0).select("id"),
+        "last": spark.range(3_000, numPartitions=3).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("even")),
+    }
+    as_one_document(str(tmp_path / "one.json"), layers)
+    assert len(plans) == 1 and not any(step in plans[0] for step in ("Sort", "Window", "Exchange"))
+    (file,) = (tmp_path / "one.json").glob("part-*")
+    found = json.loads(file.read_text())
+    assert list(found) == ["metadata", "first", "none", "last"]
+    assert sorted(r["id"] for r in found["first"]) == list(range(5_000)) and {r["text"] for r in found["first"]} == {'a } " {'}
+    assert found["none"] == [] and sorted(r.get("even", -1) for r in found["last"]) == [-1] * 1_500 + list(range(0, 3_000, 2))

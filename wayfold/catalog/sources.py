@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.catalog.entry import JOURNEYS, SNAPSHOTS, Entry, plain_journeys, r6, rounded
 from wayfold.model import Dataset
 from wayfold.operators.discovery import targets_from_categories
-from wayfold.session import fresh_path
+from wayfold.session import cut_lineage, fresh_path
 from wayfold.sources.event_tables import snapshots, table
 from wayfold.sources.files import load, load_csv, load_parquet
 from wayfold.sources.layered_json import snapshots_layer, trajectories_layer
@@ -155,21 +157,30 @@ def fingerprint_rules(spark, folder):
 
 
 def as_one_document(path, layers):
-    """Writes a single document over many lines: one task passes the rows on, line by line, and holds none of them."""
-    line = None
-    for part, (name, rows) in enumerate(layers.items()):
-        last = part == len(layers) - 1
-        lines = rows.select(F.lit(3 * part + 1).alias("part"), F.to_json(F.struct(*rows.columns)).alias("value"))
-        edge = rows.sparkSession.createDataFrame([
-            (3 * part, ('{"metadata": {"version": "2.0"}, ' if part == 0 else "") + f'"{name}": ['), (3 * part + 2, "]}" if last else "],"),
-        ], "part int, value string")
-        both = lines.unionByName(edge)
-        line = both if line is None else line.unionByName(both)
-    before = F.lag("part").over(Window.orderBy("part"))
-    text = F.when((before == F.col("part")) & (F.col("part") % 3 == 1), F.concat(F.lit(", "), "value")).otherwise(F.col("value"))
+    """Writes a single document over many lines: many tasks make the lines, one task passes them on in the order it reads them, sorting and holding none."""
+    parts, firsts, place = [], [], 0
+    for k, (name, rows) in enumerate(layers.items()):
+        lines = cut_lineage(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")), "lines")
+        opening = ('{"metadata": {"version": "2.0"}, ' if k == 0 else "], ") + f'"{name}": ['
+        parts += [edge(rows.sparkSession, place, opening), lines.withColumn("at", F.lit(None).cast("bigint"))]
+        firsts.append(place + 1)
+        place += 1 + lines.count()
+    parts.append(edge(parts[0].sparkSession, place, "]}"))
+    # In one partition the numbers are the places of the lines.
+    line = functools.reduce(DataFrame.unionByName, parts).coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    text = (
+        F.when(F.col("at") != F.col("place"), F.raise_error(F.lit("the parts of the document were not read in order")))
+        .when(F.col("at").isNotNull() | F.col("place").isin(firsts), F.col("value"))
+        .otherwise(F.concat(F.lit(", "), "value"))
+    )
     line.select(text.alias("value")).write.text(path)
 
 
+def edge(spark, place, text):
+    """A line between layers, which must come at a place; from a file like all others, so that it is read where it stands."""
+    return cut_lineage(spark.createDataFrame([(text, place)], "value string, at bigint").coalesce(1), "edge")
+
+
 def one_document(layer):
     """Whole layers in one document, nodes with underscores in their names, read by many tasks."""
     def run(spark, folder):
