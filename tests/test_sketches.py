@@ -105,3 +105,19 @@ def test_stored_sketches_of_two_datasets(spark, tmp_path):
     plain = store.register(Dataset(snapshots=layer(0, 10)))
     with pytest.raises(ValueError, match="without sketches"):
         store.sketches(plain, "snapshots")
+
+
+def test_more_ranks_take_no_more_jobs(spark):
+    """All ranks share the passes, with ties, steps and values that are not finite among them."""
+    rng = random.Random(11)
+    values = [rng.choice([0.0, 1.0, rng.random() * 50, rng.gauss(20, 1)]) for _ in range(4_000)] + [math.inf, -math.inf] * 9
+    parts = [numbers(spark, values[::2]), numbers(spark, values[1::2])]
+    pairs, ordered, context = [(p, column_sketches(p)) for p in parts], sorted(values), spark.sparkContext
+    jobs = []
+    for shares in ([0.8], [0.003, 0.2, 0.31, 0.55, 0.6, 0.8, 0.9, 0.999]):
+        context.setJobGroup(f"ranks-{len(shares)}", "ranks")
+        got = joint_quantiles(pairs, "x", shares, bracket_limit=20)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"ranks-{len(shares)}")))
+        assert got == [ordered[math.floor(q * (len(ordered) - 1) + 0.5)] for q in shares]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 2 * jobs[0]

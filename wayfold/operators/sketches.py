@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfold.model import is_numeric
 from wayfold.operators.profile import as_text
-from wayfold.operators.quantile import BRACKET_LIMIT, at_spots, spots_of, values_at_ranks
+from wayfold.operators.quantile import BRACKET_LIMIT, Bracket, any_of, at_spots, kept_inside, spots_of, values_at_ranks
 
 LG_REGISTERS = 12
 KLL_SIZE = 400
@@ -142,26 +142,31 @@ def joint_quantiles(
         edges = {r: (r / max(n - 1, 1) - slack, r / max(n - 1, 1) + slack) for r in missed}
         inner = sorted({e for pair in edges.values() for e in pair if 0 < e < 1})
         near = dict(zip(inner, _sketched_values(tables[0][0], merged["q"], inner), strict=True)) if inner else {}
-        for r in missed:
-            value = _at_rank(tables, near.get(edges[r][0]), near.get(edges[r][1]), r, bracket_limit)
-            if value is not None:
-                found[r] = value
+        found |= _at_ranks(tables, {r: (near.get(edges[r][0]), near.get(edges[r][1])) for r in missed}, bracket_limit)
         slack = min(1.0, slack * 4)
     return at_spots(found, spots)
 
 
-def _at_rank(tables: list, low: float | None, high: float | None, rank: int, bracket_limit: int) -> float | None:
-    """The value at a rank if it lies from ``low`` to ``high`` (None: no bound), else None."""
-    known, near = 0, []
+def _at_ranks(tables: list, bounds: dict[int, tuple[float | None, float | None]], bracket_limit: int) -> dict[int, float]:
+    """The values at those ranks that lie within their bounds (None: no bound); all ranks share the passes."""
+    known, near = dict.fromkeys(bounds, 0), []
     for values, kept in tables:
-        before = [i for i, c in enumerate(kept["cuts"]) if low is not None and c <= low]
-        if before:
-            known += kept["under"][before[-1]]
-            values = values.where(F.col("x") >= kept["cuts"][before[-1]])
-        near.append(values if high is None else values.where(F.col("x") <= high))
-    read = reduce(DataFrame.unionByName, near)
-    below = F.count_if(F.col("x") < low) if low is not None else F.lit(0)
-    seen = read.agg(below.alias("below"), F.count(F.lit(1)).alias("rows")).first()
-    if known + seen["below"] <= rank < known + seen["rows"]:
-        return values_at_ranks(read, seen["rows"], [rank - known], bracket_limit)[rank - known]
-    return None
+        read = []
+        for r, (low, high) in bounds.items():
+            before = [i for i, c in enumerate(kept["cuts"]) if low is not None and c <= low]
+            known[r] += kept["under"][before[-1]] if before else 0
+            above = F.col("x") >= kept["cuts"][before[-1]] if before else F.lit(True)
+            read.append((above if high is None else above & (F.col("x") <= high)).alias(f"r{r}"))
+        near.append(values.where(any_of(read)).select("x", *read))
+    rows = reduce(DataFrame.unionByName, near)
+    below = [F.count_if(F.col(f"r{r}") & (F.col("x") < low)) if low is not None else F.lit(0) for r, (low, _) in bounds.items()]
+    seen = rows.agg(*[c.alias(f"b{r}") for r, c in zip(bounds, below)], *[F.count_if(F.col(f"r{r}")).alias(f"r{r}") for r in bounds]).first()
+    proven = {
+        r: Bracket(low, high, r - known[r] - seen[f"b{r}"], seen[f"r{r}"] - seen[f"b{r}"], open=False)
+        for r, (low, high) in bounds.items() if known[r] + seen[f"b{r}"] <= r < known[r] + seen[f"r{r}"]
+    }
+    if not proven:
+        return {}
+    inside, n, places = kept_inside(rows.select("x"), proven, bracket_limit)
+    found = values_at_ranks(inside, n, sorted(set(places.values())), bracket_limit)
+    return {r: found[place] for r, place in places.items()}
