@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wayfold.functions.encode import Encoding
@@ -254,6 +255,18 @@ def test_boosting_can_stop_early_and_checkpoints(spark, cloud):
     assert spark.sparkContext.getCheckpointDir()
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_forests_keep_node_ids_and_grow_the_same_trees(spark, task):
+    """Levels do not walk the trees again, which changes no tree."""
+    rows = spark.range(0, 400, 1, 3).select(F.array(F.sin("id"), F.cos(F.col("id") * 3), F.col("id") % 7.0).alias("x"), (F.col("id") * 7 % 3).cast("double").alias("label"))
+    rows = rows.select(array_to_vector("x").alias("features"), "label", F.lit(1.0).alias("weight")).persist()
+    forest = default_learners().get("random_forest").build(task, Facts(400, 1.0, 3), 7, {"numTrees": 4, "maxDepth": 6}, None)
+    assert forest.getCacheNodeIds()
+    kept, walked = (forest.copy({forest.cacheNodeIds: held}).fit(rows) for held in (True, False))
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+    rows.unpersist()
+
+
 def test_out_of_fold_rows_are_scored_once(spark, cloud):
     trainer = Trainer(regression(spark, cloud), ["rmse"], "shuffled", 3)
     scores = {f: v for _, f, _, v in trainer.cross_validate("linear")}
