@@ -6,11 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.llm import language, lm_score, quality, queries, toxicity
 from wayfold.llm.common import crc_fold
+from wayfold.session import FREE_SETTING, cut_lineage, shuffles_freed
 
 GIVEN = "/root/testdata/sf0.01"
 # Toxic words of the rarer languages need more labels than the small tables have.
@@ -206,3 +208,48 @@ def test_lm_scores_equal_the_definition(spark, make_docs, head):
     assert set(got) == set(want)
     assert all(abs(got[i].score - s) < 1e-5 for i, s in want.items())
     assert np.mean([got[i].score for i in range(10, 12)]) > np.mean([got[i].score for i in range(12, 40)])
+
+
+def test_lm_scores_do_not_depend_on_parts(spark, make_docs, odd_rows, monkeypatch):
+    """Units joined in one part or in many, over several slices: the same rows, ids twice and null ones too."""
+    docs = make_docs([*odd_rows, *[(100 + k, " ".join(f"w{j * k % 50}" for j in range(40))) for k in range(20)]])
+    target = spark.createDataFrame([(k,) for k in (4, 6, 101, 103, 110)], "doc_id bigint")
+
+    def found():
+        rows = lm_score.lm_scores(docs, target, held=3, head=4).collect()
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.score) for r in rows))
+
+    one = found()
+    monkeypatch.setattr(lm_score, "PART_WORDS", 1_000)
+    many = found()
+    assert len(one) == docs.count() and [r[:3] for r in one] == [r[:3] for r in many]
+    assert np.allclose([r[3] for r in one], [r[3] for r in many], atol=1e-9)
+
+
+def test_units_leave_tasks_in_few_rows(spark, make_docs):
+    """Not a row for each document and unit: a row for each slice and part, besides the documents' own."""
+    docs = make_docs([(k, " ".join(f"w{k}x{j}" for j in range(500))) for k in range(40)])
+    target = spark.createDataFrame([(k,) for k in range(10)], "doc_id bigint")
+    plan = lm_score.lm_scores(docs, target, held=3, head=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "LeftOuter" not in plan
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.int32, np.float32])
+def test_planes_come_back(kind):
+    for size in (0, 1, 1000):
+        numbers = np.sort(np.random.default_rng(size).integers(-(1 << 30), 1 << 30, size)).astype(kind)
+        blob = lm_score.to_planes(numbers) if size else b""
+        assert np.array_equal(lm_score.from_planes(pa.scalar(blob, pa.binary()), kind), numbers)
+
+
+def test_shuffles_are_freed_when_done(spark):
+    """Inside, a finished write leaves no shuffle files; the setting is as before afterwards."""
+    def files():
+        listed = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {listed.apply(i).getName() for i in range(listed.size()) if listed.apply(i).getName().startswith("shuffle_")}
+
+    before, known = spark.conf.get(FREE_SETTING), files()
+    with shuffles_freed(spark):
+        made = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+        assert made.count() == 7
+    assert spark.conf.get(FREE_SETTING) == before and files() <= known

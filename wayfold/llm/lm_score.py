@@ -12,7 +12,8 @@ P(w | v) = max(c(v, w) - D, 0) / c(v) + D k(v) / c(v) P(w), where k(v) counts th
 The vocabulary is every word of all documents; none is cut and none stands for others. A score is a sum over units: the word itself, the word before,
 and what a seen pair of words adds to the backed-off value. Each unit has a row in a table that grows with the corpus; what the most
 frequent words (at most ``HELD_WORDS``) and pairs (at most ``HEAD``) add is held by every task as well, the others are joined by a shuffle,
-with the same result. Words held by tasks are numbered; other words, and pairs with one of them, are coded by 62 bits of a hash.
+with the same result: codes are dealt into parts, and a slice of the documents sends each part one row with the units it looks for.
+Words held by tasks are numbered; other words, and pairs with one of them, are coded by 62 bits of a hash.
 
 Cases: null, empty and blank texts have no words and score 0; without target documents both models are the uniform one over the vocabulary and every
 score is 0; every row gives a row, repeated ones and null ids too; rows with a null id are never target; an empty table
@@ -26,13 +27,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfold.llm.common import byte_lists, col, counted_units, having, head_of, lower_ascii_words, text_slices
-from wayfold.session import cut_lineage
+from wayfold.llm.common import byte_lists, col, counted_units, having, head_of, lower_ascii_words, mixed, text_slices
+from wayfold.session import cut_lineage, shuffles_freed
 
 HELD_WORDS = 1 << 17
 HEAD = 1 << 20
@@ -44,6 +47,21 @@ HASHED = 1 << 62
 BEFORE, OWN = -1, -2
 # Distinct pairs that a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
+# Gains, and words of the documents, for each part of the codes; a part is joined by one task.
+PART_GAINS, PART_WORDS = 1_000_000, 2_000_000
+PACKED = ["part", "row", "doc_id", "n_words", "known", "units", "with_it", "times"]
+# In place of the first row of a slice where the units come with their gains.
+GAINS = -1
+
+
+def to_planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: in ordered numbers the high ones repeat, which a shuffle's compression takes out."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def from_planes(blob: pa.Scalar, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def held_words(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -189,10 +207,11 @@ def lm_scores(
 ) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, score. ``target_ids`` holds the target documents' ids in ``id_col``."""
     context = docs.sparkSession.sparkContext
-    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    kind, id_type = narrow.schema["doc_id"].dataType.simpleString(), to_arrow_type(narrow.schema["doc_id"].dataType)
     ids = target_ids.select(col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    counts = cut_lineage(counted_units(narrow, "text", lower_ascii_words), "words")
+    with shuffles_freed(docs.sparkSession):
+        counts = cut_lineage(counted_units(narrow, "text", lower_ascii_words), "words")
     # With the start and an unknown word, so that an empty vocabulary has a distribution too.
     vocabulary = counts.count() + 2
     known = held_words(counts, held)
@@ -203,8 +222,9 @@ def lm_scores(
     part = int(min(1.0, targets / max(1, documents)) * 1_000_000)
     spot = F.pmod(F.xxhash64(F.lit("background"), "doc_id"), F.lit(1_000_000))
     flagged = flagged.withColumn("in_background", F.coalesce(spot < part, F.lit(False)))
-    pairs = cut_lineage(pair_counts(flagged, words), "pairs")
-    sums = cut_lineage(word_sums(pairs), "sums")
+    with shuffles_freed(docs.sparkSession):
+        pairs = cut_lineage(pair_counts(flagged, words), "pairs")
+        sums = cut_lineage(word_sums(pairs), "sums")
     totals = sums.agg(*[F.coalesce(F.sum(f"{m}_own"), F.lit(0)).alias(m) for m in ("target", "background")]).first()
     sizes = {m: totals[m] + vocabulary for m in totals.asDict()}
     # What a word adds that occurs in neither part.
@@ -217,10 +237,15 @@ def lm_scores(
 
     total = F.col("target") + F.col("background")
     cut = head_of(pairs.select(total.alias("n")), most=head)
-    frequent = pair_gains(pairs.where(total >= cut), sums, sizes).toArrow()
+    with shuffles_freed(docs.sparkSession):
+        frequent = pair_gains(pairs.where(total >= cut), sums, sizes).toArrow()
     order = np.argsort(np.asarray(frequent["code"]))
     tables = context.broadcast((by_before, by_word, np.asarray(frequent["code"])[order], np.asarray(frequent["gain"])[order]))
 
+    rare = pairs.where(total < cut)
+    # Parts of the codes, so many that neither the gains of one nor what documents ask of it are more than a task holds.
+    parts = 1 + max(rare.count() // PART_GAINS, (counts.agg(F.sum("n")).first()[0] or 0) // PART_WORDS)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (befores, selves, codes, values) = words.value, tables.value
         row = TaskContext.get().partitionId() << 36
@@ -239,32 +264,83 @@ def lm_scores(
                     near = numbers < HASHED
                     each[near] += gains[numbers[near]]
                 totals = np.bincount(owner, each, len(lengths))
-                # Other units go to the join, once for each document, with how often it holds them.
+                yield plainly(rows % parts, rows, ids, pa.array(lengths, pa.int64()), pa.array(totals))
+                # Other units go to the part of their code, each slice's in one row with the documents that hold them.
                 far = [(owner[~there], every[~there])]
                 for numbers, salt in ((before, BEFORE), (word, OWN)):
                     hashes = numbers >= HASHED
                     far.append((owner[hashes], hashed(numbers[hashes], np.full(hashes.sum(), salt))))
                 whose, unit = (np.concatenate([x[k] for x in far]) for k in (0, 1))
-                order = np.lexsort((unit, whose))
+                # In the order of units, one document's stay together.
+                order = np.argsort(unit, kind="stable")
                 whose, unit = whose[order], unit[order]
                 first = np.flatnonzero(np.concatenate([[len(unit) > 0], (whose[1:] != whose[:-1]) | (unit[1:] != unit[:-1])]))
                 times = np.diff(np.concatenate([first, [len(unit)]])) if len(unit) else first
-                nothing = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([rows, rows[whose[first]]])), pa.concat_arrays([ids, pa.nulls(len(first), ids.type)]),
-                        pa.array(np.concatenate([-1 - rows, unit[first]])), pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
-                        pa.concat_arrays([pa.array(lengths, pa.int64()), nothing]), pa.array(np.concatenate([totals, np.zeros(len(first))])),
-                    ],
-                    ["row", "doc_id", "code", "times", "n_words", "known"],
-                )
+                yield from packed(unit[first], parts, int(rows[0]), whose[first].astype(np.int32), times.astype(np.int32))
+
+    def plainly(part: np.ndarray, rows: np.ndarray, ids: pa.Array, lengths: pa.Array, totals: pa.Array) -> pa.RecordBatch:
+        nothing = pa.nulls(len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(rows), ids, lengths, totals, *[nothing] * 3], PACKED)
+
+    def packed(unit: np.ndarray, parts: int, row: int, *with_it: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each part: its units in order, and what comes with each."""
+        part = mixed(unit.astype(np.uint64)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        if len(found):
+            ends = [*first[1:], len(unit)]
+            blobs = [[to_planes(x[order[i:j]]) for i, j in zip(first, ends)] for x in (unit, *with_it)]
+            blobs += [[None] * len(found)] * (3 - len(blobs))
+            rest = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), row)), *rest, *(pa.array(b, pa.binary()) for b in blobs)], PACKED
+            )
+
+    def pack_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD_PAIRS:
+                yield from gains_packed(held)
+                held, size = [], 0
+        if held:
+            yield from gains_packed(held)
+
+    def gains_packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, gain = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))
+        order = np.argsort(unit)
+        return packed(unit[order], parts, GAINS, gain[order])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        """The documents' rows as they are, and a row for each document and part with what the part's units add to it."""
+        blobs = rows.filter(pc.is_valid(rows["units"]))
+        plain = rows.filter(pc.is_null(rows["units"])).select(["row", "doc_id", "n_words", "known"])
+        slices = list(zip(blobs["row"].to_pylist(), *(blobs[c] for c in PACKED[-3:])))
+        of_gains = [(from_planes(u, np.int64), from_planes(g, np.float32)) for row, u, g, _ in slices if row == GAINS]
+        if not of_gains:
+            return plain
+        codes, at = np.unique(np.concatenate([u for u, _ in of_gains]), return_inverse=True)
+        gains = np.bincount(at, np.concatenate([g for _, g in of_gains]), len(codes))
+        found = [plain]
+        for row, *told in slices:
+            if row != GAINS:
+                unit, owner, times = (from_planes(x, k) for x, k in zip(told, (np.int64, np.int32, np.int32)))
+                at = np.minimum(np.searchsorted(codes, unit), len(codes) - 1)
+                there = codes[at] == unit
+                owner = owner[there]
+                sums, whose = np.bincount(owner, gains[at[there]] * times[there]), np.unique(owner)
+                nothing = [pa.nulls(len(whose), t) for t in (id_type, pa.int64())]
+                found.append(pa.table([pa.array(row + whose.astype(np.int64)), *nothing, pa.array(sums[whose])], plain.column_names).cast(plain.schema))
+        return pa.concat_tables(found)
 
     far_words = of_words.where(F.col("code") >= HASHED)
-    gains = pair_gains(pairs.where(total < cut), sums, sizes)
+    gains = pair_gains(rare, sums, sizes)
     for salt, name in ((BEFORE, "before"), (OWN, "own")):
         gains = gains.unionAll(far_words.where(F.col(name) != 0).select(hash_code(F.col("code"), F.lit(salt).cast("bigint")), F.col(name).cast("float")))
-    scored = narrow.mapInArrow(score, f"row bigint, doc_id {kind}, code bigint, times bigint, n_words bigint, known double")
-    joined = scored.join(gains, "code", "left")
-    value = F.sum(F.col("known") + F.col("times") * F.coalesce("gain", F.lit(0.0)))
-    found = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), value.alias("total"))
+    row_type = f"row bigint, doc_id {kind}, n_words bigint, known double"
+    packed_type = f"part int, {row_type}, units binary, with_it binary, times binary"
+    both = narrow.mapInArrow(score, packed_type).unionAll(gains.mapInArrow(pack_gains, packed_type))
+    joined = both.groupBy("part").applyInArrow(answer, row_type)
+    found = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("known").alias("total"))
     return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(0.0).alias("score"))
