@@ -2,17 +2,19 @@
 
 import itertools
 import math
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wayfold.llm import language, lm_score, quality, queries, toxicity
 from wayfold.llm.common import crc_fold
-from wayfold.session import FREE_SETTING, cut_lineage, shuffles_freed
+from wayfold.session import FREE_SETTING, cut_lineage, shared_folder, shuffles_freed
 
 GIVEN = "/root/testdata/sf0.01"
 # Toxic words of the rarer languages need more labels than the small tables have.
@@ -234,6 +236,29 @@ def test_units_leave_tasks_in_few_rows(spark, make_docs):
     assert "FlatMapGroupsInArrow" in plan and "LeftOuter" not in plan
 
 
+def test_answers_leave_parts_by_slices(spark, make_docs):
+    """What a part adds comes back as a row for each slice, not for each document; tables of words and pairs are gone when scores are read."""
+    known = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    docs = make_docs([(k, " ".join(f"w{(k + j) % 90}" for j in range(50))) for k in range(40)])
+    scores = lm_score.lm_scores(docs, spark.createDataFrame([(k,) for k in range(10)], "doc_id bigint"), held=3, head=4)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "Aggregate [row" not in plan
+    left = {n.split("-")[0] for n in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - known}
+    assert not left & {"words", "pairs"} and scores.count() == 40
+
+
+@pytest.mark.parametrize("held", [0, 2, 1 << 17])
+def test_words_are_cut_as_bytes_are(held):
+    """At ASCII white space only, A-Z in lower case; blank and null texts have no words."""
+    texts = ["  One\ttwo ", None, "", " \n", "\x0bÀÉ\xa0x\x1fone one\r\n", "TWO"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    counts = sorted({w for own in words for w in own})
+    known = {w: k for k, w in enumerate(counts[:held], lm_score.FIRST_WORD)}
+    codes, sizes = lm_score.word_codes(pa.array(texts, pa.string()), known)
+    assert sizes.tolist() == [len(own) for own in words]
+    assert codes.tolist() == [known.get(w) or lm_score.HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for own in words for w in own]
+
+
 @pytest.mark.parametrize("kind", [np.int64, np.int32, np.float32])
 def test_planes_come_back(kind):
     for size in (0, 1, 1000):

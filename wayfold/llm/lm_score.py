@@ -12,7 +12,8 @@ P(w | v) = max(c(v, w) - D, 0) / c(v) + D k(v) / c(v) P(w), where k(v) counts th
 The vocabulary is every word of all documents; none is cut and none stands for others. A score is a sum over units: the word itself, the word before,
 and what a seen pair of words adds to the backed-off value. Each unit has a row in a table that grows with the corpus; what the most
 frequent words (at most ``HELD_WORDS``) and pairs (at most ``HEAD``) add is held by every task as well, the others are joined by a shuffle,
-with the same result: codes are dealt into parts, and a slice of the documents sends each part one row with the units it looks for.
+with the same result: codes are dealt into parts, a slice of the documents sends each part one row with the units it looks for, and
+gets one row back with what they add to each of its documents.
 Words held by tasks are numbered; other words, and pairs with one of them, are coded by 62 bits of a hash.
 
 Cases: null, empty and blank texts have no words and score 0; without target documents both models are the uniform one over the vocabulary and every
@@ -34,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfold.llm.common import byte_lists, col, counted_units, having, head_of, lower_ascii_words, mixed, text_slices
-from wayfold.session import cut_lineage, shuffles_freed
+from wayfold.llm.common import col, counted_units, having, head_of, lower_ascii_words, mixed, text_slices
+from wayfold.session import cut_lineage, short_lived, shuffles_freed
 
 HELD_WORDS = 1 << 17
 HEAD = 1 << 20
@@ -43,13 +44,14 @@ DISCOUNT = 0.75
 START, FIRST_WORD = 0, 1
 # Codes from here on are hashes.
 HASHED = 1 << 62
-# The second part of the code of what a rare word adds in either place; no word has these numbers.
-BEFORE, OWN = -1, -2
+# In place of the times of a word that stands last: it is no word before another.
+LAST = -1
 # Distinct pairs that a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
 # Gains, and words of the documents, for each part of the codes; a part is joined by one task.
 PART_GAINS, PART_WORDS = 1_000_000, 2_000_000
-PACKED = ["part", "row", "doc_id", "n_words", "known", "units", "with_it", "times"]
+PACKED = ["part", "slice", "row", "doc_id", "n_words", "known", "units", "with_it", "times"]
+ANSWERED = ["slice", "row", "doc_id", "n_words", "known", "places", "sums"]
 # In place of the first row of a slice where the units come with their gains.
 GAINS = -1
 
@@ -71,17 +73,27 @@ def held_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {w: k for k, w in enumerate(words, FIRST_WORD)}
 
 
-def word_codes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """The number of each word, or its hash."""
-    words = lower_ascii_words(text)
-    return np.fromiter((known.get(w) or HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for w in words), np.int64, len(words))
-
-
-def neighbours(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_codes(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word of all texts, or its hash, and how many words each text has."""
+    # Arrow cuts at ASCII white space and numbers the distinct words, so that only those become Python values.
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    sizes = np.asarray(pc.list_value_length(cut), dtype=np.int64)
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    codes = np.fromiter((known.get(w) or HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for w in words), np.int64, len(words))
+    places = np.asarray(coded.indices)
+    # Leading and trailing white space leaves empty words.
+    empty = np.flatnonzero(words == b"")
+    if len(empty):
+        there = places != empty[0]
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~there], minlength=len(sizes))
+        places = places[there]
+    return codes[places], sizes
+
+
+def neighbours(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, the word before each of them, and how many words each text has."""
-    lists = [word_codes(t, known) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    word = np.concatenate(lists)
+    word, sizes = word_codes(texts, known)
     before = np.concatenate([[START], word[:-1]]) if len(word) else word
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
     return before, word, sizes
@@ -114,6 +126,45 @@ def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return found
 
 
+def slice_units(
+    texts: pa.Array, known: dict[bytes, int], tables: tuple[np.ndarray, ...], share: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text and what ``tables`` say they add; then the units they do not hold: code, place of the text, times in it."""
+    befores, selves, codes, values = tables
+    before, word, sizes = neighbours(texts, known)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    each = np.full(len(word), share)
+    for numbers, gains in ((before, befores), (word, selves)):
+        near = numbers < HASHED
+        each[near] += gains[numbers[near]]
+    sums = np.bincount(owner, each, len(sizes))
+    every = pair_codes(before, word)
+    del before, each
+    # In the order of units, one document's stay together.
+    order = np.argsort(every, kind="stable")
+    every, whose = every[order], owner[order]
+    if len(codes):
+        at = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
+        there = codes[at] == every
+        sums += np.bincount(whose[there], values[at[there]], len(sizes))
+        every, whose = every[~there], whose[~there]
+        del at, there
+    found = [distinct(every, whose)]
+    # A rare word adds in both places, but for the last of a text.
+    rare = word >= HASHED
+    ends = (np.cumsum(sizes) - 1)[sizes > 0]
+    ends = ends[rare[ends]]
+    order = np.argsort(word[rare], kind="stable")
+    found += [distinct(word[rare][order], owner[rare][order]), (word[ends], owner[ends], np.full(len(ends), LAST, np.int32))]
+    return sizes, sums, *(np.concatenate([x[k] for x in found]) for k in range(3))
+
+
+def distinct(unit: np.ndarray, whose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the same unit and text, and how long they are."""
+    first = np.flatnonzero(np.concatenate([[len(unit) > 0], (whose[1:] != whose[:-1]) | (unit[1:] != unit[:-1])]))
+    return unit[first], whose[first], np.diff(first, append=len(unit)).astype(np.int32)
+
+
 def pair_code(before: str, word: str) -> Column:
     """The same as a column."""
     return F.when(F.greatest(before, word) < HASHED, F.shiftleft(before, 32).bitwiseOR(F.col(word))).otherwise(hash_code(F.col(before), F.col(word)))
@@ -128,7 +179,7 @@ def pair_counts(rows: DataFrame, words) -> DataFrame:
 
     def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         v, w, t, b = (np.concatenate([h[k] for h in held]) for k in range(4))
-        order = np.lexsort((w, v))
+        order = np.argsort(pair_codes(v, w))
         v, w = v[order], w[order]
         first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
         return v[first], w[first], np.add.reduceat(t[order], first), np.add.reduceat(b[order], first)
@@ -144,7 +195,7 @@ def pair_counts(rows: DataFrame, words) -> DataFrame:
         for batch in batches:
             flags = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["t", "b"])
             for part, texts in text_slices(flags, batch.column(0)):
-                before, word, sizes = neighbours(byte_lists(texts), known)
+                before, word, sizes = neighbours(texts, known)
                 if len(word):
                     t, b = (np.repeat(np.asarray(part.field(k).to_numpy(zero_copy_only=False), np.int64), sizes) for k in (0, 1))
                     held.append(merged([(before, word, t, b)]))
@@ -186,7 +237,7 @@ def word_gains(sums: DataFrame) -> DataFrame:
 
 
 def pair_gains(pairs: DataFrame, sums: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """code, gain: what a seen pair adds to the backed-off difference; ``sizes`` has a model's words and the vocabulary's, summed."""
+    """code, gain, n: what a seen pair adds to the backed-off difference, and how often it occurs; ``sizes`` has a model's words and the vocabulary's, summed."""
 
     def joined(found: DataFrame, key: str, columns: str) -> list[DataFrame]:
         """Held words come to the rows, rows go to the others, so that no frequent word fills a task."""
@@ -196,7 +247,7 @@ def pair_gains(pairs: DataFrame, sums: DataFrame, sizes: dict[str, int]) -> Data
 
     def gain(found: DataFrame) -> DataFrame:
         parts = {m: F.log1p(F.greatest(F.col(m) - DISCOUNT, F.lit(0.0)) / DISCOUNT / F.greatest(f"{m}_kinds", F.lit(1)) * total / (F.col(f"{m}_own") + 1.0)) for m, total in sizes.items()}
-        return found.select(pair_code("v", "w").alias("code"), (parts["target"] - parts["background"]).cast("float").alias("gain"))
+        return found.select(pair_code("v", "w").alias("code"), (parts["target"] - parts["background"]).cast("float").alias("gain"), (F.col("target") + F.col("background")).alias("n"))
 
     found = [gain(y) for x in joined(pairs, "v", "kinds") for y in joined(x, "w", "own")]
     return reduce(DataFrame.unionAll, found)
@@ -210,11 +261,11 @@ def lm_scores(
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     kind, id_type = narrow.schema["doc_id"].dataType.simpleString(), to_arrow_type(narrow.schema["doc_id"].dataType)
     ids = target_ids.select(col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    with shuffles_freed(docs.sparkSession):
-        counts = cut_lineage(counted_units(narrow, "text", lower_ascii_words), "words")
-    # With the start and an unknown word, so that an empty vocabulary has a distribution too.
-    vocabulary = counts.count() + 2
-    known = held_words(counts, held)
+    with shuffles_freed(docs.sparkSession), short_lived(counted_units(narrow, "text", lower_ascii_words), "words") as counts:
+        # With the start and an unknown word, so that an empty vocabulary has a distribution too.
+        vocabulary = counts.count() + 2
+        known = held_words(counts, held)
+        every_word = counts.agg(F.sum("n")).first()[0] or 0
     words = context.broadcast(known)
 
     flagged = having(narrow, ids, "doc_id", "in_target")
@@ -222,11 +273,11 @@ def lm_scores(
     part = int(min(1.0, targets / max(1, documents)) * 1_000_000)
     spot = F.pmod(F.xxhash64(F.lit("background"), "doc_id"), F.lit(1_000_000))
     flagged = flagged.withColumn("in_background", F.coalesce(spot < part, F.lit(False)))
-    with shuffles_freed(docs.sparkSession):
-        pairs = cut_lineage(pair_counts(flagged, words), "pairs")
+    with shuffles_freed(docs.sparkSession), short_lived(pair_counts(flagged, words), "pairs") as pairs:
         sums = cut_lineage(word_sums(pairs), "sums")
-    totals = sums.agg(*[F.coalesce(F.sum(f"{m}_own"), F.lit(0)).alias(m) for m in ("target", "background")]).first()
-    sizes = {m: totals[m] + vocabulary for m in totals.asDict()}
+        totals = sums.agg(*[F.coalesce(F.sum(f"{m}_own"), F.lit(0)).alias(m) for m in ("target", "background")]).first()
+        sizes = {m: totals[m] + vocabulary for m in totals.asDict()}
+        of_pairs = cut_lineage(pair_gains(pairs, sums, sizes), "gains")
     # What a word adds that occurs in neither part.
     share = float(np.log(sizes["background"]) - np.log(sizes["target"]))
     of_words = word_gains(sums)
@@ -235,52 +286,30 @@ def lm_scores(
     for to, name in ((by_before, "before"), (by_word, "own")):
         to[np.asarray(numbered["code"])] = np.asarray(numbered[name])
 
-    total = F.col("target") + F.col("background")
-    cut = head_of(pairs.select(total.alias("n")), most=head)
-    with shuffles_freed(docs.sparkSession):
-        frequent = pair_gains(pairs.where(total >= cut), sums, sizes).toArrow()
+    cut = head_of(of_pairs, most=head)
+    frequent = of_pairs.where(F.col("n") >= cut).select("code", "gain").toArrow()
     order = np.argsort(np.asarray(frequent["code"]))
     tables = context.broadcast((by_before, by_word, np.asarray(frequent["code"])[order], np.asarray(frequent["gain"])[order]))
 
-    rare = pairs.where(total < cut)
+    rare = of_pairs.where(F.col("n") < cut)
     # Parts of the codes, so many that neither the gains of one nor what documents ask of it are more than a task holds.
-    parts = 1 + max(rare.count() // PART_GAINS, (counts.agg(F.sum("n")).first()[0] or 0) // PART_WORDS)
+    parts = 1 + max(rare.count() // PART_GAINS, every_word // PART_WORDS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (befores, selves, codes, values) = words.value, tables.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for ids, texts in text_slices(batch.column(0), batch.column(1)):
-                before, word, lengths = neighbours(byte_lists(texts), own)
+                lengths, totals, unit, whose, times = slice_units(texts, words.value, tables.value, share)
                 rows = row + np.arange(len(lengths))
                 row += len(lengths)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                every = pair_codes(before, word)
-                at = np.minimum(np.searchsorted(codes, every), max(0, len(codes) - 1))
-                there = codes[at] == every if len(codes) else np.zeros(len(every), bool)
-                each = np.full(len(every), share)
-                each[there] += values[at[there]]
-                for numbers, gains in ((before, befores), (word, selves)):
-                    near = numbers < HASHED
-                    each[near] += gains[numbers[near]]
-                totals = np.bincount(owner, each, len(lengths))
                 yield plainly(rows % parts, rows, ids, pa.array(lengths, pa.int64()), pa.array(totals))
                 # Other units go to the part of their code, each slice's in one row with the documents that hold them.
-                far = [(owner[~there], every[~there])]
-                for numbers, salt in ((before, BEFORE), (word, OWN)):
-                    hashes = numbers >= HASHED
-                    far.append((owner[hashes], hashed(numbers[hashes], np.full(hashes.sum(), salt))))
-                whose, unit = (np.concatenate([x[k] for x in far]) for k in (0, 1))
-                # In the order of units, one document's stay together.
-                order = np.argsort(unit, kind="stable")
-                whose, unit = whose[order], unit[order]
-                first = np.flatnonzero(np.concatenate([[len(unit) > 0], (whose[1:] != whose[:-1]) | (unit[1:] != unit[:-1])]))
-                times = np.diff(np.concatenate([first, [len(unit)]])) if len(unit) else first
-                yield from packed(unit[first], parts, int(rows[0]), whose[first].astype(np.int32), times.astype(np.int32))
+                yield from packed(unit, parts, int(rows[0]), whose, times)
 
     def plainly(part: np.ndarray, rows: np.ndarray, ids: pa.Array, lengths: pa.Array, totals: pa.Array) -> pa.RecordBatch:
         nothing = pa.nulls(len(rows), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(rows), ids, lengths, totals, *[nothing] * 3], PACKED)
+        first = pa.array(np.full(len(rows), rows[0]))
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), first, pa.array(rows), ids, lengths, totals, *[nothing] * 3], PACKED)
 
     def packed(unit: np.ndarray, parts: int, row: int, *with_it: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each part: its units in order, and what comes with each."""
@@ -291,7 +320,7 @@ def lm_scores(
             ends = [*first[1:], len(unit)]
             blobs = [[to_planes(x[order[i:j]]) for i, j in zip(first, ends)] for x in (unit, *with_it)]
             blobs += [[None] * len(found)] * (3 - len(blobs))
-            rest = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.float64())]
+            rest = [pa.nulls(len(found), t) for t in (pa.int64(), id_type, pa.int64(), pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), row)), *rest, *(pa.array(b, pa.binary()) for b in blobs)], PACKED
             )
@@ -308,39 +337,55 @@ def lm_scores(
             yield from gains_packed(held)
 
     def gains_packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, gain = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))
+        unit, gain, before = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(3))
         order = np.argsort(unit)
-        return packed(unit[order], parts, GAINS, gain[order])
+        return packed(unit[order], parts, GAINS, gain[order], before[order])
 
     def answer(rows: pa.Table) -> pa.Table:
-        """The documents' rows as they are, and a row for each document and part with what the part's units add to it."""
+        """The documents' rows as they are, and a row for each slice with what the part's units add to its documents."""
         blobs = rows.filter(pc.is_valid(rows["units"]))
-        plain = rows.filter(pc.is_null(rows["units"])).select(["row", "doc_id", "n_words", "known"])
-        slices = list(zip(blobs["row"].to_pylist(), *(blobs[c] for c in PACKED[-3:])))
-        of_gains = [(from_planes(u, np.int64), from_planes(g, np.float32)) for row, u, g, _ in slices if row == GAINS]
+        plain = rows.filter(pc.is_null(rows["units"])).select(ANSWERED[:5])
+        plain = plain.append_column("places", pa.nulls(len(plain), pa.binary())).append_column("sums", pa.nulls(len(plain), pa.binary()))
+        slices = list(zip(blobs["slice"].to_pylist(), *(blobs[c] for c in PACKED[-3:])))
+        of_gains = [[from_planes(x, k) for x, k in zip(told, (np.int64, np.float32, np.float32))] for first, *told in slices if first == GAINS]
         if not of_gains:
             return plain
-        codes, at = np.unique(np.concatenate([u for u, _ in of_gains]), return_inverse=True)
-        gains = np.bincount(at, np.concatenate([g for _, g in of_gains]), len(codes))
-        found = [plain]
-        for row, *told in slices:
-            if row != GAINS:
+        codes, at = np.unique(np.concatenate([x[0] for x in of_gains]), return_inverse=True)
+        gains, befores = (np.bincount(at, np.concatenate([x[k] for x in of_gains]), len(codes)) for k in (1, 2))
+        firsts, places, sums = [], [], []
+        for first, *told in slices:
+            if first != GAINS:
                 unit, owner, times = (from_planes(x, k) for x, k in zip(told, (np.int64, np.int32, np.int32)))
                 at = np.minimum(np.searchsorted(codes, unit), len(codes) - 1)
                 there = codes[at] == unit
-                owner = owner[there]
-                sums, whose = np.bincount(owner, gains[at[there]] * times[there]), np.unique(owner)
-                nothing = [pa.nulls(len(whose), t) for t in (id_type, pa.int64())]
-                found.append(pa.table([pa.array(row + whose.astype(np.int64)), *nothing, pa.array(sums[whose])], plain.column_names).cast(plain.schema))
-        return pa.concat_tables(found)
-
-    far_words = of_words.where(F.col("code") >= HASHED)
-    gains = pair_gains(rare, sums, sizes)
-    for salt, name in ((BEFORE, "before"), (OWN, "own")):
-        gains = gains.unionAll(far_words.where(F.col(name) != 0).select(hash_code(F.col("code"), F.lit(salt).cast("bigint")), F.col(name).cast("float")))
-    row_type = f"row bigint, doc_id {kind}, n_words bigint, known double"
+                at, owner, times = at[there], owner[there], times[there]
+                added = np.bincount(owner, np.where(times == LAST, -befores[at], gains[at] * times))
+                whose = np.unique(owner)
+                firsts.append(first)
+                places.append(whose.tobytes())
+                sums.append(added[whose].tobytes())
+        nothing = [pa.nulls(len(firsts), t) for t in (pa.int64(), id_type, pa.int64(), pa.float64())]
+        answers = pa.table([pa.array(firsts, pa.int64()), *nothing, pa.array(places, pa.binary()), pa.array(sums, pa.binary())], ANSWERED)
+        return pa.concat_tables([plain, answers.cast(plain.schema)])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        """A slice's documents, with what all parts add to them."""
+        plain = rows.filter(pc.is_valid(rows["row"]))
+        place = np.asarray(plain["row"]) - np.asarray(plain["slice"])
+        added = np.zeros(place.max() + 1)
+        for whose, sums in zip(rows["places"], rows["sums"]):
+            if whose.is_valid:
+                added[np.frombuffer(whose.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer(), np.float64)
+        total, n = np.asarray(plain["known"]) + added[place], np.asarray(plain["n_words"])
+        score = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
+        return pa.table([plain["doc_id"], plain["n_words"], pa.array(score)], ["doc_id", "n_words", "score"])
+
+    gains = rare.select("code", "gain", F.lit(0.0).cast("float").alias("before"))
+    both_places = (F.col("before") + F.col("own")).cast("float")
+    far_words = of_words.where((F.col("code") >= HASHED) & ((F.col("before") != 0) | (F.col("own") != 0)))
+    gains = gains.unionAll(far_words.select("code", both_places, F.col("before").cast("float")))
+    row_type = f"slice bigint, row bigint, doc_id {kind}, n_words bigint, known double"
     packed_type = f"part int, {row_type}, units binary, with_it binary, times binary"
     both = narrow.mapInArrow(score, packed_type).unionAll(gains.mapInArrow(pack_gains, packed_type))
-    joined = both.groupBy("part").applyInArrow(answer, row_type)
-    found = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("known").alias("total"))
-    return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(0.0).alias("score"))
+    answers = both.groupBy("part").applyInArrow(answer, f"{row_type}, places binary, sums binary")
+    return answers.groupBy("slice").applyInArrow(summed, f"doc_id {kind}, n_words bigint, score double")
