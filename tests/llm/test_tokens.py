@@ -1,6 +1,8 @@
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfold.llm import packing, token_counts
@@ -105,3 +107,17 @@ def test_level_search_equals_brute_force():
         got = packer.level_for(size)
         assert got in choices and squares(got) == best and got == max(h for h in choices if squares(h) == best)
         packer.place((k, 0, np.zeros(size, np.int32), size))
+
+
+def test_known_units_are_not_made_one_by_one():
+    """Units that are held go from Arrow to their ids in whole columns; white space at the ends, nulls and empty texts too."""
+    texts = pa.array([" ".join(f"w{k}x{j}" for j in range(300)) for k in range(10)] + [None, "", " \n", "  a\tb ", "É\x0b\x1fA"], pa.string())
+    encoder, loaded, calls = packing.UnitIds(vocabulary()), token_counts.tokenizer(vocabulary()), []
+    first = [ids.tolist() for ids in encoder.ids(texts)]
+    sys.setprofile(lambda frame, event, arg: calls.append(event == "c_call" and arg.__name__ == "encode"))
+    try:
+        again = [ids.tolist() for ids in encoder.ids(texts)]
+    finally:
+        sys.setprofile(None)
+    assert first == again == [loaded.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert sum(calls) < 300

@@ -78,7 +78,7 @@ class UnitIds:
             cut = pc.ascii_split_whitespace(texts.fill_null("") if texts.type == pa.string() else texts.cast(pa.string()).fill_null(""))
             counts = np.asarray(pc.list_value_length(cut), dtype=np.int64)
             coded = cut.flatten().dictionary_encode()
-            units, places = [u.encode() for u in coded.dictionary.to_pylist()], np.asarray(coded.indices)
+            units, places = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), np.asarray(coded.indices)
         else:
             cut = [self.split(t) for t in byte_lists(texts)]
             counts = np.fromiter(map(len, cut), np.int64, len(cut))
