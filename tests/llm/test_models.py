@@ -259,6 +259,31 @@ def test_words_are_cut_as_bytes_are(held):
     assert codes.tolist() == [known.get(w) or lm_score.HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for own in words for w in own]
 
 
+@pytest.mark.parametrize("most", [2, 40, 1 << 20])
+def test_words_are_counted_by_slices(spark, make_docs, odd_rows, monkeypatch, most):
+    """Held until there are too many, merged where they repeat: the same counts, none of an empty word."""
+    monkeypatch.setattr(lm_score, "HELD_COUNTS", most)
+    rows = [*odd_rows, *[(100 + k, " \t" + "  ".join(f"W{j * k % 50}" for j in range(40)) + "\n") for k in range(20)]]
+    want = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    got = lm_score.word_counts(make_docs(rows), "text").collect()
+    assert len(got) == len(want) and {bytes(r.unit): r.n for r in got} == want
+
+
+def test_pairs_are_coded_once_a_slice(monkeypatch):
+    """Not for each place they stand at: words are numbered in a slice, and its distinct pairs are what is coded."""
+    coded, plain = [], lm_score.pair_codes
+    monkeypatch.setattr(lm_score, "pair_codes", lambda v, w: coded.append(len(v)) or plain(v, w))
+    texts = pa.array(["a b " * 500, None, "b a " * 500, " ", "c"], pa.string())
+    tables = np.zeros(2), np.zeros(2), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    sizes, sums, unit, whose, times = lm_score.slice_units(texts, {b"a": 1}, tables, 0.5)
+    assert sum(coded) == 5 and sizes.tolist() == [1000, 0, 1000, 0, 1] and sums.tolist() == [500, 0, 500, 0, 0.5]
+    b, c = (lm_score.HASHED | xxhash.xxh3_64_intdigest(x) >> 2 for x in (b"b", b"c"))
+    pairs = [(0, 1, 0, 1), (1, b, 0, 500), (b, 1, 0, 499), (0, b, 2, 1), (b, 1, 2, 500), (1, b, 2, 499), (0, c, 4, 1)]
+    want = [(int(plain(np.array([v]), np.array([w]))[0]), k, n) for v, w, k, n in pairs]
+    want += [(b, 0, 500), (b, 2, 500), (c, 4, 1), (b, 0, lm_score.LAST), (c, 4, lm_score.LAST)]
+    assert sorted(zip(unit.tolist(), whose.tolist(), times.tolist())) == sorted(want)
+
+
 @pytest.mark.parametrize("kind", [np.int64, np.int32, np.float32])
 def test_planes_come_back(kind):
     for size in (0, 1, 1000):

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfold.llm.common import col, counted_units, having, head_of, lower_ascii_words, mixed, text_slices
+from wayfold.llm.common import col, having, head_of, mixed, text_slices
 from wayfold.session import cut_lineage, short_lived, shuffles_freed
 
 HELD_WORDS = 1 << 17
@@ -46,8 +47,8 @@ START, FIRST_WORD = 0, 1
 HASHED = 1 << 62
 # In place of the times of a word that stands last: it is no word before another.
 LAST = -1
-# Distinct pairs that a task holds before it hands them on.
-HELD_PAIRS = 1_000_000
+# Distinct pairs, or words, that a task holds before it hands them on.
+HELD_PAIRS, HELD_COUNTS = 1_000_000, 800_000
 # Gains, and words of the documents, for each part of the codes; a part is joined by one task.
 PART_GAINS, PART_WORDS = 1_000_000, 2_000_000
 PACKED = ["part", "slice", "row", "doc_id", "n_words", "known", "units", "with_it", "times"]
@@ -73,30 +74,77 @@ def held_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {w: k for k, w in enumerate(words, FIRST_WORD)}
 
 
-def word_codes(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each word of all texts, or its hash, and how many words each text has."""
-    # Arrow cuts at ASCII white space and numbers the distinct words, so that only those become Python values.
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+def cut_words(texts: pa.Array) -> pa.Array:
+    """The words of each text; white space before the first or after the last one leaves an empty word."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+
+
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Every distinct word of the texts (unit), and how often they hold it (n); Arrow cuts and counts."""
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by("unit", use_threads=False).aggregate([("n", "sum")])
+        return found.select(["unit", "n_sum"]).rename_columns(["unit", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0), batch.column(0)):
+                found = cut_words(texts).flatten().value_counts()
+                found = pa.table([found.field(0).cast(pa.binary()), found.field(1)], ["unit", "n"])
+                held.append(found.filter(pc.not_equal(found["unit"], b"")))
+                size += len(held[-1])
+                if size > HELD_COUNTS:
+                    found = merged(held)
+                    # Words that repeat make room; otherwise hand them on.
+                    if len(found) > HELD_COUNTS // 2:
+                        yield from found.combine_chunks().to_batches()
+                        held, size = [], 0
+                    else:
+                        held, size = [found], len(found)
+        if held:
+            yield from merged(held).combine_chunks().to_batches()
+
+    found = docs.select(col(text_col).alias("text")).mapInArrow(count, "unit binary, n bigint")
+    return found.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def coded_words(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """START and the codes of the distinct words, in order; the place there of each word of all texts; how many words each text has."""
+    # Arrow numbers the distinct words, so that only those become Python values.
+    cut = cut_words(texts)
     sizes = np.asarray(pc.list_value_length(cut), dtype=np.int64)
     coded = cut.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
-    codes = np.fromiter((known.get(w) or HASHED | xxhash.xxh3_64_intdigest(w) >> 2 for w in words), np.int64, len(words))
+    codes = np.fromiter(map(known.get, words.tolist(), repeat(0)), np.int64, len(words))
+    rare = np.flatnonzero(codes == 0)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words[rare].tolist()), np.uint64, len(rare))
+    codes[rare] = (hashes >> np.uint64(2)).astype(np.int64) | HASHED
     places = np.asarray(coded.indices)
-    # Leading and trailing white space leaves empty words.
-    empty = np.flatnonzero(words == b"")
-    if len(empty):
-        there = places != empty[0]
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        there = places != empty
         sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~there], minlength=len(sizes))
         places = places[there]
-    return codes[places], sizes
+    order = np.argsort(codes)
+    rank = np.empty(len(codes), np.int64)
+    rank[order] = np.arange(1, len(codes) + 1)
+    return np.concatenate([[START], codes[order]]), rank[places], sizes
+
+
+def word_codes(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word of all texts, or its hash, and how many words each text has."""
+    codes, word, sizes = coded_words(texts, known)
+    return codes[word], sizes
 
 
-def neighbours(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, the word before each of them, and how many words each text has."""
-    word, sizes = word_codes(texts, known)
-    before = np.concatenate([[START], word[:-1]]) if len(word) else word
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-    return before, word, sizes
+def neighbours(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes in order; the places there of the words of all texts and of the word before each; how many words each text has."""
+    codes, word, sizes = coded_words(texts, known)
+    before = np.concatenate([[0], word[:-1]]) if len(word) else word
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return codes, before, word, sizes
 
 
 _P1, _P2, _P3, _P4, _P5 = (
@@ -130,39 +178,53 @@ def slice_units(
     texts: pa.Array, known: dict[bytes, int], tables: tuple[np.ndarray, ...], share: float,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text and what ``tables`` say they add; then the units they do not hold: code, place of the text, times in it."""
-    befores, selves, codes, values = tables
-    before, word, sizes = neighbours(texts, known)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    each = np.full(len(word), share)
-    for numbers, gains in ((before, befores), (word, selves)):
-        near = numbers < HASHED
-        each[near] += gains[numbers[near]]
-    sums = np.bincount(owner, each, len(sizes))
-    every = pair_codes(before, word)
-    del before, each
+    befores, selves, frequent, values = tables
+    codes, before, word, sizes = neighbours(texts, known)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    near = codes < HASHED
+    of_before, of_word = np.zeros(len(codes)), np.zeros(len(codes))
+    of_before[near], of_word[near] = befores[codes[near]], selves[codes[near]]
+    sums = np.bincount(owner, share + of_before[before] + of_word[word], len(sizes))
+    pair, whose, times = distinct(before * len(codes) + word, owner, len(sizes))
+    first = starts(pair)
+    kinds, held_by = pair[first], np.diff(first, append=len(pair))
+    every = pair_codes(codes[kinds // len(codes)], codes[kinds % len(codes)])
     # In the order of units, one document's stay together.
-    order = np.argsort(every, kind="stable")
-    every, whose = every[order], owner[order]
-    if len(codes):
-        at = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
-        there = codes[at] == every
-        sums += np.bincount(whose[there], values[at[there]], len(sizes))
-        every, whose = every[~there], whose[~there]
-        del at, there
-    found = [distinct(every, whose)]
+    order = np.argsort(every)
+    every, first, held_by = every[order], first[order], held_by[order]
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
+        there = frequent[at] == every
+        rows = spread(first[there], held_by[there])
+        sums += np.bincount(whose[rows], np.repeat(values[at[there]], held_by[there]) * times[rows], len(sizes))
+        every, first, held_by = every[~there], first[~there], held_by[~there]
+    rows = spread(first, held_by)
+    found = [(np.repeat(every, held_by), whose[rows], times[rows])]
     # A rare word adds in both places, but for the last of a text.
-    rare = word >= HASHED
+    far = ~near[word]
     ends = (np.cumsum(sizes) - 1)[sizes > 0]
-    ends = ends[rare[ends]]
-    order = np.argsort(word[rare], kind="stable")
-    found += [distinct(word[rare][order], owner[rare][order]), (word[ends], owner[ends], np.full(len(ends), LAST, np.int32))]
+    ends = ends[far[ends]]
+    unit, whose, times = distinct(word[far], owner[far], len(sizes))
+    found += [(codes[unit], whose, times), (codes[word[ends]], owner[ends].astype(np.int32), np.full(len(ends), LAST, np.int32))]
     return sizes, sums, *(np.concatenate([x[k] for x in found]) for k in range(3))
 
 
-def distinct(unit: np.ndarray, whose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of the same unit and text, and how long they are."""
-    first = np.flatnonzero(np.concatenate([[len(unit) > 0], (whose[1:] != whose[:-1]) | (unit[1:] != unit[:-1])]))
-    return unit[first], whose[first], np.diff(first, append=len(unit)).astype(np.int32)
+def starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of the same number begin."""
+    return np.flatnonzero(np.concatenate([[len(ordered) > 0], ordered[1:] != ordered[:-1]]))
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def distinct(unit: np.ndarray, whose: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each unit and text that occur together, in order, and how often they do."""
+    # One number holds both, as a slice has either few texts or few words.
+    both = np.sort(unit * texts + whose)
+    first = starts(both)
+    return both[first] // texts, (both[first] % texts).astype(np.int32), np.diff(first, append=len(both)).astype(np.int32)
 
 
 def pair_code(before: str, word: str) -> Column:
@@ -195,11 +257,15 @@ def pair_counts(rows: DataFrame, words) -> DataFrame:
         for batch in batches:
             flags = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["t", "b"])
             for part, texts in text_slices(flags, batch.column(0)):
-                before, word, sizes = neighbours(texts, known)
+                codes, before, word, sizes = neighbours(texts, known)
                 if len(word):
                     t, b = (np.repeat(np.asarray(part.field(k).to_numpy(zero_copy_only=False), np.int64), sizes) for k in (0, 1))
-                    held.append(merged([(before, word, t, b)]))
-                    size += len(held[-1][0])
+                    marked = np.sort((before * len(codes) + word) << 2 | t << 1 | b)
+                    pair = marked >> 2
+                    first = starts(pair)
+                    pair = pair[first]
+                    held.append((codes[pair // len(codes)], codes[pair % len(codes)], *(np.add.reduceat(marked >> k & 1, first) for k in (1, 0))))
+                    size += len(first)
                 if size > HELD_PAIRS:
                     found = merged(held)
                     # Pairs that repeat make room; otherwise hand them on.
@@ -261,7 +327,7 @@ def lm_scores(
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     kind, id_type = narrow.schema["doc_id"].dataType.simpleString(), to_arrow_type(narrow.schema["doc_id"].dataType)
     ids = target_ids.select(col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    with shuffles_freed(docs.sparkSession), short_lived(counted_units(narrow, "text", lower_ascii_words), "words") as counts:
+    with shuffles_freed(docs.sparkSession), short_lived(word_counts(narrow, "text"), "words") as counts:
         # With the start and an unknown word, so that an empty vocabulary has a distribution too.
         vocabulary = counts.count() + 2
         known = held_words(counts, held)
