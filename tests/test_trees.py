@@ -3,7 +3,7 @@
 import uuid
 
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -25,19 +25,20 @@ def rows(spark, tmp_path_factory):
     spark.range(0, 500, 1, 2).select(
         "id", F.sin("id").alias("a"), F.cos(n * 3).alias("b"), (n % 7).cast("double").alias("c"), F.lit(0.0).alias("z"),
         F.when(n % 3 == 0, 0.0).otherwise(F.xxhash64("id") % 1000 / 7).alias("e"), (F.sin(n * 5) + n % 5).alias("label"),
-        F.pmod(F.xxhash64(n + 5), F.lit(3)).cast("double").alias("class"), (n % 4 * 0.37 + 0.2).alias("weight"),
+        F.pmod(F.xxhash64(n + 5), F.lit(3)).cast("double").alias("class"), F.pmod(F.xxhash64(n + 5), F.lit(2)).cast("double").alias("two"), (n % 4 * 0.37 + 0.2).alias("weight"),
     ).write.parquet(path)
     return spark.read.parquet(path)
 
 
 @pytest.mark.parametrize("make", [
     lambda: GBTRegressor(maxIter=8, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=3405691582, minInstancesPerNode=3),
+    lambda: GBTClassifier(labelCol="two", weightCol="weight", maxIter=4, maxDepth=5, subsamplingRate=0.7, seed=3405691582),
     lambda: RandomForestRegressor(numTrees=9, maxDepth=7, featureSubsetStrategy="log2", seed=7),
     lambda: RandomForestClassifier(labelCol="class", weightCol="weight", numTrees=9, maxDepth=9, featureSubsetStrategy="sqrt", seed=5, maxMemoryInMB=1, minInstancesPerNode=2),
-], ids=["boosting", "forest", "classes"])
+], ids=["boosting", "binary", "forest", "classes"])
 def test_same_trees_in_one_task(rows, make):
     estimator = make()
-    vectors = rows.select(array_to_vector(F.array(*NAMES)).alias("features"), "label", "class", "weight").coalesce(2)
+    vectors = rows.select(array_to_vector(F.array(*NAMES)).alias("features"), "label", "class", "two", "weight").coalesce(2)
     plan, columns = plan_of(estimator), [F.col(c) for c in NAMES]
     many, one = estimator.fit(vectors), fit_in_a_task(estimator, plan, rows, columns, 2)
     assert many.toDebugString == one.toDebugString
